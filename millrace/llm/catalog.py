@@ -3,12 +3,20 @@
 from __future__ import annotations
 
 from .covertree import OP5_SQL, op5_covertree
+from .langid import op6_langid
 from .mixing import OP4_SQL, op4_mixing
+from .pieces import op9_sentencepiece
 from .simhash import op10_simhash
+from .tokenstore import op2_tokenstore
+from .toxicity import op7_toxicity
 
 QUERIES = {
+    "op2_tokenstore": op2_tokenstore,
     "op4_mixing": op4_mixing,
     "op5_covertree": op5_covertree,
+    "op6_langid": op6_langid,
+    "op7_toxicity": op7_toxicity,
+    "op9_sentencepiece": op9_sentencepiece,
     "op10_simhash": op10_simhash,
 }
 
