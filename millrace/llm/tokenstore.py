@@ -107,7 +107,7 @@ class Writer:
     def __init__(self, path: str):
         self.path, (fs, at) = path, pa.fs.FileSystem.from_uri(path)
         fs.create_dir(at.rsplit("/", 1)[0], recursive=True)
-        self.out, self.table, self.ids, self.bytes = fs.open_output_stream(at), [], [], 0
+        self.out, self.table, self.ids, self.bytes = fs.open_output_stream(at, compression=None), [], [], 0
         self.zip = zstandard.ZstdCompressor(level=LEVEL, write_checksum=True, write_content_size=True)
 
     def add(self, doc_id: int | None, raw: bytes) -> None:
