@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from .covertree import OP5_SQL, op5_covertree
 from .langid import op6_langid
+from .licenses import op8_licenses
+from .merkle import OP1_SQL, op1_merkle
 from .mixing import OP4_SQL, op4_mixing
 from .pieces import op9_sentencepiece
 from .simhash import op10_simhash
@@ -11,16 +13,19 @@ from .tokenstore import op2_tokenstore
 from .toxicity import op7_toxicity
 
 QUERIES = {
+    "op1_merkle": op1_merkle,
     "op2_tokenstore": op2_tokenstore,
     "op4_mixing": op4_mixing,
     "op5_covertree": op5_covertree,
     "op6_langid": op6_langid,
     "op7_toxicity": op7_toxicity,
+    "op8_licenses": op8_licenses,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_simhash": op10_simhash,
 }
 
 SQL = {
+    "op1_merkle": OP1_SQL,
     "op4_mixing": OP4_SQL,
     "op5_covertree": OP5_SQL,
 }
