@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .covertree import OP5_SQL, op5_covertree
+from .images import op3_images
 from .langid import op6_langid
 from .licenses import op8_licenses
 from .merkle import OP1_SQL, op1_merkle
@@ -15,6 +16,7 @@ from .toxicity import op7_toxicity
 QUERIES = {
     "op1_merkle": op1_merkle,
     "op2_tokenstore": op2_tokenstore,
+    "op3_images": op3_images,
     "op4_mixing": op4_mixing,
     "op5_covertree": op5_covertree,
     "op6_langid": op6_langid,
