@@ -4,12 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Iterator
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 #: Rows to a Python batch. Texts may be long, so batches are kept far below Spark's 10,000 rows.
 BATCH_ROWS = 256
@@ -58,8 +56,17 @@ def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
         spark.conf.set(key, str(rows))
 
 
-def lower_az(c: Column) -> Column:
-    return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+def groups(texts: list[str | None], chars: int = 400_000) -> Iterator[tuple[int, int]]:
+    """Bounds of runs of texts of about so many characters together, a longer text alone: bounded memory for work on whole runs."""
+    start = total = 0
+    for k, t in enumerate(texts):
+        n = len(t) if t else 0
+        if k > start and total + n > chars:
+            yield start, k
+            start, total = k, 0
+        total += n
+    if start < len(texts):
+        yield start, len(texts)
 
 
 _AZ = {65 + i: 97 + i for i in range(26)}
@@ -106,18 +113,3 @@ def connected_components(edges: DataFrame) -> DataFrame:
         seen = now
     roots = e.select(F.col("v").alias("node"), F.col("v").alias("component"))
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots).distinct()
-
-
-def arrow_rows(fn: Callable[[list], Iterable[dict]], schema: T.StructType) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """A mapInArrow function out of one that takes a batch as a list of row dicts and yields row dicts."""
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    out = to_arrow_schema(schema)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = list(fn(b.to_pylist()))
-            if rows:
-                yield pa.RecordBatch.from_pylist(rows, schema=out)
-
-    return run

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fold, small_batches, table
+from .common import fold, groups, small_batches, table
 
 DIM, SEED, SYMBOLS = 1024, 7, 64
 #: Bound of the training sample: texts a language, and languages (the most frequent).
@@ -90,12 +90,13 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             langs, texts = b.column(1).to_pylist(), b.column(0).to_pylist()
-            names = sorted(set(langs))
-            doc, gram, n = trigrams(texts)
-            code = np.array([names.index(x) for x in langs], np.int64)[doc]
-            key, at = np.unique(code << 18 | gram, return_inverse=True)
-            total = np.bincount(at, n, len(key)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array([names[k] for k in (key >> 18).tolist()]), pa.array((key & (1 << 18) - 1).astype(np.int32)), pa.array(total)], schema=out)
+            for start, stop in groups(texts):
+                names = sorted(set(langs[start:stop]))
+                doc, gram, n = trigrams(texts[start:stop])
+                code = np.array([names.index(x) for x in langs[start:stop]], np.int64)[doc]
+                key, at = np.unique(code << 18 | gram, return_inverse=True)
+                total = np.bincount(at, n, len(key)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array([names[k] for k in (key >> 18).tolist()]), pa.array((key & (1 << 18) - 1).astype(np.int32)), pa.array(total)], schema=out)
 
     found = drawn.mapInArrow(run, "l string, gram int, n long").groupBy("l", "gram").agg(F.sum("n").alias("n")).toPandas()
     names = sorted(found["l"].unique())
@@ -117,8 +118,9 @@ def identified(text: Column, model: tuple[list[str], np.ndarray]) -> Column:
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
             part = []
-            for k in range(0, len(texts), 128):
-                v = bundles(texts.iloc[k : k + 128].tolist())
+            whole = texts.tolist()
+            for start, stop in groups(whole):
+                v = bundles(whole[start:stop])
                 norm = np.linalg.norm(v, axis=1)
                 if not names:
                     part.append(pd.DataFrame({"lang_pred": [UNKNOWN] * len(v), "score": 0.0}))

@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 
 from .common import small_batches, table
 
-BLANK, DENSE_BELOW, CACHE, BLOCK = "▁", 0x180, 300_000, 4096
+BLANK, DENSE_BELOW, CACHE, BLOCK = "▁", 0x180, 120_000, 4096
 
 
 class Pieces:
