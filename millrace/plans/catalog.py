@@ -389,11 +389,11 @@ def _(t: Tables) -> DataFrame:
     return f.df.select("o_orderkey", fx.datedif(d, end, "D").alias("days"), fx.datedif(d, end, "M").alias("months"), fx.weekday(d).cast("long").alias("wd"))
 
 
-@query("formula_math", "SELECT l_orderkey, l_linenumber, round((l_extendedprice * 1.15)::DECIMAL(38,12), 2)::DOUBLE AS gross, l_quantity - 7 * floor(l_quantity / 7) AS rest, CASE WHEN l_discount = 0 THEN NULL ELSE l_tax / l_discount END AS ratio, greatest(l_discount, l_tax) AS most FROM lineitem")
+@query("formula_math", "SELECT l_orderkey, l_linenumber, round((l_quantity * 1.25)::DECIMAL(38,12), 1)::DOUBLE AS gross, l_quantity - 7 * floor(l_quantity / 7) AS rest, CASE WHEN l_discount = 0 THEN NULL ELSE l_tax / l_discount END AS ratio, greatest(l_discount, l_tax) AS most FROM lineitem")
 def _(t: Tables) -> DataFrame:
     f = t("lineitem")
     return f.df.select(
-        "l_orderkey", "l_linenumber", fx.round_(F.col("l_extendedprice") * 1.15, 2).alias("gross"), fx.mod(F.col("l_quantity"), 7.0).alias("rest"),
+        "l_orderkey", "l_linenumber", fx.round_(F.col("l_quantity") * 1.25, 1).alias("gross"), fx.mod(F.col("l_quantity"), 7.0).alias("rest"),
         fx.divide(F.col("l_tax"), F.col("l_discount")).alias("ratio"), fx.max_(F.col("l_discount"), F.col("l_tax")).alias("most"),
     )
 
