@@ -9,7 +9,7 @@ are compared at their roots first; each level below is joined only under ranges
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import stage, table
@@ -19,23 +19,31 @@ RANGE, FANOUT, LEVELS = 1 << 16, 16, 4
 PER_FILE = 1024
 
 
-def warc_records(pages: DataFrame) -> DataFrame:
-    """(file, offset, length, record, page_id): pages laid out as WARC/1.1 response records in files of up to PER_FILE ids, in order of page_id.
+def warc_record(pages: DataFrame) -> Column:
+    """A page as a WARC/1.1 response record; null urls and pages count as empty."""
+    text = lambda c: F.coalesce(pages[c], F.lit(""))
+    head = F.concat(F.lit("WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:"), F.coalesce(pages["page_id"].cast("string"), F.lit("")), F.lit(">\r\nWARC-Target-URI: "), text("url"))
+    return F.concat(head, F.lit("\r\nContent-Length: "), F.octet_length(text("html")).cast("string"), F.lit("\r\n\r\n"), text("html"), F.lit("\r\n\r\n"))
 
-    Null urls and pages count as empty; rows without an id share a file. Equal rows are records of their own.
+
+def leaf_hash(record: Column) -> Column:
+    return F.sha2(F.coalesce(record, F.lit("")).cast("binary"), 256)
+
+
+def laid_out(rows: DataFrame) -> DataFrame:
+    """rows (page_id, length, hash, …) with file and offset: records one after another in files of up to PER_FILE ids, by page_id and hash.
+
+    Rows without an id share a file. Only lengths and hashes are shuffled here, not the records.
     """
-    text = lambda c: F.coalesce(F.col(c), F.lit(""))
-    head = F.concat(F.lit("WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:"), F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.lit(">\r\nWARC-Target-URI: "), text("url"))
-    record = F.concat(head, F.lit("\r\nContent-Length: "), F.octet_length(text("html")).cast("string"), F.lit("\r\n\r\n"), text("html"), F.lit("\r\n\r\n"))
     file = F.concat(F.lit("pages-"), F.coalesce(F.expr(f"page_id div {PER_FILE}").cast("string"), F.lit("none")))
-    rows = pages.select("page_id", file.alias("file"), record.alias("record")).withColumn("length", F.octet_length("record").cast("long"))
-    order = Window.partitionBy("file").orderBy("page_id", "record").rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn("offset", F.sum("length").over(order) - F.col("length"))
+    order = Window.partitionBy("file").orderBy("page_id", "hash").rowsBetween(Window.unboundedPreceding, 0)
+    return rows.withColumn("file", file).withColumn("offset", F.sum("length").over(order) - F.col("length"))
 
 
-def leaves(records: DataFrame) -> DataFrame:
-    """(file, offset, page_id, hash) of records; a null record counts as empty."""
-    return records.select("file", F.col("offset").cast("long").alias("offset"), "page_id", F.sha2(F.coalesce(F.col("record"), F.lit("")).cast("binary"), 256).alias("hash"))
+def archive(pages: DataFrame) -> DataFrame:
+    """(file, offset, length, page_id, hash) of pages as WARC records."""
+    record = warc_record(pages)
+    return laid_out(pages.select("page_id", F.octet_length(record).cast("long").alias("length"), leaf_hash(record).alias("hash")))
 
 
 def _parents(nodes: DataFrame, width: int) -> DataFrame:
@@ -60,16 +68,16 @@ def _compared(a: DataFrame, b: DataFrame, level: int, keys: list[str]) -> DataFr
 
 
 def audit(primary: DataFrame, replica: DataFrame, levels: int = LEVELS) -> DataFrame:
-    """(level, file, start, page_id, primary_hash, replica_hash, status) for two record tables (file, offset, record, page_id).
+    """(level, file, start, page_id, primary_hash, replica_hash, status) for two replicas' records (file, offset, page_id, hash), hash being leaf_hash of a record.
 
     All roots (level `levels` + 1) are returned; below them only nodes under a parent that mismatched, down to level 0,
     the records, where start is the offset. status is same, changed, missing (from the replica) or extra. Records
-    that share a file and an offset are compared as one; rows with a null file or offset are left out. Two empty
+    that share a file and an offset are compared as one; rows with a null file, offset or hash are left out. Two empty
     tables give no rows.
     """
     sides = []
     for records in (primary, replica):
-        leaf = leaves(records).where("file IS NOT NULL AND offset IS NOT NULL")
+        leaf = records.select("file", F.col("offset").cast("long").alias("offset"), "page_id", "hash").where("file IS NOT NULL AND offset IS NOT NULL AND hash IS NOT NULL")
         leaf = leaf.groupBy("file", "offset").agg(F.min("page_id").alias("page_id"), F.array_join(F.sort_array(F.collect_list("hash")), "").alias("hash"))
         leaf = stage(leaf, "leaves")
         sides.append((leaf, tree(leaf, levels)))
@@ -93,17 +101,19 @@ def audit(primary: DataFrame, replica: DataFrame, levels: int = LEVELS) -> DataF
     return out
 
 
-def damaged(records: DataFrame) -> DataFrame:
-    """A replica for trials: in every third file, records of ids 7 past a multiple of 101 lose a byte at the end and those 9 past a multiple of 103 are gone."""
-    here = F.expr(f"page_id div {PER_FILE} % 3 = 1")
-    broken = F.when(here & (F.col("page_id") % 101 == 7), F.expr("substring(record, 1, length(record) - 1)")).otherwise(F.col("record"))
-    return records.withColumn("record", broken).where(~F.coalesce(here & (F.col("page_id") % 103 == 9), F.lit(False)))
-
-
 def op1_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The table holds one replica, so the other is the same archive with known damage, which SQL works out too."""
-    records = warc_records(table(spark, sf_dir, "pages"))
-    return audit(records, damaged(records))
+    """The table holds one replica, so the other is the same archive with known damage, which SQL works out too.
+
+    In every third file, records of ids 7 past a multiple of 101 lose their last byte and those 9 past a multiple of 103 are gone.
+    """
+    pages = table(spark, sf_dir, "pages")
+    record = warc_record(pages)
+    here = F.expr(f"page_id div {PER_FILE} % 3 = 1")
+    cut = leaf_hash(F.expr("substring(r, 1, length(r) - 1)"))
+    rows = pages.select("page_id", record.alias("r")).select("page_id", F.octet_length("r").cast("long").alias("length"), leaf_hash(F.col("r")).alias("hash"), F.when(here & (F.col("page_id") % 101 == 7), cut).alias("cut"))
+    both = stage(laid_out(rows), "archive")
+    gone = F.coalesce(here & (F.col("page_id") % 103 == 9), F.lit(False))
+    return audit(both.drop("cut"), both.where(~gone).withColumn("hash", F.coalesce("cut", "hash")).drop("cut"))
 
 
 def _sql() -> str:
@@ -131,7 +141,7 @@ def _sql() -> str:
     here = f"page_id // {PER_FILE} % 3 = 1"
     return (
         f"WITH r AS (SELECT page_id, 'pages-' || coalesce((page_id // {PER_FILE})::VARCHAR, 'none') AS file, {record} AS record FROM pages), "
-        "o AS (SELECT *, (sum(strlen(record)) OVER (PARTITION BY file ORDER BY page_id NULLS FIRST, record ROWS UNBOUNDED PRECEDING) - strlen(record))::BIGINT AS start FROM r), "
+        "o AS (SELECT *, (sum(strlen(record)) OVER (PARTITION BY file ORDER BY page_id NULLS FIRST, sha256(record) ROWS UNBOUNDED PRECEDING) - strlen(record))::BIGINT AS start FROM r), "
         "a AS (SELECT file, start, page_id, sha256(record) AS h FROM o), "
         f"b AS (SELECT file, start, page_id, sha256(CASE WHEN {here} AND page_id % 101 = 7 THEN left(record, length(record) - 1) ELSE record END) AS h FROM o WHERE NOT coalesce({here} AND page_id % 103 = 9, false)), "
         + ", ".join(steps)
