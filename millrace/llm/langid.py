@@ -46,7 +46,7 @@ def letters() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def trigrams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(text, trigram, count): distinct trigrams of each text, a trigram being three symbols in base 64."""
-    joined = ["  " + t.lower() + " " if t else "   " for t in texts]
+    joined = [" " + t.lower() + " " if t else "  " for t in texts]
     codes = np.frombuffer("".join(joined).encode("utf-32-le", "surrogatepass"), "<u4")
     s = symbols()[codes].astype(np.int64)
     doc = np.repeat(np.arange(len(texts)), [len(t) for t in joined])
