@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterable
-from datetime import date, datetime
+from datetime import date, datetime, timedelta
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -20,6 +20,21 @@ def _sure(c: Column, otherwise: bool = False) -> Column:
     return F.coalesce(c, F.lit(otherwise))
 
 
+def _compared(key: Column, op: str, literal: Column) -> Column:
+    """Two-valued by null checks rather than a coalesce, so that it can be pushed down to a scan."""
+    return (key.isNull() | (key != literal)) if op == "ne" else key.isNotNull() & COMPARED[op](key, literal)
+
+
+def _moment(ts: Column, op: str, value, value2=None) -> Column:
+    """A timestamp against days, as bounds on the timestamp itself rather than on a cast of it."""
+    day = lambda v: date.fromisoformat(_literal(v).strip()[:10])
+    at = lambda d: F.lit(d.isoformat()).cast("timestamp")
+    low, high = sorted([day(value), day(value if value2 is None else value2)])
+    start, stop = at(low), at(high + timedelta(days=1))
+    inside = ts.isNotNull() & (ts >= start) & (ts < stop)
+    return {"gt": ts.isNotNull() & (ts >= stop), "gte": ts.isNotNull() & (ts >= start), "lt": ts.isNotNull() & (ts < start), "lte": ts.isNotNull() & (ts < stop), "ne": ts.isNull() | (ts < start) | (ts >= stop)}.get(op, inside)
+
+
 def _text(df: DataFrame, column: str) -> Column:
     return as_text(F.col(f"`{column}`"), df.schema[column].dataType)
 
@@ -68,12 +83,14 @@ def leaf(df: DataFrame, column: str, op: str, value=None, value2=None, values: I
     if op == "in":
         wanted = [_literal(v).strip() if case_sensitive else _literal(v).strip().lower() for v in values]
         return same(strip(text)).isin(wanted)
+    if isinstance(kind, T.TimestampType) and (op in COMPARED or op == "between"):
+        return _moment(F.col(f"`{column}`"), op, value, value2)
     key = _key(df, column, value, locale, date_order)
     if op == "between":
-        a, b = key(value), key(value2)
-        return _sure(key(None).between(F.least(a, b), F.greatest(a, b)))
+        a, b = sorted([value, value2], key=lambda v: v if isinstance(v, int | float) else _literal(v))
+        return _compared(key(None), "gte", key(a)) & _compared(key(None), "lte", key(b))
     if op in COMPARED:
-        return _sure(COMPARED[op](key(None), key(value)), op == "ne")
+        return _compared(key(None), op, key(value))
     raise ValueError(f"no such comparison: {op}")
 
 
