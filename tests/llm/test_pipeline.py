@@ -60,7 +60,7 @@ def test_sql(spark, name):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     got, want = catalog.QUERIES[name](spark, SF).toPandas(), con.sql(catalog.SQL[name]).df()
     assert sorted(got.columns) == sorted(want.columns) and len(got) == len(want)
-    shown = lambda df: Counter(tuple("" if v is None or v is not v or str(v) == "<NA>" else f"{float(v):.6f}" if isinstance(v, int | float | np.number) and not isinstance(v, bool) else str(v) for v in r) for r in df[sorted(df.columns)].itertuples(index=False))
+    shown = lambda df: Counter(tuple("" if v is None or str(v) in ("nan", "<NA>", "NaT") else f"{float(v):.6f}" if isinstance(v, int | float | np.number) and not isinstance(v, bool) else str(v) for v in r) for r in df[sorted(df.columns)].itertuples(index=False))
     assert shown(got) == shown(want)
 
 
