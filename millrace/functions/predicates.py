@@ -117,15 +117,15 @@ def top_n(df: DataFrame, column: str, n: int, lowest: bool = False) -> DataFrame
     """The n largest (or smallest) values with all ties. The n-th value is found by a top-n sort, not by a full one."""
     c = F.col(f"`{column}`")
     best = df.where(c.isNotNull()).select(c.alias("v")).orderBy(F.col("v").asc() if lowest else F.col("v").desc()).limit(n)
-    edge = best.agg((F.max("v") if lowest else F.min("v")).alias("__edge"))
-    return df.join(F.broadcast(edge), c <= F.col("__edge") if lowest else c >= F.col("__edge")).drop("__edge")
+    edge = best.agg(F.max("v") if lowest else F.min("v")).scalar()
+    return df.where(c <= edge if lowest else c >= edge)
 
 
 def around_average(df: DataFrame, column: str, above: bool = True) -> DataFrame:
     """Rows above (or below) the column's average, which is rounded to 1e-10."""
     c = F.col(f"`{column}`").cast("double")
-    mean = df.agg((F.round(F.avg(c) * 1e10) / 1e10).alias("__mean"))
-    return df.join(F.broadcast(mean), c > F.col("__mean") if above else c < F.col("__mean")).drop("__mean")
+    mean = df.agg(F.round(F.avg(c) * 1e10) / 1e10).scalar()
+    return df.where(c > mean if above else c < mean)
 
 
 def period(column: Column, which: str, today: Column | None = None, n: int = 0) -> Column:

@@ -55,10 +55,10 @@ def dedupe(f: Frame, on: Sequence[str] | str = "*", ignore_case: bool = False, k
 
 def skip_rows(f: Frame, top: int = 0, bottom: int = 0) -> Frame:
     placed = f.positioned()
-    count = f.df.agg(F.count(F.lit(1)).alias("__count"))
-    kept = placed.crossJoin(F.broadcast(count)) if bottom else placed  # one row
-    kept = kept.where((F.col("__pos") > top) & (F.col("__pos") <= F.col("__count") - bottom if bottom else F.lit(True)))
-    return f.with_df(kept.drop("__pos", "__count"))
+    kept = placed.where(F.col("__pos") > top) if top else placed
+    if bottom:
+        kept = kept.where(F.col("__pos") <= f.df.agg(F.count(F.lit(1))).scalar() - bottom)
+    return f.with_df(kept.drop("__pos"))
 
 
 def promote_header(f: Frame, row: int = 0) -> Frame:

@@ -69,11 +69,11 @@ def top_values(f: Frame, column: str, n: int = 6) -> DataFrame:
 def histogram(f: Frame, column: str, bins: int = 20) -> DataFrame:
     """(bin, low, high, n): equal-width bins of a number column, the last one closed; empty bins are left out."""
     v = as_number(f.col(column), f.kind(column))
-    ends = f.df.agg(F.min(v).alias("lo"), F.max(v).alias("hi"))
-    width = (F.col("hi") - F.col("lo")) / bins
-    at = F.when(width > 0, F.least(F.floor((F.col("v") - F.col("lo")) / width), F.lit(bins - 1))).otherwise(0)
-    rows = f.df.select(v.alias("v")).where("v IS NOT NULL").crossJoin(F.broadcast(ends))  # one row
-    out = rows.withColumns({"bin": at.cast("long"), "low": F.col("lo") + at * width, "high": F.col("lo") + (at + 1) * width})
+    ends = f.df.agg(F.struct(F.min(v).alias("lo"), F.max(v).alias("hi"))).scalar()
+    width = (F.col("e.hi") - F.col("e.lo")) / bins
+    at = F.when(width > 0, F.least(F.floor((F.col("v") - F.col("e.lo")) / width), F.lit(bins - 1))).otherwise(0)
+    rows = f.df.select(v.alias("v")).where("v IS NOT NULL").withColumn("e", ends)
+    out = rows.withColumns({"bin": at.cast("long"), "low": F.col("e.lo") + at * width, "high": F.col("e.lo") + (at + 1) * width})
     return out.groupBy("bin", "low", "high").agg(F.count(F.lit(1)).alias("n"))
 
 
