@@ -9,11 +9,11 @@ from pyspark.sql import functions as F
 
 from millrace import operators as op
 from millrace.functions import formulas as fx
-from millrace.functions import ordering, values
+from millrace.functions import ordering, transforms, values
 from millrace.functions import predicates as pr
 from millrace.operators import Frame
 from millrace.plans import insights, pipeline
-from millrace.sources import readers, sinks
+from millrace.sources import detect, readers, sinks
 from millrace.streaming import steps
 
 
@@ -264,3 +264,22 @@ def test_stream(spark, tmp_path):
     assert sorted(r["t"] for r in spark.table("rows_out").collect()) == sorted(f"v{i}" for i in range(10, 20))
     with pytest.raises(ValueError):
         steps.on_stream(src, lambda f: op.sort_rows(f, ("id",)))
+
+
+@pytest.mark.parametrize(
+    ("examples", "want"),
+    [([("Ann Lee", "Lee"), ("Bo Ray", "Ray")], ("splitTake", " ", 2)), ([("3/4/2024", "2024-03-04"), ("12/25/2024", "2024-12-25")], ("dateReformat", "iso", "mdy")), ([("id-7", "7"), ("id-8", "8")], ("removePrefix", "id-")), ([("ann-x", "Ann"), ("bo-y", "Bo")], ("compose", ("splitTake", "-", 1), ("case", "title")))],
+)
+def test_by_example(spark, examples, want):
+    found = transforms.synthesize(spark, examples)
+    assert want in found
+    f = frame(spark, ["c"], [(a,) for a, _ in examples])
+    assert [r[0] for r in rows(op.rewrite(f, ["c"], lambda c: transforms.apply(found[0], c)))] == [b for _, b in examples]
+
+
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [("a,b\n1,2\n3,4", "delimited ','"), ('{"a":1}\n{"a":2}', "ndjson"), ("| a | b |\n|---|---|\n| 1 | 2 |", "markdown-table"), ("- x\n- y", "list"), ("level=info a=1\nlevel=warn a=2", "logfmt"), ('1.2.3.4 - - [10/Oct/2000:13:55:36 -0700] "GET / HTTP/1.0" 200 5', "access-log"), ("2024-01-02 03:04:05 ERROR x\n2024-01-02 03:04:06 INFO y", "log-lines"), ("just a line\nand another", "lines"), ("+--+--+\n| a | b |\n+--+--+\n| 1 | 2 |\n+--+--+", "box-table")],
+)
+def test_detection(spark, text, want):
+    assert detect.ranked(lines(spark, text))[0][0] == want
