@@ -35,9 +35,8 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     small_batches(spark)
-    model = public_tokenizers.path("piece_bpe_32k.model")
-    found = docs.select("doc_id", "lang", "source", F.coalesce("text", F.lit("")).alias("text"), pieces.encoded(F.col("text"), model).alias("ids"))
-    return found.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_pieces"), "ids", (pieces.decoded(F.col("ids"), model) == F.col("text")).alias("exact"))
+    found = pieces.checked(F.col("text"), public_tokenizers.path("piece_bpe_32k.model"))
+    return docs.select("doc_id", "lang", "source", found.alias("p")).select("doc_id", "lang", "source", F.size("p.ids").cast("long").alias("n_pieces"), "p.ids", "p.exact")
 
 
 STAGES = [("toxicity", drop_toxic), ("language_id", keep_languages), ("simhash", dedup), ("mixing", mix), ("sentencepiece", encode)]

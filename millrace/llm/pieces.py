@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 
 from .common import small_batches, table
 
-BLANK, DENSE_BELOW, CACHE, BLOCK = "▁", 0x180, 120_000, 4096
+BLANK, DENSE_BELOW, CACHE, BLOCK = "▁", 0x100, 120_000, 4096
 
 
 class Pieces:
@@ -271,6 +271,20 @@ def decoded(ids: Column, model: str) -> Column:
     return of(ids)
 
 
+def checked(text: Column, model: str) -> Column:
+    """struct(ids, exact): a text's ids, and whether they decode to it; one pass, so one model to a task. Null counts as empty."""
+    kind = T.StructType([T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("exact", T.BooleanType())])
+
+    @F.pandas_udf(kind)
+    def of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        p = pieces(model)
+        for texts in batches:
+            ids = [np.frombuffer(r, "<i4") for r in p.encode_batch(texts.tolist())]
+            yield pd.DataFrame({"ids": ids, "exact": [p.decode(i.tolist()) == (t or "") for i, t in zip(ids, texts, strict=True)]})
+
+    return of(text)
+
+
 def digested(text: Column, model: str) -> Column:
     """struct(n_pieces, ids_crc32, exact): the encoding's length and unsigned crc32, and whether decoding it gives the text back."""
     kind = T.StructType([T.StructField("n_pieces", T.LongType()), T.StructField("ids_crc32", T.LongType()), T.StructField("exact", T.BooleanType())])
