@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -56,6 +56,17 @@ def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
         spark.conf.set(key, str(rows))
 
 
+_slot: dict = {}
+
+
+def kept(key, make: Callable[[], object]):
+    """make()'s result, kept in the worker process for its next tasks; only the latest key's, so that a process that has served several operators holds one model."""
+    if key not in _slot:
+        _slot.clear()
+        _slot[key] = make()
+    return _slot[key]
+
+
 def groups(texts: list[str | None], chars: int = 400_000) -> Iterator[tuple[int, int]]:
     """Bounds of runs of texts of about so many characters together, a longer text alone: bounded memory for work on whole runs."""
     start = total = 0

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fold, groups, small_batches, table
+from .common import fold, groups, kept, small_batches, table
 
 DIM, SEED, SYMBOLS = 1024, 7, 64
 #: Bound of the training sample: texts a language, and languages (the most frequent).
@@ -116,6 +116,7 @@ def identified(text: Column, model: tuple[list[str], np.ndarray]) -> Column:
 
     @F.pandas_udf(kind)
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        kept("langid", lambda: None)  # lets go of an earlier operator's model
         for texts in batches:
             part = []
             whole = texts.tolist()

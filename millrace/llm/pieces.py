@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import small_batches, table
+from .common import kept, small_batches, table
 
 BLANK, DENSE_BELOW, CACHE, BLOCK = "▁", 0x100, 120_000, 4096
 
@@ -238,13 +238,8 @@ class Pieces:
         return text[1:] if text[:1] == " " else text
 
 
-_models: dict[str, Pieces] = {}
-
-
 def pieces(path: str) -> Pieces:
-    if path not in _models:
-        _models[path] = Pieces(path)
-    return _models[path]
+    return kept(("pieces", path), lambda: Pieces(path))
 
 
 def encoded(text: Column, model: str) -> Column:

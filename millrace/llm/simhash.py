@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import connected_components, lower_ascii, small_batches, stage, table
+from .common import connected_components, kept, lower_ascii, small_batches, stage, table
 
 SHINGLE, SEED, BITS = 3, 42, 2
 #: Start bit and length of the blocks that the codes cover; the other bits take part only in the comparison.
@@ -59,6 +59,7 @@ def fingerprint(text: Column, shingle: int = SHINGLE, seed: int = SEED) -> Colum
 
     @F.pandas_udf(T.LongType())
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        kept("simhash", lambda: None)  # lets go of an earlier operator's model
         for texts in batches:
             yield pd.Series(np.array([simhash(t, shingle, seed) for t in texts], dtype=np.uint64).astype(np.int64))
 

@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import new_path, small_batches, stage, table
+from .common import kept, new_path, small_batches, stage, table
 
 END_ID = 2
 SEEK_MAGIC, SEEKABLE_MAGIC, IDS_MAGIC = 0x184D2A5E, 0x8F92EAB1, 0x184D2A5D
@@ -92,13 +92,8 @@ class Encoder:
         return self.encode_batch([text])[0]
 
 
-_encoders: dict[str, Encoder] = {}
-
-
 def encoder(path: str) -> Encoder:
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    return kept(("tokens", path), lambda: Encoder(path))
 
 
 class Writer:
