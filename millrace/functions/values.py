@@ -17,7 +17,7 @@ MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct",
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, f"^[{SPACE}]+|[{SPACE}]+$", "")
+    return F.regexp_replace(c, rf"^[{SPACE}]+|[{SPACE}]+\z", "")
 
 
 def collapse(c: Column) -> Column:

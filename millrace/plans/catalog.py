@@ -210,6 +210,11 @@ def _(t: Tables) -> DataFrame:
     return op.rename(op.trim(f, ["text"]), "text", "text_trimmed").result().select("doc_id", "text_trimmed")
 
 
+@query("trim_collapse_whole", r"""SELECT doc_id, regexp_replace(regexp_replace(text, '[ \t\x{A0}]+', ' ', 'g'), '\A[\t-\r \x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]+|[\t-\r \x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]+\z', '', 'g') AS text_trimmed FROM documents""")
+def _(t: Tables) -> DataFrame:
+    return op.rename(op.trim(t("documents"), ["text"]), "text", "text_trimmed").result().select("doc_id", "text_trimmed")
+
+
 @query("case_upper", "SELECT s_suppkey, upper(s_name) AS s_name FROM supplier")
 def _(t: Tables) -> DataFrame:
     return op.change_case(t("supplier"), ["s_name"], "upper").result().select("s_suppkey", "s_name")
@@ -358,6 +363,19 @@ def _(t: Tables) -> DataFrame:
     return op.compare(new, old, ["p_partkey"]).result().select("p_partkey", "_diff", "_changes")
 
 
+@query(
+    "diff_whole",
+    "SELECT coalesce(a.p_partkey,b.p_partkey) AS p_partkey, CASE WHEN b.p_partkey IS NULL THEN 'added' WHEN a.p_partkey IS NULL THEN 'removed' WHEN a.p_size IS DISTINCT FROM b.p_size THEN 'changed' ELSE 'unchanged' END AS _diff, "
+    "CASE WHEN a.p_size IS DISTINCT FROM b.p_size AND a.p_partkey IS NOT NULL AND b.p_partkey IS NOT NULL THEN 'p_size: ' || b.p_size || ' → ' || a.p_size ELSE '' END AS _changes "
+    "FROM (SELECT p_partkey, p_size FROM part WHERE p_partkey % 20 <> 3) a FULL JOIN (SELECT p_partkey, CASE WHEN p_partkey % 7 = 0 THEN p_size+1 ELSE p_size END AS p_size FROM part WHERE p_partkey % 20 <> 7) b USING (p_partkey)",
+)
+def _(t: Tables) -> DataFrame:
+    f = op.select_columns(t("part"), "p_partkey", "p_size")
+    new = op.filter_rows(f, f.col("p_partkey") % 20 != 3)
+    old = f.with_df(f.df.where("p_partkey % 20 <> 7").withColumn("p_size", F.when(F.col("p_partkey") % 7 == 0, F.col("p_size") + 1).otherwise(F.col("p_size"))))
+    return op.compare(new, old, ["p_partkey"]).result().select("p_partkey", "_diff", "_changes")
+
+
 # Formulas
 
 
@@ -389,6 +407,20 @@ def _(t: Tables) -> DataFrame:
     return f.df.select("o_orderkey", fx.datedif(d, end, "D").alias("days"), fx.datedif(d, end, "M").alias("months"), fx.weekday(d).cast("long").alias("wd"))
 
 
+@query(
+    "formula_datedif_whole",
+    "SELECT o_orderkey, abs(date_diff('day', d, DATE '1999-01-01'))::BIGINT AS days, ((year(b) - year(a)) * 12 + month(b) - month(a) - (day(b) < day(a))::INT)::BIGINT AS months, wd "
+    "FROM (SELECT *, least(d, DATE '1999-02-28') AS a, greatest(d, DATE '1999-02-28') AS b FROM (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS d, (isodow(o_orderdate) % 7 + 1)::BIGINT AS wd FROM orders))",
+)
+def _(t: Tables) -> DataFrame:
+    """Either date may be the earlier one. A month is full on the same day of a later month: from the 31st none is at the end of February."""
+    f = t("orders")
+    d, new_year, february = f.col("o_orderdate").cast("date"), F.lit("1999-01-01").cast("date"), F.lit("1999-02-28").cast("date")
+    days = fx.datedif(F.least(d, new_year), F.greatest(d, new_year), "D")
+    months = fx.datedif(F.least(d, february), F.greatest(d, february), "M")
+    return f.df.select("o_orderkey", days.alias("days"), months.alias("months"), fx.weekday(d).cast("long").alias("wd"))
+
+
 @query("formula_math", "SELECT l_orderkey, l_linenumber, round((l_quantity * 1.25)::DECIMAL(38,12), 1)::DOUBLE AS gross, l_quantity - 7 * floor(l_quantity / 7) AS rest, CASE WHEN l_discount = 0 THEN NULL ELSE l_tax / l_discount END AS ratio, greatest(l_discount, l_tax) AS most FROM lineitem")
 def _(t: Tables) -> DataFrame:
     f = t("lineitem")
