@@ -348,3 +348,17 @@ def test_images(spark):
     assert sum(by[i] == w for i, w in want.items()) >= 46
     assert [by[i] for i in (500, 501, 502, 503, None)] == [500, 501, 502, 503, None]
     assert images.copies(spark.createDataFrame([], "image_id long, width int, pixels binary")).count() == 0
+
+
+def test_image_crops(spark):
+    """Crops that hold a half or a quarter of a larger image link to it, though its strongest corners are elsewhere."""
+    r = np.random.default_rng(3)
+    rows = []
+    for i in range(6):
+        tiles = r.integers(0, 255, (24, 24)).astype(float)
+        tiles[:, 12:] = 128 + 0.5 * (tiles[:, 12:] - 128)
+        a = np.kron(tiles.astype(np.uint8), np.ones((10, 10), np.uint8))
+        for k, b in enumerate((a, a[:, 120:], a[120:, 120:], a[37:157, 120:])):
+            rows.append((100 * k + i, b.shape[1], b.tobytes()))
+    got = {x["image_id"]: x["component_id"] for x in images.copies(spark.createDataFrame(rows, "image_id long, width int, pixels binary")).collect()}
+    assert got == {i: i % 100 for i, *_ in rows}
