@@ -362,3 +362,19 @@ def test_image_crops(spark):
             rows.append((100 * k + i, b.shape[1], b.tobytes()))
     got = {x["image_id"]: x["component_id"] for x in images.copies(spark.createDataFrame(rows, "image_id long, width int, pixels binary")).collect()}
     assert got == {i: i % 100 for i, *_ in rows}
+
+
+def test_image_rounds(spark, monkeypatch):
+    """Rounds go on while links are found, and equal images are one row of the tables."""
+    seen, real = [], images._tables
+    monkeypatch.setattr(images, "_tables", lambda rows: seen.append(rows.count()) or real(rows))
+    left = [7]
+
+    def geometry(pairs):
+        left[0] -= 1
+        return spark.createDataFrame([(left[0], left[0] + 1)] if left[0] else [], "src long, dst long")
+
+    monkeypatch.setattr(images, "_geometry", geometry)
+    got = images.copies(spark.createDataFrame([(k, 8, bytes([k // 2 * 2] * 64)) for k in range(10)], "image_id long, width int, pixels binary")).collect()
+    assert seen == [5] * 7
+    assert {x["image_id"]: x["component_id"] for x in got} == {k: 0 if k < 2 else 0 if k < 8 else 8 for k in range(10)}
