@@ -33,7 +33,7 @@ SIGN_COST, KEEP_COST, RUN_COST, GAP_COST = -1.0, -6.0, -1.0, -1.0
 #: Bounds of the fit: labelled rows drawn, features tried and kept, rows of label 1 a feature must be in.
 LABELLED, TRIED, FEATURES, LEAST = 10_000, 20_000, 3_000, 3
 #: Words kept by a scorer; a tenth while features are names.
-PREFIXES, CACHE, LONGEST = (2, 3, 4, 5, 6, 7), 120_000, 64
+PREFIXES, CACHE = (2, 3, 4, 5, 6, 7), 120_000
 
 _MARKS = "".join(re.escape(c) for c in LOOKALIKES)
 _CORE = re.compile(r"[^\W_]+")
@@ -61,10 +61,10 @@ class Channel:
 
     def best(self, lattice: list[list[tuple[str, float]]]) -> str:
         """The best path through a lattice, whose places list (letters, channel cost); blanks in it are word edges."""
-        paths = {(0, 0): (0.0, "")}
+        paths: dict[tuple[int, int], tuple] = {(0, 0): (0.0, None)}  # score and last step; a step is (letters, the step before)
         for place in [*lattice, [(" ", 0.0)]]:
-            after: dict[tuple[int, int], tuple[float, str]] = {}
-            for (a, b), (score, text) in paths.items():
+            after: dict[tuple[int, int], tuple] = {}
+            for (a, b), (score, step) in paths.items():
                 for letters, cost in place:
                     x, y, s = a, b, score + cost
                     for c in letters:
@@ -72,9 +72,13 @@ class Channel:
                         s += self.log[x][y][z]
                         x, y = (0, 0) if z == 0 else (y, z)
                     if (x, y) not in after or s > after[x, y][0]:
-                        after[x, y] = (s, text + letters)
+                        after[x, y] = (s, (letters, step))
             paths = after
-        return max(paths.values())[1][:-1]
+        out, step = [], max(paths.values(), key=lambda p: p[0])[1]
+        while step:
+            out.append(step[0])
+            step = step[1]
+        return "".join(reversed(out))[:-1]
 
     def lattice(self, word: str) -> list[list[tuple[str, float]]]:
         out, k = [], 0
@@ -96,9 +100,9 @@ class Channel:
         run = _RUN.search(core)
         if not run and core.isalpha():
             return [core]
-        if len(core) <= LONGEST and _DOTTED.fullmatch(core):
+        if _DOTTED.fullmatch(core):
             return self.spaced(_CORE.findall(core) if "*" not in core else [c for c in core if c not in "._-~*"])
-        if len(core) <= LONGEST and (run or _SIGNS.search(core)) and any(map(str.isalpha, core)):
+        if (run or _SIGNS.search(core)) and any(map(str.isalpha, core)):
             return _CORE.findall(self.best(self.lattice(core)))
         return _CORE.findall(core)
 
@@ -112,22 +116,22 @@ class Channel:
 
 
 def single_runs(words: list[str]) -> tuple[list[str], list[list[str]]]:
-    """words without the runs of three or more single characters, and those runs; a run holds LONGEST characters at most and goes on in the next."""
+    """words without the runs of three or more single characters, and those runs, however long."""
     if sum(len(w) == 1 for w in words) < 3:
         return words, []
     rest, runs, run = [], [], []
     for w in [*words, ""]:
-        if len(w) == 1 and (w.isalnum() or w in LOOKALIKES) and len(run) < LONGEST:
+        if len(w) == 1 and (w.isalnum() or w in LOOKALIKES):
             run.append(w)
             continue
         if len(run) > 2:
             runs.append(run)
         else:
             rest += run
-        run = [w] if len(w) == 1 and (w.isalnum() or w in LOOKALIKES) else []
-        if w and not run:
+        run = []
+        if w:
             rest.append(w)
-    return (rest + run if len(run) < 3 else rest), runs
+    return rest, runs
 
 
 def features_of(word: str) -> list[str]:

@@ -378,3 +378,18 @@ def test_image_rounds(spark, monkeypatch):
     got = images.copies(spark.createDataFrame([(k, 8, bytes([k // 2 * 2] * 64)) for k in range(10)], "image_id long, width int, pixels binary")).collect()
     assert seen == [5] * 7
     assert {x["image_id"]: x["component_id"] for x in got} == {k: 0 if k < 2 else 0 if k < 8 else 8 for k in range(10)}
+
+
+def test_long_disguises():
+    counts = np.zeros((28, 28, 28), np.int64)
+    for w in ["you", "are", "an", "idiot", "stupid"] * 50:
+        s = [0, 0, *map(toxicity.symbol, w), 0]
+        for x, y, z in zip(s, s[1:], s[2:], strict=False):
+            counts[0 if y == 0 else x, y, z] += 1
+    ch = toxicity.Channel(counts)
+    said = ["you", "are", "an", "idiot", "you", "are", "stupid"] * 6
+    assert ch.restore(".".join("".join(said))) == said
+    assert ch.restore("idi" + "o" * 500 + "t") == ["idiot"]
+    rest, runs = toxicity.single_runs(["so", *"".join(said), "end"])
+    assert rest == ["so", "end"] and [ch.spaced(r) for r in runs] == [said]
+    assert len("".join(ch.spaced(list("".join(said) * 100)))) == 100 * len("".join(said))
