@@ -16,8 +16,10 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are text in some language: those without a letter, null and empty ones go."""
-    found = langid.identified(F.col("text"), langid.model_of(docs))
-    return docs.where(found["lang_pred"] != langid.UNKNOWN)
+    model = langid.model_of(docs)
+    if not model[0] or langid.UNKNOWN in model[0]:  # then `und` doesn't tell letterless texts from others
+        return docs.where(langid.lettered(F.col("text")))
+    return docs.where(langid.identified(F.col("text"), model)["lang_pred"] != langid.UNKNOWN)
 
 
 def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

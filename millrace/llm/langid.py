@@ -135,6 +135,17 @@ def identified(text: Column, model: tuple[list[str], np.ndarray]) -> Column:
     return of(text)
 
 
+def lettered(text: Column) -> Column:
+    """Column of booleans: whether a text has a letter, and so a trigram; false for null and empty texts."""
+
+    @F.pandas_udf(T.BooleanType())
+    def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series([any(map(str.isalpha, t)) if t else False for t in texts], dtype=bool)
+
+    return of(text)
+
+
 def model_of(docs: DataFrame) -> tuple[list[str], np.ndarray]:
     """Trained on the documents outside the held-out fold."""
     return train(docs.where(fold(F.col("doc_id"), 3) != 1))

@@ -53,6 +53,14 @@ def test_pipeline_on_nothing(spark):
         assert f(spark, docs, SF).count() == 0
 
 
+@pytest.mark.parametrize("column, value", [("lang", None), ("doc_id", None), ("lang", "und")])
+def test_languages_unknown(spark, column, value):
+    """Where no language can be learned, or one has the name of none, all documents with a letter stay."""
+    docs = spark.createDataFrame([(k, t, "en", "s") for k, t in enumerate(["a text", "日本", "Ünï 1", "12 !?", "", None, " \n"] * 4)], "doc_id long, text string, lang string, source string")
+    got = corpus_pipeline.keep_languages(spark, docs.withColumn(column, F.lit(value).cast(docs.schema[column].dataType)), SF).collect()
+    assert Counter(r["text"] for r in got) == {"a text": 4, "日本": 4, "Ünï 1": 4}
+
+
 @pytest.mark.parametrize("name", sorted(catalog.SQL))
 def test_sql(spark, name):
     con = duckdb.connect()
