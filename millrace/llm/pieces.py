@@ -14,6 +14,7 @@ characters go through the automaton together, a column of characters at a time;
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections import deque
 from collections.abc import Iterator
 
@@ -26,7 +27,9 @@ from pyspark.sql import types as T
 
 from .common import kept, small_batches, table
 
-BLANK, DENSE_BELOW, CACHE, BLOCK = "▁", 0x100, 120_000, 4096
+BLANK, DENSE_BELOW, CACHE = "▁", 0x100, 120_000
+#: Words that go through the automaton together: so many, and so many cells of words by width; longer words than LONG go one by one.
+BLOCK, CELLS, LONG = 4096, 1_000_000, 4096
 
 
 class Pieces:
@@ -98,28 +101,37 @@ class Pieces:
 
     def segment_one(self, word: str, literal: frozenset[int] = frozenset()) -> list[int]:
         """Best ids of a normalised word; positions in literal are characters that only bytes may cover."""
-        best, back = [0.0] + [-np.inf] * len(word), [(0, -1)] * (len(word) + 1)
-        hits: list[list] = [[] for _ in word]
-        for end, piece in self.all.iter(word):
-            hits[end].append(piece)
+        best, size_at, id_at = array("d", [0.0]), array("i", [0]), array("i", [-1])
+        found = self.all.iter(word)
+        hit = next(found, None)
         for end in range(len(word)):
-            best[end + 1], back[end + 1] = best[end] + self.unknown, (1, -1)
-            for size, score, i in sorted(hits[end], reverse=True):
-                if best[end + 1 - size] + score > best[end + 1] and not literal.intersection(range(end + 1 - size, end + 1)):
-                    best[end + 1], back[end + 1] = best[end + 1 - size] + score, (size, i)
-        ids, at = [], len(word)
+            top, back, hits = best[end] + self.unknown, (1, -1), []
+            while hit is not None and hit[0] == end:
+                hits.append(hit[1])
+                hit = next(found, None)
+            for size, score, i in sorted(hits, reverse=True):
+                if best[end + 1 - size] + score > top and not literal.intersection(range(end + 1 - size, end + 1)):
+                    top, back = best[end + 1 - size] + score, (size, i)
+            best.append(top)
+            size_at.append(back[0])
+            id_at.append(back[1])
+        ids, at = array("i"), len(word)
         while at:
-            size, i = back[at]
-            ids.append([i] if i >= 0 else self._bytes(word[at - 1]))
-            at -= size
-        return [i for part in reversed(ids) for i in part]
+            ids.extend([id_at[at]] if id_at[at] >= 0 else reversed(self._bytes(word[at - 1])))
+            at -= size_at[at]
+        ids.reverse()
+        return ids.tolist()
 
     def segment(self, words: list[str]) -> list[bytes]:
         """Best ids of many normalised words of common characters without literal blanks, as little-endian 32-bit integers."""
         order = sorted(range(len(words)), key=lambda k: len(words[k]))
         out: list[bytes] = [b""] * len(words)
-        for a in range(0, len(order), BLOCK):
-            some = order[a : a + BLOCK]
+        b = 0
+        while b < len(order):
+            a, b = b, b + 1
+            while b < len(order) and b - a < BLOCK and (b + 1 - a) * len(words[order[b]]) <= CELLS:
+                b += 1
+            some = order[a:b]
             lens = np.array([len(words[k]) for k in some])
             width = int(lens[-1])
             if width == 0:
@@ -180,7 +192,7 @@ class Pieces:
         plain, texts = [], []
         for k in keys:
             body = k[1:] if k[:1] == "\0" else k if k[:1] == " " else " " + k
-            if BLANK in body:
+            if BLANK in body or len(body) > LONG:
                 literal = frozenset(i for i, c in enumerate(body) if c == BLANK)
                 self.new[k] = np.array(self.segment_one(body.replace(" ", BLANK), literal), "<i4").tobytes()
             elif body.isascii() or self.common[np.frombuffer(body.encode("utf-32-le", "surrogatepass"), "<u4")].all():

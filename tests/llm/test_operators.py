@@ -393,3 +393,22 @@ def test_long_disguises():
     rest, runs = toxicity.single_runs(["so", *"".join(said), "end"])
     assert rest == ["so", "end"] and [ch.spaced(r) for r in runs] == [said]
     assert len("".join(ch.spaced(list("".join(said) * 100)))) == 100 * len("".join(said))
+
+
+def test_long_words():
+    """A long word among many takes memory for itself, not for all of them, and is segmented as in short blocks."""
+    import tracemalloc
+
+    import public_tokenizers
+
+    p = pieces.Pieces(public_tokenizers.path("piece_bpe_32k.model"))
+    r = random.Random(8)
+    few = ["".join(r.choices("abcdefghij0123é", k=n)) for n in (1500, 4000, 4095, 4096, 9000)]
+    text = " ".join([*(f"w{k}x" for k in range(4100)), *few])
+    tracemalloc.start()
+    got = p.encode_bytes(text)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 150 << 20
+    assert got == b"".join(np.array(p.segment_one("▁" + w), "<i4").tobytes() for w in text.split(" "))
+    assert p.decode(np.frombuffer(got, "<i4").tolist()) == text
