@@ -48,7 +48,6 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.lib, self.size, self.new, self.old = Tokenizer.from_file(path), size, {"": b""}, {}
-        self.lib.encode_special_tokens = True
         n = self.lib.get_vocab_size(with_added_tokens=True)
         self.ends = np.array([str(self.lib.id_to_token(i)).endswith("</w>") for i in range(n)])
 

@@ -395,6 +395,17 @@ def test_long_disguises():
     assert len("".join(ch.spaced(list("".join(said) * 100)))) == 100 * len("".join(said))
 
 
+def test_special_tokens_in_a_text():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    lib, mine = Tokenizer.from_file(path), tokenstore.Encoder(path)
+    for t in ["<|endoftext|>", "a <|startoftext|> b", "it's<|endoftext|>'s <|startoftext|><|endoftext|>. <|EndOfText|>,"]:
+        assert mine.encode(t) == np.array(lib.encode(t, add_special_tokens=False).ids, "<u4").tobytes(), t
+    assert np.frombuffer(mine.encode("<|endoftext|>"), "<u4").tolist() == [49407]
+
+
 def test_long_words():
     """A long word among many takes memory for itself, not for all of them, and is segmented as in short blocks."""
     import tracemalloc
