@@ -415,7 +415,7 @@ def test_long_words():
     p = pieces.Pieces(public_tokenizers.path("piece_bpe_32k.model"))
     r = random.Random(8)
     few = ["".join(r.choices("abcdefghij0123é", k=n)) for n in (1500, 4000, 4095, 4096, 9000)]
-    text = " ".join([*(f"w{k}x" for k in range(4100)), *few])
+    text = " ".join([*(f"w{k}x" for k in range(4000)), *few])
     tracemalloc.start()
     got = p.encode_bytes(text)
     peak = tracemalloc.get_traced_memory()[1]
