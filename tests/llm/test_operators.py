@@ -364,20 +364,29 @@ def test_image_crops(spark):
     assert got == {i: i % 100 for i, *_ in rows}
 
 
-def test_image_rounds(spark, monkeypatch):
-    """Rounds go on while links are found, and equal images are one row of the tables."""
-    seen, real = [], images._tables
-    monkeypatch.setattr(images, "_tables", lambda rows: seen.append(rows.count()) or real(rows))
-    left = [7]
-
-    def geometry(pairs):
-        left[0] -= 1
-        return spark.createDataFrame([(left[0], left[0] + 1)] if left[0] else [], "src long, dst long")
-
-    monkeypatch.setattr(images, "_geometry", geometry)
-    got = images.copies(spark.createDataFrame([(k, 8, bytes([k // 2 * 2] * 64)) for k in range(10)], "image_id long, width int, pixels binary")).collect()
-    assert seen == [5] * 7
-    assert {x["image_id"]: x["component_id"] for x in got} == {k: 0 if k < 2 else 0 if k < 8 else 8 for k in range(10)}
+def test_image_classes(spark, monkeypatch):
+    """Classes are those that all pairs of images give, matched by brute force; so they are if every bucket is split by further bands."""
+    r = np.random.default_rng(6)
+    images_ = []
+    for i in range(30):
+        base = np.kron(r.integers(0, 255, (8, 8)), np.ones((8, 8)))
+        images_ += [np.clip(base + np.kron(r.normal(0, s, (8, 8)), np.ones((8, 8))), 0, 255).astype(np.uint8) for s in (0, 3, 6, 9)[: 1 + i % 4]]
+    images_ += [np.clip(images_[0] + r.normal(0, 1 + k % 3, (64, 64)), 0, 255).astype(np.uint8) for k in range(40)]  # a large group
+    points = [list(images.describe(a).T) for a in images_]
+    pairs = [(i, j) for j in range(len(points)) for i in range(j) if images.agree(points[i], points[j])]
+    low = groups_of(pairs, range(len(points)))
+    # Rows 1000 and up repeat pixels of the others under ids and rows of their own; rows that share an id are one node.
+    rows = [(i, 64, a.tobytes(), 1, "x") for i, a in enumerate(images_)] + [(1000 + i, 64, images_[i].tobytes(), 1, "x") for i in range(5)] + [(3, 64, images_[3].tobytes(), 1, "x")]
+    table_ = spark.createDataFrame(rows, "image_id long, width int, pixels binary, node int, tag string")
+    for most in (images.PAIRS, 0):
+        monkeypatch.setattr(images, "PAIRS", most)
+        got = images.copies(table_).collect()
+        assert len(got) == len(rows) and sum(x["image_id"] == 3 for x in got) == 2
+        by = {x["image_id"]: x["component_id"] for x in got}
+        assert all(by[1000 + i] == by[i] for i in range(5))
+        hit = sum(by[i] == by[j] for i, j in pairs)
+        assert hit >= (0.98 if most else 0.9) * len(pairs), (most, hit, len(pairs))
+        assert all(low[by[i]] == low[i] for i in range(len(points)))  # nothing linked that brute force doesn't link
 
 
 def test_long_disguises():
