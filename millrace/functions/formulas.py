@@ -7,6 +7,8 @@ counts as 0 in arithmetic, positions count characters from 1, and text compariso
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -136,15 +138,55 @@ def value(c: Column, order: str = "mdy") -> Column:
     return F.coalesce(parse_number(c), serial(parse_date(c, order)))
 
 
+_TOKEN = re.compile(r'"([^"]*)"|\\(.)|(y+|m+|d+)|([0#.,]+)|(%)|([^A-Za-z@*_\[\];"\\])', re.IGNORECASE)
+
+
 def text(c: Column, pattern: str) -> Column:
-    """A number by a pattern of 0 # , . %, or a date by one of y m d."""
-    if set(pattern.lower()) & set("ymd"):
-        return F.date_format(c, pattern.lower().replace("m", "M"))
-    percent = pattern.endswith("%")
-    places = len(pattern.rstrip("%").partition(".")[2])
-    x = F.round(c.cast("double") * (100 if percent else 1), places)
-    shown = F.format_number(x, places) if "," in pattern else F.replace(F.format_number(x, places), F.lit(","), F.lit(""))
-    return F.concat(shown, F.lit("%")) if percent else shown
+    """A number by a pattern of 0 # , . % or a date by one of y m d (one to four letters each), with literals between; null for null.
+
+    0 is a digit that is always shown, # one that is shown where it is needed. "…" and \\x are literal.
+    """
+    parts, at = [], 0
+    while at < len(pattern):
+        m = _TOKEN.match(pattern, at)
+        if not m:
+            raise ValueError(f"not a format: {pattern!r}")
+        k = m.lastindex
+        parts.append(("literal" if k in (1, 2, 6) else {3: "date", 4: "digits", 5: "percent"}[k], m[k]))
+        at = m.end()
+    if any(kind == "date" for kind, _ in parts):
+        if any(kind == "percent" or (kind == "digits" and set(v) - set(".,")) for kind, v in parts):
+            raise ValueError(f"not a format: {pattern!r}")
+        return F.concat(*[_date_part(c, v.lower()) if kind == "date" else F.lit(v) for kind, v in parts])
+    digits = [i for i, (kind, _) in enumerate(parts) if kind == "digits"]
+    if len(digits) > 1:
+        raise ValueError(f"not a format: {pattern!r}")
+    say = lambda some: "".join(v for _, v in some)
+    if not digits:
+        return F.when(c.isNotNull(), say(parts))
+    whole, _, places = parts[digits[0]][1].partition(".")
+    if "," in places or "." in places or whole.startswith(",") or whole.endswith(","):
+        raise ValueError(f"not a format: {pattern!r}")
+    x = c.cast("double") * (100 if any(kind == "percent" for kind, _ in parts) else 1)
+    rounded = F.round(F.abs(x).try_cast("decimal(38,12)"), len(places))
+    shown = rounded.cast(f"decimal(38,{len(places)})").cast("string")
+    ints, least = F.substring_index(shown, ".", 1), whole.count("0")
+    ints = F.when(F.length(ints) < least, F.lpad(ints, least, "0")).otherwise(ints) if least else F.when(ints != "0", ints).otherwise("")
+    ints = F.regexp_replace(ints, r"\B(?=(\d{3})+(?!\d))", ",") if "," in whole else ints
+    sure = places.count("0")
+    rest = F.substring_index(shown, ".", -1) if places else F.lit("")
+    rest = F.concat(F.substring(rest, 1, sure), F.rtrim(F.substring(rest, sure + 1, 40), F.lit("0")))
+    sign = F.when((x < 0) & (rounded != 0), "-").otherwise("")
+    return F.concat(sign, F.lit(say(parts[: digits[0]])), ints, F.when(rest != "", F.concat(F.lit("."), rest)).otherwise(""), F.lit(say(parts[digits[0] + 1 :])))
+
+
+def _date_part(c: Column, letters: str) -> Column:
+    n, of = len(letters), {"y": F.year, "m": F.month, "d": F.dayofmonth}[letters[0]](c)
+    if letters[0] == "y":
+        return F.lpad(of.cast("string"), 4, "0") if n > 2 else F.lpad((of % 100).cast("string"), 2, "0")
+    if n > 2:
+        return F.date_format(c, {"m": "MMM", "d": "EEE"}[letters[0]] + ("" if n == 3 else letters[0].upper() if letters[0] == "m" else "E"))
+    return of.cast("string") if n == 1 else F.lpad(of.cast("string"), 2, "0")
 
 
 # Numbers. Rounding shifts the decimal text, so 1.005 rounds up to 1.01; halves go away from zero.

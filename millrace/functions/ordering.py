@@ -1,7 +1,10 @@
 """Row order without a single-partition window.
 
-A global order is cut into ranges of its first term, whose bounds come from a bounded sample; what crosses ranges
-(how many rows come before, the last value seen) is carried over a table of one row for each range.
+A global order is laid out once: Spark range-partitions the rows over all terms of the order, sorts each range and
+numbers its rows. The number of ranges is spark.sql.shuffle.partitions, less where AQE finds them small, so ranges keep their size
+as tables grow, and a term of few values or of many nulls is cut by the terms after it. The laid out rows are staged,
+because the bounds come from a sample: every reader then sees the same ranges. What crosses ranges (how many rows come
+before, the last value seen) is carried over a table of one row for each range.
 """
 
 from __future__ import annotations
@@ -11,10 +14,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rows of the sample that bounds come from, and ranges made of it.
-SAMPLE, RANGES = 4096, 256
+from .staging import stage
 
 Term = str | tuple[str, bool]
+#: Bits of __at that number the rows of a range; those above are the range's own number.
+ROW_BITS = 33
 
 
 def terms(order: Sequence[Term]) -> list[Column]:
@@ -23,51 +27,64 @@ def terms(order: Sequence[Term]) -> list[Column]:
     return [F.col(f"`{n}`").asc_nulls_last() if up else F.col(f"`{n}`").desc_nulls_last() for n, up in pairs]
 
 
-def ranged(df: DataFrame, order: Sequence[Term]) -> DataFrame:
-    """df with __range: ranges of the first term, numbered in order; rows with a null term have the last one."""
-    name, up = (order[0], True) if isinstance(order[0], str) else order[0]
-    c = F.col(f"`{name}`")
-    sample = df.select(c.alias("k")).where("k IS NOT NULL").groupBy("k").agg(F.lit(1)).select("k", F.xxhash64("k").alias("h")).orderBy("h").limit(SAMPLE)
-    values = sorted(r["k"] for r in sample.select("k").collect())
-    step = max(1, len(values) // RANGES)
-    bounds = values[step::step]
-    at = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b <= c)) if bounds else F.lit(0)
-    at = at if up else F.lit(len(bounds)) - at
-    return df.withColumn("__range", F.when(c.isNull(), len(bounds) + 1).otherwise(at))
+def laid_out(df: DataFrame, order: Sequence[Term]) -> DataFrame:
+    """df with __range and __at, staged: ranges are numbered in order, and __at rises along the whole order."""
+    by = terms(order)
+    rows = df.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("__at", F.monotonically_increasing_id())
+    return stage(rows, "ordered").withColumn("__range", F.shiftright("__at", ROW_BITS))
+
+
+def _before(ranges: DataFrame, **sums: str) -> DataFrame:
+    """(__range, name…): running sums of columns over the ranges before each; a row for each range."""
+    before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    return ranges.select("__range", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(name) for name, c in sums.items()])
 
 
 def with_position(df: DataFrame, order: Sequence[Term], name: str = "pos") -> DataFrame:
     """df with each row's place in order, from 1. The order should name a row uniquely."""
-    marked = ranged(df, order)
-    counts = marked.groupBy("__range").agg(F.count(F.lit(1)).alias("__n"))
-    before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
-    base = counts.select("__range", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__base"))
-    placed = marked.withColumn("__k", F.row_number().over(Window.partitionBy("__range").orderBy(*terms(order))))
-    placed = placed.join(F.broadcast(base), "__range")  # RANGES + 1 rows
-    return placed.withColumn(name, (F.col("__base") + F.col("__k")).cast("long")).drop("__range", "__k", "__base")
+    rows = laid_out(df, order)
+    base = _before(rows.groupBy("__range").agg(F.count(F.lit(1)).alias("n")), __base="n")
+    placed = rows.join(F.broadcast(base), "__range")  # a row for each range, so as many as shuffle partitions at most
+    return placed.withColumn(name, F.col("__base") + F.col("__at").bitwiseAND((1 << ROW_BITS) - 1) + 1).drop("__range", "__at", "__base")
 
 
 def carried_down(df: DataFrame, values: dict[str, Column], order: Sequence[Term]) -> DataFrame:
     """df with each named column replaced by its expression's last non-null value up to the row, null before the first."""
-    marked = ranged(df.withColumns({f"__v{i}": v for i, v in enumerate(values.values())}), order)
-    inside = Window.partitionBy("__range").orderBy(*terms(order)).rowsBetween(Window.unboundedPreceding, 0)
-    local = marked.withColumns({f"__l{i}": F.last(f"__v{i}", ignorenulls=True).over(inside) for i in range(len(values))})
-    tail = Window.partitionBy("__range").orderBy(*terms(order))
-    numbered = marked.withColumn("__k", F.row_number().over(tail))
-    last = numbered.groupBy("__range").agg(*[F.max_by(f"__v{i}", F.when(F.col(f"__v{i}").isNotNull(), F.col("__k"))).alias(f"__t{i}") for i in range(len(values))])
-    before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
-    carry = last.select("__range", *[F.last(f"__t{i}", ignorenulls=True).over(before).alias(f"__c{i}") for i in range(len(values))])
-    out = local.join(F.broadcast(carry), "__range")  # RANGES + 1 rows
+    n = range(len(values))
+    rows = laid_out(df.withColumns({f"__v{i}": v for i, v in enumerate(values.values())}), order)
+    inside = Window.partitionBy("__range").orderBy("__at").rowsBetween(Window.unboundedPreceding, 0)
+    local = rows.withColumns({f"__l{i}": F.last(f"__v{i}", ignorenulls=True).over(inside) for i in n})
+    last = rows.groupBy("__range").agg(*[F.max_by(f"__v{i}", F.when(F.col(f"__v{i}").isNotNull(), F.col("__at"))).alias(f"__t{i}") for i in n])
+    before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    carry = last.select("__range", *[F.last(f"__t{i}", ignorenulls=True).over(before).alias(f"__c{i}") for i in n])
+    out = local.join(F.broadcast(carry), "__range")  # a row for each range
     filled = {name: F.coalesce(f"__l{i}", f"__c{i}") for i, name in enumerate(values)}
-    return out.withColumns(filled).drop("__range", *[f"__{x}{i}" for i in range(len(values)) for x in "vlc"])
+    return out.withColumns(filled).drop("__range", "__at", *[f"__{x}{i}" for i in n for x in "vlc"])
 
 
 def running_sum(df: DataFrame, value: Column, order: Sequence[Term], name: str) -> DataFrame:
     """df with the sum of value over all rows up to each one in order."""
-    marked = ranged(df.withColumn("__v", value), order)
-    totals = marked.groupBy("__range").agg(F.sum("__v").alias("__n"))
-    before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
-    base = totals.select("__range", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__base"))
-    inside = Window.partitionBy("__range").orderBy(*terms(order)).rowsBetween(Window.unboundedPreceding, 0)
-    out = marked.withColumn("__s", F.sum("__v").over(inside)).join(F.broadcast(base), "__range")  # RANGES + 1 rows
-    return out.withColumn(name, F.col("__base") + F.coalesce("__s", F.lit(0))).drop("__range", "__v", "__s", "__base")
+    rows = laid_out(df.withColumn("__v", value), order)
+    base = _before(rows.groupBy("__range").agg(F.sum("__v").alias("n")), __base="n")
+    inside = Window.partitionBy("__range").orderBy("__at").rowsBetween(Window.unboundedPreceding, 0)
+    out = rows.withColumn("__s", F.sum("__v").over(inside)).join(F.broadcast(base), "__range")  # a row for each range
+    return out.withColumn(name, F.col("__base") + F.coalesce("__s", F.lit(0))).drop("__range", "__at", "__v", "__s", "__base")
+
+
+def rank(df: DataFrame, order: Sequence[Term]) -> Column:
+    """The order as one value to take minima and maxima of, nulls last both ways. Falling texts are compared by the complement of their bytes."""
+    parts = []
+    for t in order:
+        name, up = (t, True) if isinstance(t, str) else t
+        c, kind = df[f"`{name}`"], df.schema[name].dataType.typeName()
+        if not up:
+            if kind in ("date", "timestamp"):
+                c = -F.unix_micros(c.cast("timestamp"))
+            elif kind == "boolean":
+                c = ~c
+            elif kind in ("string", "binary"):
+                c = F.concat(F.translate(F.hex(c), "0123456789ABCDEF", "FEDCBA9876543210"), F.lit("~"))
+            else:
+                c = -c
+        parts += [df[f"`{name}`"].isNull(), c] if df.schema[name].nullable else [c]
+    return F.struct(*[p.alias(f"o{i}") for i, p in enumerate(parts)])

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .values import as_date, as_number, as_text, fold, is_blank, strip
+from .values import as_date, as_number, as_text, detected_locale, fold, is_blank, parse_date, parse_number, strip
 
 COMPARED: dict[str, Callable[[Column, Column], Column]] = {"gt": Column.__gt__, "gte": Column.__ge__, "lt": Column.__lt__, "lte": Column.__le__, "eq": Column.__eq__, "ne": Column.__ne__}
 
@@ -27,9 +27,8 @@ def _compared(key: Column, op: str, literal: Column) -> Column:
 
 def _moment(ts: Column, op: str, value, value2=None) -> Column:
     """A timestamp against days, as bounds on the timestamp itself rather than on a cast of it."""
-    day = lambda v: date.fromisoformat(_literal(v).strip()[:10])
     at = lambda d: F.lit(d.isoformat()).cast("timestamp")
-    low, high = sorted([day(value), day(value if value2 is None else value2)])
+    low, high = sorted([value, value if value2 is None else value2])
     start, stop = at(low), at(high + timedelta(days=1))
     inside = ts.isNotNull() & (ts >= start) & (ts < stop)
     return {"gt": ts.isNotNull() & (ts >= stop), "gte": ts.isNotNull() & (ts >= start), "lt": ts.isNotNull() & (ts < start), "lte": ts.isNotNull() & (ts < stop), "ne": ts.isNull() | (ts < start) | (ts >= stop)}.get(op, inside)
@@ -43,20 +42,44 @@ def _literal(value) -> str:
     return value.isoformat() if isinstance(value, date | datetime) else str(value)
 
 
-def _key(df: DataFrame, column: str, value, locale: str, order: str) -> Callable[[Column | object], Column]:
-    """How the column and a literal are compared: as dates where either is one, else as numbers."""
-    kind = df.schema[column].dataType
-    dated = isinstance(kind, T.DateType | T.TimestampType | T.TimestampNTZType) or isinstance(value, date | datetime)
-    if dated or (isinstance(kind, T.StringType) and isinstance(value, str) and re.fullmatch(r"\s*\d{4}-\d{1,2}-\d{1,2}\s*", value)):
-        return lambda v: as_date(F.col(f"`{column}`"), kind, order) if v is None else F.to_date(F.lit(_literal(v)[:10]))
-    return lambda v: as_number(F.col(f"`{column}`"), kind, locale) if v is None else F.lit(float(v))
-
-
-def leaf(df: DataFrame, column: str, op: str, value=None, value2=None, values: Iterable = (), case_sensitive: bool = False, locale: str = "us", date_order: str = "mdy") -> Column:
-    """One of 18 comparisons on a column, or on any (`*`). Text ones ignore case unless case_sensitive; blanks and unreadable cells compare as false, and as true for ne."""
+def _reads(df: DataFrame, values: list[str], locale: str, order: str) -> list[tuple[float | None, date | None]]:
+    """What literals say as a number and as a date; Spark folds this without a job."""
+    one = df.sparkSession.sql("SELECT * FROM VALUES (1) AS t(x)")
+    found = one.select(*[x for v in values for x in (F.coalesce(parse_number(F.lit(v), locale), parse_number(F.lit(v))), parse_date(F.lit(v), order))]).first()
+    return [(found[2 * i], found[2 * i + 1]) for i in range(len(values))]
+
+
+def _keys(df: DataFrame, column: str, values: list, locale: str | None, order: str) -> tuple[Column, list[Column]] | None:
+    """A column and literals as dates or numbers; None if a literal can't be read. A text column is compared as dates if the first literal is a date and no number."""
+    kind, c = df.schema[column].dataType, F.col(f"`{column}`")
+    typed_date = isinstance(kind, T.DateType | T.TimestampType | T.TimestampNTZType)
+    if all(isinstance(v, int | float) for v in values) and not typed_date:
+        read = [(float(v), None) for v in values]
+    else:
+        locale = locale or (detected_locale(df, column) if isinstance(kind, T.StringType) else "us")
+        read = _reads(df, [_literal(v) for v in values], locale, order)
+    dated = typed_date or (not isinstance(kind, T.NumericType) and read[0][0] is None and read[0][1] is not None) or any(isinstance(v, date | datetime) for v in values)
+    if any(r[1 if dated else 0] is None for r in read):
+        return None
+    if dated:
+        return as_date(c, kind, order), [F.lit(r[1]) for r in sorted(read, key=lambda r: r[1])]
+    if isinstance(kind, T.StringType):
+        locale = locale or detected_locale(df, column)
+    return as_number(c, kind, locale or "us"), [F.lit(r[0]) for r in sorted(read, key=lambda r: r[0])]
+
+
+def leaf(df: DataFrame, column: str, op: str, value=None, value2=None, values: Iterable = (), case_sensitive: bool = False, locale: str | None = None, date_order: str = "mdy") -> Column:
+    """One of 18 comparisons on a column, or on any (`*`). Text ones ignore case unless case_sensitive; blanks and unreadable cells compare as false, and as true for ne.
+
+    Literals of gt to between may be texts that read as numbers or dates. A text column's number format is found from a
+    bounded sample unless locale is given. eq and ne compare as text where the literal is neither number nor date.
+    """
     if column == "*":
         negated = {"notContains": "contains", "notEquals": "equals", "ne": "eq"}.get(op, op)
-        each = [leaf(df, c, negated, value, value2, values, case_sensitive, locale, date_order) for c in df.columns if not c.startswith("__")]
+        columns = [c for c in df.columns if not c.startswith("__")]
+        if negated in COMPARED or negated == "between":  # columns that can't be compared with the literal don't count
+            columns = [c for c in columns if _keys(df, c, [value, value2] if negated == "between" else [value], locale or "us", date_order)] or columns
+        each = [leaf(df, c, negated, value, value2, values, case_sensitive, locale, date_order) for c in columns]
         joined = reduce(Column.__and__ if op == "isEmpty" else Column.__or__, each)
         return ~joined if negated != op else joined
     kind = df.schema[column].dataType
@@ -84,13 +107,20 @@ def leaf(df: DataFrame, column: str, op: str, value=None, value2=None, values: I
         wanted = [_literal(v).strip() if case_sensitive else _literal(v).strip().lower() for v in values]
         return same(strip(text)).isin(wanted)
     if isinstance(kind, T.TimestampType) and (op in COMPARED or op == "between"):
-        return _moment(F.col(f"`{column}`"), op, value, value2)
-    key = _key(df, column, value, locale, date_order)
-    if op == "between":
-        a, b = sorted([value, value2], key=lambda v: v if isinstance(v, int | float) else _literal(v))
-        return _compared(key(None), "gte", key(a)) & _compared(key(None), "lte", key(b))
-    if op in COMPARED:
-        return _compared(key(None), op, key(value))
+        days = [r[1] for r in _reads(df, [_literal(v)[:10] if isinstance(v, date | datetime) else _literal(v) for v in ([value] if value2 is None else [value, value2])], "us", date_order)]
+        if None in days:
+            if op in ("eq", "ne"):
+                return leaf(df, column, "equals" if op == "eq" else "notEquals", value, case_sensitive=case_sensitive)
+            raise ValueError(f"{value!r} is no date, so it can't be compared")
+        return _moment(F.col(f"`{column}`"), op, *days)
+    if op in COMPARED or op == "between":
+        keys = _keys(df, column, [value, value2] if op == "between" else [value], locale, date_order)
+        if keys is None:
+            if op in ("eq", "ne"):
+                return leaf(df, column, "equals" if op == "eq" else "notEquals", value, case_sensitive=case_sensitive)
+            raise ValueError(f"{value!r} is no number or date, so it can't be compared")
+        key, ends = keys
+        return _compared(key, "gte", ends[0]) & _compared(key, "lte", ends[1]) if op == "between" else _compared(key, op, ends[0])
     raise ValueError(f"no such comparison: {op}")
 
 

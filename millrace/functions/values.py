@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import unicodedata
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -16,8 +16,12 @@ CURRENCY = r"[$€£¥₹₩₽₺₴₦₪﷼]|(?i:usd|eur|gbp)"
 MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
 
 
+#: The same characters one by one.
+SPACES = "\t\n\x0b\x0c\r \u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
+
+
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, rf"^[{SPACE}]+|[{SPACE}]+\z", "")
+    return F.btrim(c, F.lit(SPACES))
 
 
 def collapse(c: Column) -> Column:
@@ -43,25 +47,22 @@ def fold(c: Column) -> Column:
 
 def parse_number(c: Column, locale: str = "us", percent_as_fraction: bool = True) -> Column:
     """Double of a text as people write numbers, or null: parentheses and signs, currencies, group marks, percent; `us` 1,234.5 or `eu` 1.234,5."""
-    t = strip(c)
-    negative = t.rlike(r"^\(.*\)$")
-    t = strip(F.when(negative, F.regexp_replace(t, r"^\(|\)$", "")).otherwise(t))
-    sign = t.rlike(r"^[-−]")
-    t = strip(F.regexp_replace(t, r"^[-−+]", ""))
-    percent = t.rlike("%$")
-    t = strip(F.regexp_replace(t, "%$", ""))
-    t = F.regexp_replace(t, rf"^(?:{CURRENCY})[{SPACE}]*|[{SPACE}]*(?:{CURRENCY})$", "")
-    sign = sign | t.rlike(r"^[-−]")
-    t = F.regexp_replace(F.regexp_replace(t, r"^[-−+]", ""), rf"[{SPACE}']", "")
+    # A plain chain of replacements, each used once or twice: branches would be copied into each other.
+    raw = strip(c)
+    signed = strip(F.regexp_replace(raw, r"^\((.*)\)$", "$1"))
+    rated = strip(F.regexp_replace(signed, r"^[-−+]", ""))
+    priced = F.regexp_replace(strip(F.regexp_replace(rated, "%$", "")), rf"^(?:{CURRENCY})[{SPACE}]*|[{SPACE}]*(?:{CURRENCY})$", "")
+    t = F.regexp_replace(priced, rf"^[-−+]|[{SPACE}']", "")
+    minus = signed.rlike(r"^[-−]") | priced.rlike(r"^[-−]")
     if locale == "eu":
         fine = t.rlike(r"^(?:[1-9]\d{0,2}(?:\.\d{3})+|\d+)(?:,\d*)?$|^,\d+$")
-        digits = F.replace(F.replace(t, F.lit("."), F.lit("")), F.lit(","), F.lit("."))
+        digits = F.translate(t, ",.", ".")
     else:
         fine = t.rlike(r"^(?:\d{1,3}(?:,\d{3})+|\d+)(?:\.\d*)?(?:[eE][-+]?\d+)?$|^\.\d+(?:[eE][-+]?\d+)?$")
         digits = F.replace(t, F.lit(","), F.lit(""))
-    value = F.when(fine & (F.length(strip(c)) <= 40), digits.try_cast("double"))
-    value = F.when(negative != sign, -value).otherwise(value)
-    return F.when(percent, value * 0.01).otherwise(value) if percent_as_fraction else value
+    value = F.when(fine & (F.length(raw) <= 40), digits.try_cast("double"))
+    value = value * F.when(raw.rlike(r"^\(.*\)$") != minus, -1.0).otherwise(1.0)
+    return value * F.when(rated.rlike("%$"), 0.01).otherwise(1.0) if percent_as_fraction else value
 
 
 def number_locale(values: Column) -> Column:
@@ -72,6 +73,12 @@ def number_locale(values: Column) -> Column:
     return F.when(F.sum(eu.cast("int")) > F.sum(us.cast("int")), "eu").otherwise("us")
 
 
+def detected_locale(df: DataFrame, column: str, sample: int = 250) -> str:
+    """number_locale of a text column's first non-blank cells: a probe of a bounded number of rows."""
+    c = F.col(f"`{column}`")
+    return df.where(~is_blank(c)).select(c.alias("v")).limit(sample).agg(number_locale(F.col("v"))).first()[0] or "us"
+
+
 def _date(y: Column, m: Column, d: Column) -> Column:
     """A real calendar day of the years 1000 to 2999, or null."""
     text = F.concat_ws("-", F.lpad(y, 4, "0"), F.lpad(m, 2, "0"), F.lpad(d, 2, "0"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -14,13 +15,13 @@ from .rows import _quoted
 
 #: What the extraction presets look for, without case.
 PRESETS = {
-    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}",
+    "email": r"[\w.+-]+@[\w-]+(?:\.[\w-]+)+",
     "phone": r"\+?\d[\d\s().-]{6,}\d",
-    "url": r"https?://[^\s<>\"]+",
-    "number": r"-?\d[\d,]*(?:\.\d+)?",
-    "date": r"\d{4}-\d{1,2}-\d{1,2}|\d{1,2}[/.-]\d{1,2}[/.-]\d{2,4}",
+    "url": r"(?:https?://|www\.)[^\s<>\"]+",
+    "number": r"-?\$?\d[\d,]*(?:\.\d+)?%?",
+    "date": r"\d{4}-\d{1,2}-\d{1,2}|\d{1,2}/\d{1,2}/\d{2,4}|[A-Za-z]{3,9}\.? \d{1,2},? \d{4}",
     "zip": r"\b\d{5}(?:-\d{4})?\b",
-    "hashtag": r"#\w+",
+    "hashtag": r"#[\w-]+",
     "ip": r"\b(?:\d{1,3}\.){3}\d{1,3}\b",
 }
 
@@ -99,12 +100,12 @@ def merge_columns(f: Frame, columns: Sequence[str], joiner: str, into: str, skip
     return f.select(*rest[:at], merged.alias(name), *rest[at:])
 
 
-def extract(f: Frame, column: str, into: str, preset: str | None = None, pattern: str | None = None, every: bool = False, most: int = 200) -> Frame:
+def extract(f: Frame, column: str, into: str, preset: str | None = None, pattern: str | None = None, every: bool = False) -> Frame:
     """The first match (group 1 if there is one), or all joined by "; "; blank without any. Presets ignore case."""
     p = "(?iu)" + PRESETS[preset] if preset else pattern
-    group = 1 if "(" in p.replace("\\(", "").replace("(?", "") else 0
+    group = min(1, regex.compile(p.replace("(?iu)", "(?i)")).groups)
     c = F.coalesce(f.col(column), F.lit(""))
-    found = F.array_join(F.slice(F.regexp_extract_all(c, F.lit(p), F.lit(group)), 1, most), "; ") if every else F.regexp_extract(c, p, group)
+    found = F.array_join(F.regexp_extract_all(c, F.lit(p), F.lit(group)), "; ") if every else F.regexp_extract(c, p, group)
     return add_column(f, into, strip(found) if preset in ("email", "phone") else found, column)
 
 

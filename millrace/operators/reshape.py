@@ -8,23 +8,15 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.functions.values import as_number, as_text, is_blank, number_text, strip
+from millrace.functions.ordering import rank
+from millrace.functions.values import as_number, as_text, detected_locale, is_blank, number_text, strip
 
 from .frame import Frame
 
 
 def _rank(f: Frame) -> Column:
-    """The order as one value to take minima of; falling terms of numbers are negated."""
-    parts = []
-    for t in f.order:
-        name, up = (t, True) if isinstance(t, str) else t
-        c = f.df[f"`{name}`"]
-        if not up:
-            if f.df.schema[name].dataType.typeName() == "string":
-                raise ValueError("sort rising, or on numbers and dates, before aggregating in order")
-            c = -F.unix_micros(c.cast("timestamp")) if f.df.schema[name].dataType.typeName() in ("date", "timestamp") else -c
-        parts.append(c)
-    return F.struct(*parts)
+    """The order as one value to take minima of."""
+    return rank(f.df, f.order)
 
 
 def metric_of(c: Column, kind: T.DataType, fn: str, rank: Column, locale: str = "us") -> Column:
@@ -47,7 +39,10 @@ def metric_of(c: Column, kind: T.DataType, fn: str, rank: Column, locale: str =
     raise ValueError(f"no such metric: {fn}")
 
 
-def metric(f: Frame, column: str, fn: str, locale: str = "us") -> Column:
+def metric(f: Frame, column: str, fn: str, locale: str | None = None) -> Column:
+    """metric_of a column; the number format of a text column is found from a bounded sample unless given."""
+    if locale is None:
+        locale = detected_locale(f.df, column) if isinstance(f.kind(column), T.StringType) and fn in ("sum", "average", "avg", "mean", "min", "max") else "us"
     return metric_of(f.col(column), f.kind(column), fn, _rank(f), locale)
 
 

@@ -5,11 +5,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.functions.ordering import terms
-from millrace.functions.values import as_date, as_number, as_text, natural_key, non_blank, strip
+from millrace.functions.ordering import rank
+from millrace.functions.values import SPACE, as_date, as_number, as_text, natural_key, non_blank, strip
 
 from .frame import Frame, unique_names
 
@@ -39,18 +39,10 @@ def dedupe(f: Frame, on: Sequence[str] | str = "*", ignore_case: bool = False, k
         exprs = [F.lower(strip(F.regexp_replace(as_text(f.col(c), f.kind(c)), r"\s+", " "))) for c in keys]
     else:
         exprs = [f.col(c) for c in keys]
-    if keep == "first" or all(isinstance(t, str) or t[1] for t in f.order):
-        names = [t if isinstance(t, str) else t[0] for t in f.order]
-        ups = [True if isinstance(t, str) else t[1] for t in f.order]
-        if len(set(ups)) == 1 and not any(f.df.schema[n].nullable and f.df.schema[n].dataType.typeName() in ("float", "double") for n in names):
-            # One grouping with partial aggregation, so a hot key is reduced before it is shuffled.
-            rank = F.struct(*[f.df[f"`{n}`"] for n in names])
-            pick = F.min_by if (keep == "first") == ups[0] else F.max_by
-            row = pick(F.struct(*[f.df[f"`{c}`"] for c in f.df.columns]), rank)
-            return f.with_df(f.df.groupBy(*[e.alias(f"__k{i}") for i, e in enumerate(exprs)]).agg(row.alias("__row")).select("__row.*"))
-    order = terms(f.order) if keep == "first" else terms([(t, False) if isinstance(t, str) else (t[0], not t[1]) for t in f.order])
-    numbered = f.df.withColumn("__n", F.row_number().over(Window.partitionBy(*exprs).orderBy(*order)))
-    return f.with_df(numbered.where("__n = 1").drop("__n"))
+    # One grouping with partial aggregation, so a hot key is reduced before it is shuffled.
+    pick = F.min_by if keep == "first" else F.max_by
+    row = pick(F.struct(*[f.df[f"`{c}`"] for c in f.df.columns]), rank(f.df, f.order))
+    return f.with_df(f.df.groupBy(*[e.alias(f"__k{i}") for i, e in enumerate(exprs)]).agg(row.alias("__row")).select("__row.*"))
 
 
 def skip_rows(f: Frame, top: int = 0, bottom: int = 0) -> Frame:
@@ -98,14 +90,16 @@ def sort_rows(f: Frame, *keys: tuple) -> Frame:
 
 def split_to_rows(f: Frame, column: str, delimiter: str, trim: bool = True) -> Frame:
     """A row for each piece that is not empty; a row without any stays with an empty cell."""
-    pieces = F.split(F.coalesce(f.col(column), F.lit("")), _quoted(delimiter))
-    pieces = F.transform(pieces, strip) if trim else pieces
-    pieces = F.filter(pieces, lambda x: x != "")
-    pieces = F.when(F.size(pieces) == 0, F.array(F.lit(""))).otherwise(pieces)
     n = sum(c.startswith("__piece") for c in f.df.columns)
-    others = [f.df[f"`{c}`"] for c in f.df.columns if c != column]
-    out = f.df.select(*others, F.posexplode(pieces).alias(f"__piece{n}", column)).select(*[F.col(f"`{c}`") for c in f.df.columns], f"__piece{n}")
-    return Frame(out, (*f.order, f"__piece{n}"))
+    at, names = f"__piece{n}", f.df.columns
+    # Nulls and texts without a piece have an array of one empty text; stripping and dropping is done on rows, in generated code.
+    text = F.coalesce(f.col(column), F.lit(""))
+    full = text.rlike(rf"^(?:{_quoted(delimiter)}|[{SPACE}])*+\z") if trim else text.rlike(rf"^(?:{_quoted(delimiter)})*+\z")
+    pieces = F.split(F.when(full, F.lit("")).otherwise(text), _quoted(delimiter))
+    rows = f.df.withColumn("__none", full).select(*[F.col(f"`{c}`") for c in names if c != column], "__none", F.posexplode(pieces).alias(at, column))
+    cell = strip(F.col(f"`{column}`")) if trim else F.col(f"`{column}`")
+    out = rows.withColumn(column, cell).where((F.col(f"`{column}`") != "") | F.col("__none"))
+    return Frame(out.select(*[F.col(f"`{c}`") for c in names], at), (*f.order, at))
 
 
 def _quoted(literal: str) -> str:

@@ -180,7 +180,7 @@ def _(t: Tables) -> DataFrame:
     return op.extract(t("customer"), "c_name", "num", pattern=r"#(\d+)").result().select("c_custkey", "num")
 
 
-@query("extract_all_urls", r"""SELECT page_id, array_to_string(list_slice(regexp_extract_all(html,'https?://[^\s<>"]+'),1,200),'; ') AS urls FROM pages""")
+@query("extract_all_urls", r"""SELECT page_id, array_to_string(regexp_extract_all(html,'(?:https?://|www\.)[^\s<>"]+'),'; ') AS urls FROM pages""")
 def _(t: Tables) -> DataFrame:
     return op.extract(t("pages"), "html", "urls", preset="url", every=True).result().select("page_id", "urls")
 
@@ -203,16 +203,12 @@ def _(t: Tables) -> DataFrame:
 # Text
 
 
-@query("trim_collapse", r"SELECT doc_id, trim(regexp_replace(text,'[ \t]+',' ','g')) AS text_trimmed FROM documents WHERE NOT regexp_matches(text,'[^\x00-\x7F]') AND NOT regexp_matches(text,'[\n\r]')")
+@query("trim_collapse", r"""SELECT doc_id, regexp_replace(regexp_replace(text, '[ \t\x{A0}]+', ' ', 'g'), '\A[\t-\r \x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]+|[\t-\r \x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]+\z', '', 'g') AS text_trimmed FROM documents""")
 def _(t: Tables) -> DataFrame:
-    f = t("documents")
-    f = op.filter_rows(f, ~f.col("text").rlike(r"[^\x00-\x7F]") & ~f.col("text").rlike(r"[\n\r]"))
-    return op.rename(op.trim(f, ["text"]), "text", "text_trimmed").result().select("doc_id", "text_trimmed")
+    return op.rename(op.trim(t("documents"), ["text"]), "text", "text_trimmed").result().select("doc_id", "text_trimmed")
 
 
-@query("trim_collapse_whole", r"""SELECT doc_id, regexp_replace(regexp_replace(text, '[ \t\x{A0}]+', ' ', 'g'), '\A[\t-\r \x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]+|[\t-\r \x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]+\z', '', 'g') AS text_trimmed FROM documents""")
-def _(t: Tables) -> DataFrame:
-    return op.rename(op.trim(t("documents"), ["text"]), "text", "text_trimmed").result().select("doc_id", "text_trimmed")
+QUERIES["trim_collapse_whole"], SQL["trim_collapse_whole"] = QUERIES["trim_collapse"], SQL["trim_collapse"]  # the name it had beside a narrower one
 
 
 @query("case_upper", "SELECT s_suppkey, upper(s_name) AS s_name FROM supplier")
@@ -354,19 +350,6 @@ def _(t: Tables) -> DataFrame:
     "diff",
     "SELECT coalesce(a.p_partkey,b.p_partkey) AS p_partkey, CASE WHEN b.p_partkey IS NULL THEN 'added' WHEN a.p_partkey IS NULL THEN 'removed' WHEN a.p_size IS DISTINCT FROM b.p_size THEN 'changed' ELSE 'unchanged' END AS _diff, "
     "CASE WHEN a.p_size IS DISTINCT FROM b.p_size AND a.p_partkey IS NOT NULL AND b.p_partkey IS NOT NULL THEN 'p_size: ' || b.p_size || ' → ' || a.p_size ELSE '' END AS _changes "
-    "FROM (SELECT p_partkey, p_size FROM part WHERE p_partkey >= 100) a FULL JOIN (SELECT p_partkey, CASE WHEN p_partkey % 7 = 0 THEN p_size+1 ELSE p_size END AS p_size FROM part WHERE p_partkey < 1900) b USING (p_partkey)",
-)
-def _(t: Tables) -> DataFrame:
-    f = op.select_columns(t("part"), "p_partkey", "p_size")
-    new = op.filter_rows(f, f.col("p_partkey") >= 100)
-    old = f.with_df(f.df.where("p_partkey < 1900").withColumn("p_size", F.when(F.col("p_partkey") % 7 == 0, F.col("p_size") + 1).otherwise(F.col("p_size"))))
-    return op.compare(new, old, ["p_partkey"]).result().select("p_partkey", "_diff", "_changes")
-
-
-@query(
-    "diff_whole",
-    "SELECT coalesce(a.p_partkey,b.p_partkey) AS p_partkey, CASE WHEN b.p_partkey IS NULL THEN 'added' WHEN a.p_partkey IS NULL THEN 'removed' WHEN a.p_size IS DISTINCT FROM b.p_size THEN 'changed' ELSE 'unchanged' END AS _diff, "
-    "CASE WHEN a.p_size IS DISTINCT FROM b.p_size AND a.p_partkey IS NOT NULL AND b.p_partkey IS NOT NULL THEN 'p_size: ' || b.p_size || ' → ' || a.p_size ELSE '' END AS _changes "
     "FROM (SELECT p_partkey, p_size FROM part WHERE p_partkey % 20 <> 3) a FULL JOIN (SELECT p_partkey, CASE WHEN p_partkey % 7 = 0 THEN p_size+1 ELSE p_size END AS p_size FROM part WHERE p_partkey % 20 <> 7) b USING (p_partkey)",
 )
 def _(t: Tables) -> DataFrame:
@@ -376,6 +359,9 @@ def _(t: Tables) -> DataFrame:
     return op.compare(new, old, ["p_partkey"]).result().select("p_partkey", "_diff", "_changes")
 
 
+QUERIES["diff_whole"], SQL["diff_whole"] = QUERIES["diff"], SQL["diff"]  # the name it had beside a narrower one
+
+
 # Formulas
 
 
@@ -399,16 +385,8 @@ def _(t: Tables) -> DataFrame:
     return op.add_column(f, "due", v.date_text(fx.edate(f.col("o_orderdate").cast("date"), 1))).result().select("o_orderkey", "due")
 
 
-@query("formula_datedif", "SELECT o_orderkey, date_diff('day', CAST(o_orderdate AS DATE), DATE '1999-01-01')::BIGINT AS days, datesub('month', CAST(o_orderdate AS DATE), DATE '1999-01-01')::BIGINT AS months, (isodow(o_orderdate) % 7 + 1)::BIGINT AS wd FROM orders WHERE o_orderdate < TIMESTAMP '1999-01-01' AND day(o_orderdate) < 29")
-def _(t: Tables) -> DataFrame:
-    f = t("orders")
-    f = op.filter_rows(f, (f.col("o_orderdate") < F.lit("1999-01-01").cast("timestamp")) & (F.dayofmonth("o_orderdate") < 29))
-    d, end = f.col("o_orderdate").cast("date"), F.lit("1999-01-01").cast("date")
-    return f.df.select("o_orderkey", fx.datedif(d, end, "D").alias("days"), fx.datedif(d, end, "M").alias("months"), fx.weekday(d).cast("long").alias("wd"))
-
-
 @query(
-    "formula_datedif_whole",
+    "formula_datedif",
     "SELECT o_orderkey, abs(date_diff('day', d, DATE '1999-01-01'))::BIGINT AS days, ((year(b) - year(a)) * 12 + month(b) - month(a) - (day(b) < day(a))::INT)::BIGINT AS months, wd "
     "FROM (SELECT *, least(d, DATE '1999-02-28') AS a, greatest(d, DATE '1999-02-28') AS b FROM (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS d, (isodow(o_orderdate) % 7 + 1)::BIGINT AS wd FROM orders))",
 )
@@ -421,6 +399,9 @@ def _(t: Tables) -> DataFrame:
     return f.df.select("o_orderkey", days.alias("days"), months.alias("months"), fx.weekday(d).cast("long").alias("wd"))
 
 
+QUERIES["formula_datedif_whole"], SQL["formula_datedif_whole"] = QUERIES["formula_datedif"], SQL["formula_datedif"]  # the name it had beside a narrower one
+
+
 @query("formula_math", "SELECT l_orderkey, l_linenumber, round((l_quantity * 1.25)::DECIMAL(38,12), 1)::DOUBLE AS gross, l_quantity - 7 * floor(l_quantity / 7) AS rest, CASE WHEN l_discount = 0 THEN NULL ELSE l_tax / l_discount END AS ratio, greatest(l_discount, l_tax) AS most FROM lineitem")
 def _(t: Tables) -> DataFrame:
     f = t("lineitem")
@@ -462,9 +443,9 @@ def _(t: Tables) -> DataFrame:
     return insights.histogram(t("orders"), "o_totalprice").select("bin", "n")
 
 
-@query("histogram_date", "SELECT CAST(o_orderdate AS DATE) AS day, count(*) AS n FROM orders GROUP BY 1")
+@query("histogram_date", "WITH d AS (SELECT CAST(o_orderdate AS DATE) AS d FROM orders), e AS (SELECT min(d) AS lo, max(d) AS hi, ceil((max(d) - min(d) + 1) / 50)::INT AS w FROM d) SELECT lo + ((d - lo) // w * w)::INT AS low, least(lo + (((d - lo) // w + 1) * w - 1)::INT, hi) AS high, count(*) AS n FROM d, e GROUP BY 1, 2")
 def _(t: Tables) -> DataFrame:
-    return insights.date_histogram(t("orders"), "o_orderdate")
+    return insights.date_histogram(t("orders"), "o_orderdate", 50).select("low", "high", "n")
 
 
 @query("selection_stats", "SELECT count(*) AS \"count\", count(v) AS numeric_count, round(sum(v), 2) AS sum, min(v) AS min, max(v) AS max FROM (SELECT unnest([l_quantity, l_extendedprice]) AS v FROM lineitem)")
@@ -495,12 +476,12 @@ def _(t: Tables) -> DataFrame:
     return readers.html_tables(t("pages").df)
 
 
-@query("sink_csv_lines", "SELECT n_nationkey || ',' || n_name || ',' || n_regionkey AS value FROM nation")
+@query("sink_csv_lines", "SELECT 'n_nationkey,n_name,n_regionkey' AS value UNION ALL SELECT n_nationkey || ',' || n_name || ',' || n_regionkey FROM nation")
 def _(t: Tables) -> DataFrame:
     return sinks.csv_lines(op.select_columns(t("nation"), "n_nationkey", "n_name", "n_regionkey"), guard=True)
 
 
-@query("sink_markdown", "SELECT '| ' || r_regionkey || ' | ' || r_name || ' |' AS value FROM region")
+@query("sink_markdown", "SELECT unnest(['| r_regionkey | r_name |', '| --- | --- |']) AS value UNION ALL SELECT '| ' || r_regionkey || ' | ' || r_name || ' |' FROM region")
 def _(t: Tables) -> DataFrame:
     return sinks.markdown_lines(t("region"))
 
@@ -511,3 +492,6 @@ def _(t: Tables) -> DataFrame:
     f = op.filter_rows(f, pr.leaf(f.df, "o_totalprice", "gt", 100000))
     f = op.aggregate(f, ["o_orderpriority"], ["count", ("o_totalprice", "sum")])
     return op.sort_rows(f, ("o_totalprice_sum", False)).positioned("pos").select("o_orderpriority", "count", F.round("o_totalprice_sum", 2).alias("o_totalprice_sum"), "pos")
+
+
+from millrace.plans import roundtrips  # noqa: E402, F401 - adds its queries

@@ -77,9 +77,15 @@ def histogram(f: Frame, column: str, bins: int = 20) -> DataFrame:
     return out.groupBy("bin", "low", "high").agg(F.count(F.lit(1)).alias("n"))
 
 
-def date_histogram(f: Frame, column: str) -> DataFrame:
+def date_histogram(f: Frame, column: str, bins: int = 20) -> DataFrame:
+    """(bin, low, high, n): bins of whole days, as many days as the span takes for `bins` bins at most; empty bins are left out."""
     d = as_date(f.col(column), f.kind(column))
-    return f.df.where(d.isNotNull()).groupBy(d.alias("day")).agg(F.count(F.lit(1)).alias("n"))
+    ends = f.df.agg(F.struct(F.min(d).alias("lo"), F.max(d).alias("hi"))).scalar()
+    width = F.greatest(F.lit(1), F.ceil((F.datediff("e.hi", "e.lo") + 1) / bins)).cast("int")
+    at = F.floor(F.datediff("d", "e.lo") / width).cast("int")
+    rows = f.df.select(d.alias("d")).where("d IS NOT NULL").withColumn("e", ends)
+    out = rows.withColumns({"bin": at.cast("long"), "low": F.date_add("e.lo", at * width), "high": F.least(F.date_add("e.lo", (at + 1) * width - 1), F.col("e.hi"))})
+    return out.groupBy("bin", "low", "high").agg(F.count(F.lit(1)).alias("n"))
 
 
 def selection_stats(f: Frame, columns: Sequence[str]) -> DataFrame:
@@ -88,28 +94,55 @@ def selection_stats(f: Frame, columns: Sequence[str]) -> DataFrame:
     return cells.where(strip("t") != "").agg(F.count(F.lit(1)).alias("count"), F.count("n").alias("numeric_count"), F.sum("n").alias("sum"), F.avg("n").alias("avg"), F.min("n").alias("min"), F.max("n").alias("max"))
 
 
+#: How much an issue matters.
+SEVERITY = {
+    "totals": "high", "repeatedHeader": "high", "artifacts": "medium", "emptyRows": "medium", "duplicates": "medium", "invisible": "medium", "mixedDates": "medium", "notNumber": "medium",
+    "emptyCols": "low", "whitespace": "low", "numText": "low", "dates": "low", "ambiguousDates": "low", "caseVariants": "low", "structured": "low",
+}
+#: What the first cell of a totals row says, and rows that a page break leaves behind.
+TOTAL = r"(?i)^(?:grand |sub)?-?totals?\b|^sum\b"
+ARTIFACT = r"(?i)^page \d+(?: of \d+)?$|^[-=_*\s]{3,}$"
+
+
 def issues(f: Frame) -> DataFrame:
-    """(kind, column, n): what may need cleaning, found by one aggregation over all rows, besides repeated rows."""
-    found: list[tuple[str, str, Column]] = [("emptyRows", "", _and([f.blank(c) for c in f.columns]))]
-    for c in f.texts():
-        v = F.col(f"`{c}`")
-        full = ~is_blank(v)
-        number = parse_number(v).isNotNull()
-        found += [
-            ("whitespace", c, full & (v != F.regexp_replace(strip(v), r"[ \t]{2,}", " "))),
-            ("invisible", c, v.rlike(r"[​-‍⁠﻿\u0000-\u0008\u000B\u000C\u000E-\u001F]")),
-            ("numText", c, number),
-            ("notNumber", c, full & ~number),
-            ("dates", c, parse_date(v).isNotNull()),
-            ("ambiguousDates", c, ambiguous_date(v)),
-            ("structured", c, v.rlike(r"^\s*[{\[].*[}\]]\s*$")),
-        ]
-    aggs = [F.sum(F.coalesce(x, F.lit(False)).cast("long")).alias("n") for _, _, x in found]
-    one = f.df.agg(*[a.alias(f"x{i}") for i, a in enumerate(aggs)])
-    flat = one.select(F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.lit(c).alias("column"), F.col(f"x{i}").alias("n")) for i, (k, c, _) in enumerate(found)])).alias("x")).select("x.*")
+    """(kind, column, n, severity): what may need cleaning, over all rows: an aggregation over the rows and one over each text column, and groupings for repeated rows and case variants.
+
+    Counts of cells are of the kind's column; emptyRows, totals, repeatedHeader, artifacts and duplicates count rows. A text
+    column is one of numbers or dates if nine tenths of its cells are: numText and dates count the cells that are, notNumber those that aren't.
+    """
+    row = F.concat_ws(" ", *[F.nullif(strip(as_text(f.col(c), f.kind(c))), F.lit("")) for c in f.columns])
+    repeats = _and([F.lower(strip(as_text(f.col(c), f.kind(c)))) == c.strip().lower() for c in f.columns])
+    total = lambda x: F.coalesce(F.sum(F.coalesce(x, F.lit(False)).cast("long")), F.lit(0))
+    listed = lambda one, found: one.select(F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.lit(c).alias("column"), n.alias("n")) for k, c, n in found])).alias("x")).select("x.*")
+    whole = [("emptyRows", row == ""), ("totals", row.rlike(TOTAL)), ("repeatedHeader", repeats), ("artifacts", row.rlike(ARTIFACT))]
+    one = f.df.agg(F.count(F.lit(1)).alias("rows"), *[total(x).alias(k) for k, x in whole], *[total(~f.blank(c)).alias(f"full{i}") for i, c in enumerate(f.columns)])
+    empty = [("emptyCols", c, ((F.col(f"full{i}") == 0) & (F.col("rows") > 0)).cast("long")) for i, c in enumerate(f.columns)]
+    flat = listed(one, [*[(k, "", F.col(k)) for k, _ in whole], *empty])
+    for c in f.texts():  # a column at a time: small generated code, and a scan of that column only
+        v, t = f.col(c), strip(f.col(c))
+        full, day = t != "", parse_date(v).isNotNull()
+        shapes = {
+            "whitespace": full & (v != F.regexp_replace(t, r"[ \t]{2,}", " ")),
+            "invisible": v.rlike(r"[\u00A0\u200B-\u200D\u2060\uFEFF\u2018\u2019\u201C\u201D\u0000-\u0008\u000B\u000C\u000E-\u001F]"),
+            "ambiguousDates": ambiguous_date(v), "structured": t.rlike(r"(?s)^[{\[].*[}\]]$"),
+            "full": full, "number": full & (parse_number(v).isNotNull() | parse_number(v, "eu").isNotNull()), "day": full & day, "iso": day & t.rlike(r"^\d{4}-"),
+        }
+        one = f.df.agg(*[total(x).alias(k) for k, x in shapes.items()])
+        n = {k: F.col(k) for k in shapes}
+        if_numbers = lambda x: F.when(F.col("number") >= 0.9 * F.col("full"), x).otherwise(0)
+        if_dates = lambda x: F.when((F.col("day") >= 0.9 * F.col("full")) & (F.col("number") < F.col("day")), x).otherwise(0)
+        found = [(k, c, n[k]) for k in list(shapes)[:4]]
+        found += [("numText", c, if_numbers(n["number"])), ("notNumber", c, if_numbers(n["full"] - n["number"])), ("dates", c, if_dates(n["day"])), ("mixedDates", c, if_dates(F.least(n["iso"], n["day"] - n["iso"])))]
+        flat = flat.unionByName(listed(one, found))
     rows = f.df.groupBy(F.xxhash64(*[f.col(c) for c in f.columns]).alias("h"), *[f.col(c) for c in f.columns]).count()
-    repeated = rows.where("count > 1").agg(F.coalesce(F.sum(F.col("count") - 1), F.lit(0)).alias("n")).select(F.lit("duplicates").alias("kind"), F.lit("").alias("column"), "n")
-    return flat.unionByName(repeated).where("n > 0")
+    counted = lambda df, kind, c, n: df.agg(F.coalesce(F.sum(n), F.lit(0)).cast("long").alias("n")).select(F.lit(kind).alias("kind"), F.lit(c).alias("column"), "n")
+    flat = flat.unionByName(counted(rows.where("count > 1"), "duplicates", "", F.col("count") - 1))
+    for c in f.texts():  # values by hash, so that long texts aren't shuffled
+        v = strip(f.col(c))
+        groups = f.df.where(v != "").groupBy(F.xxhash64(F.lower(v)).alias("h")).agg(F.min(F.xxhash64(v)).alias("a"), F.max(F.xxhash64(v)).alias("b"))
+        flat = flat.unionByName(counted(groups.where("a <> b"), "caseVariants", c, F.lit(1)))
+    severity = F.create_map(*[F.lit(x) for pair in SEVERITY.items() for x in pair])
+    return flat.where("n > 0").withColumn("severity", severity[F.col("kind")])
 
 
 def case_variants(f: Frame, column: str) -> DataFrame:

@@ -6,18 +6,23 @@ from collections.abc import Iterator, Sequence
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from millrace.functions.ordering import running_sum
+from millrace.functions.ordering import rank, running_sum
 from millrace.functions.values import strip
 from millrace.operators.frame import Frame, unique_names
 
 #: The columns of the common and combined access-log formats.
-ACCESS = ("ip", "ident", "user", "timestamp", "method", "path", "protocol", "status", "bytes", "referrer", "user_agent")
+ACCESS = ("ip", "ident", "user", "time", "method", "path", "protocol", "status", "bytes", "referrer", "user_agent")
 _ACCESS = r'^(\S+) (\S+) (\S+) \[([^\]]+)\] "(?:(\S+) (\S+)(?: (\S+))?|[^"]*)" (\d{3}) (\d+|-)(?: "([^"]*)" "([^"]*)")?\s*$'
-_STAMP = r"^\[?(\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}(?:[.,]\d+)?(?:Z|[+-]\d{2}:?\d{2})?|\d{4}/\d{2}/\d{2} \d{2}:\d{2}:\d{2}|[A-Z][a-z]{2} [ \d]\d \d{2}:\d{2}:\d{2}|\d{2}:\d{2}:\d{2}(?:[.,]\d+)?)\]?"
-_LEVEL = r"\b(TRACE|DEBUG|INFO|NOTICE|WARN(?:ING)?|ERROR|FATAL|CRITICAL)\b"
+#: Months, stamps and levels as logs write them.
+_MONTH = "(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)"
+_STAMP = (
+    r"^\[?(\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}(?::\d{2}(?:[.,]\d{1,9})?)?\s?(?:Z|UTC|[+-]\d{2}:?\d{2})?|\d{4}/\d{2}/\d{2} \d{2}:\d{2}:\d{2}(?:\.\d+)?"
+    rf"|{_MONTH} [ \d]\d \d{{2}}:\d{{2}}:\d{{2}}|\d{{2}}/{_MONTH}/\d{{4}}:\d{{2}}:\d{{2}}:\d{{2}} [+-]\d{{4}})\]?(?=\s|$)"
+)
+_LEVEL = r"\[?((?i:DEBUG|INFO|WARNING|WARN|ERROR|ERR|FATAL|TRACE|NOTICE|CRITICAL|CRIT))\]?:?(?=\s|$)"
 _PAIR = r'([\w.\-]+)=("(?:[^"\\]|\\.)*"|\S*)'
 
 
@@ -26,9 +31,9 @@ def lines(spark: SparkSession, path: str, keep_blank: bool = True) -> Frame:
     return f if keep_blank else f.with_df(f.df.where(strip(F.col("line")) != ""))
 
 
-def delimited(spark: SparkSession, path: str, delimiter: str = ",", header: bool = True) -> Frame:
-    """Quoted fields with doubled quotes and line breaks in them; all columns text, blank for missing."""
-    df = spark.read.csv(path, sep=delimiter, header=header, multiLine=True, quote='"', escape='"', ignoreLeadingWhiteSpace=False)
+def delimited(spark: SparkSession, path: str, delimiter: str = ",", header: bool = True, breaks: bool = True) -> Frame:
+    """Quoted fields with doubled quotes, and line breaks in them if breaks is set; all columns text, blank for missing. Without breaks a large file is read by many tasks."""
+    df = spark.read.csv(path, sep=delimiter, header=header, multiLine=breaks, quote='"', escape='"', ignoreLeadingWhiteSpace=False)
     df = df.toDF(*unique_names([c if header and not c.startswith("_c") else "" for c in df.columns]))
     return Frame.of(df.fillna(""))
 
@@ -73,8 +78,7 @@ def pair_keys(f: Frame, most: int = 300) -> list[str]:
 def _joined(f: Frame, starts: Column, joiner: str) -> Frame:
     """Records: lines from one that starts a record up to the next, joined; lines before the first are one record."""
     marked = running_sum(f.df.withColumn("__start", starts), F.col("__start").cast("int"), f.order, "__block")
-    rank = F.struct(*[F.col(t if isinstance(t, str) else t[0]) for t in f.order])
-    parts = F.transform(F.array_sort(F.collect_list(F.struct(rank.alias("o"), F.col("line").alias("v")))), lambda x: x["v"])
+    parts = F.transform(F.array_sort(F.collect_list(F.struct(rank(marked, f.order).alias("o"), F.col("line").alias("v")))), lambda x: x["v"])
     return Frame(marked.groupBy("__block").agg(F.array_join(parts, joiner).alias("line"), parts.alias("__lines")), ("__block",))
 
 
@@ -84,8 +88,8 @@ def log_lines(f: Frame) -> Frame:
     stamp = F.regexp_extract("line", _STAMP, 1)
     rest = strip(F.regexp_replace("line", _STAMP, ""))
     head = F.substring_index(rest, "\n", 1)
-    level = F.regexp_extract(head, rf"^[\[\s]*{_LEVEL}", 1)
-    after = strip(F.regexp_replace(rest, rf"^[\[\s]*{_LEVEL}[\]:\s]*", ""))
+    level = F.upper(F.regexp_extract(head, rf"^\s*{_LEVEL}", 1))
+    after = strip(F.regexp_replace(rest, rf"^\s*{_LEVEL}", ""))
     source = F.regexp_extract(after, r"^\[?([\w.$/\-]+)\]?(?: -|:) ", 1)
     message = F.when(source != "", strip(F.regexp_replace(after, r"^\[?[\w.$/\-]+\]?(?: -|:) ", ""))).otherwise(after)
     out = records.df.select(stamp.alias("timestamp"), level.alias("level"), source.alias("source"), message.alias("message"), "__block")
@@ -93,25 +97,31 @@ def log_lines(f: Frame) -> Frame:
 
 
 def key_value_blocks(f: Frame, keys: Sequence[str], separator: str = ":") -> Frame:
-    """Records set apart by blank lines; continuation lines are appended with a blank."""
+    """Records set apart by blank lines, or by the return of a block's first key. Continuation lines are appended with a blank.
+
+    A key that comes again inside a record is key_2, key_3. Lines before a block's first key go with no field.
+    """
     blank = strip(F.col("line")) == ""
     numbered = running_sum(f.df, blank.cast("int"), f.order, "__block")
     pair = rf"^\s*([^{separator}]+?)\s*{separator}\s*(.*?)\s*$"
     key = F.when(F.col("line").rlike(pair), F.regexp_extract("line", pair, 1))
     value = F.when(key.isNotNull(), F.regexp_extract("line", pair, 2)).otherwise(strip(F.col("line")))
     rows = running_sum(numbered.where(~blank).withColumns({"__key": key, "__value": value}), key.isNotNull().cast("int"), f.order, "__field")
-    rank = F.struct(*[F.col(t if isinstance(t, str) else t[0]) for t in f.order])
-    texts = F.transform(F.array_sort(F.collect_list(F.struct(rank.alias("o"), F.col("__value").alias("v")))), lambda x: x["v"])
-    fields = rows.groupBy("__block", "__field").agg(F.max("__key").alias("k"), F.array_join(texts, " ").alias("v"))
-    return Frame(fields.groupBy("__block").pivot("k", list(keys)).agg(F.min_by("v", "__field")).fillna(""), ("__block",))
+    texts = F.transform(F.array_sort(F.collect_list(F.struct(rank(rows, f.order).alias("o"), F.col("__value").alias("v")))), lambda x: x["v"])
+    fields = rows.groupBy("__block", "__field").agg(F.max("__key").alias("k"), F.array_join(texts, " ").alias("v")).where("k IS NOT NULL")
+    # Fields are counted in order, so the records of one long block are numbered without a window over the block.
+    first = fields.groupBy("__block").agg(F.min_by("k", "__field").alias("lead"))
+    fields = running_sum(fields.join(first, "__block"), (F.col("k") == F.col("lead")).cast("int"), ("__field",), "__record")
+    again = Window.partitionBy("__record", "k").orderBy("__field")  # the fields of one name in one record
+    named = fields.withColumn("n", F.row_number().over(again)).withColumn("k", F.when(F.col("n") > 1, F.concat("k", F.lit("_"), "n")).otherwise(F.col("k")))
+    return Frame(named.groupBy("__record").pivot("k", list(keys)).agg(F.first("v")).fillna(""), ("__record",))
 
 
 def line_blocks(f: Frame, width: int) -> Frame:
     """A row for each blank-separated block, its lines in field_1 and so on; the last holds the rest."""
     blank = strip(F.col("line")) == ""
     numbered = running_sum(f.df, blank.cast("int"), f.order, "__block").where(~blank)
-    rank = F.struct(*[F.col(t if isinstance(t, str) else t[0]) for t in f.order])
-    parts = F.transform(F.array_sort(F.collect_list(F.struct(rank.alias("o"), strip(F.col("line")).alias("v")))), lambda x: x["v"])
+    parts = F.transform(F.array_sort(F.collect_list(F.struct(rank(numbered, f.order).alias("o"), strip(F.col("line")).alias("v")))), lambda x: x["v"])
     out = numbered.groupBy("__block").agg(parts.alias("p"))
     cells = [F.coalesce(F.get("p", F.lit(i)), F.lit("")) for i in range(width - 1)] + [F.array_join(F.expr(f"slice(p, {width}, greatest(size(p) - {width - 1}, 0))"), " ")]
     return Frame(out.select(*[c.alias(f"field_{i}") for i, c in enumerate(cells, 1)], "__block"), ("__block",))

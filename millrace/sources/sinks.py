@@ -25,10 +25,17 @@ def quoted(c: Column, delimiter: str) -> Column:
     return F.when(needs, F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(c)
 
 
-def csv_lines(f: Frame, delimiter: str = ",", guard: bool = False) -> DataFrame:
-    """A line of text for each row, fields quoted only where they must be; no header."""
+def _headed(f: Frame, rows: DataFrame, *head: str) -> DataFrame:
+    """rows under lines of their own, which come first."""
+    return f.df.sparkSession.createDataFrame([(h,) for h in head], "value string").coalesce(1).unionByName(rows)
+
+
+def csv_lines(f: Frame, delimiter: str = ",", guard: bool = False, header: bool = True) -> DataFrame:
+    """The names and a line of text for each row, fields quoted only where they must be."""
     cells = [quoted(guarded(F.col(f"`{c}`")) if guard else F.col(f"`{c}`"), delimiter) for c in f.columns]
-    return texts(f).select(F.concat_ws(delimiter, *cells).alias("value"))
+    rows = texts(f).select(F.concat_ws(delimiter, *cells).alias("value"))
+    say = lambda c: '"' + c.replace('"', '""') + '"' if any(x in c for x in ('"', "\r", "\n", delimiter)) else c
+    return _headed(f, rows, delimiter.join(map(say, f.columns))) if header else rows
 
 
 def write_csv(f: Frame, path: str, delimiter: str = ",", header: bool = True, guard: bool = False) -> None:
@@ -47,8 +54,10 @@ def json_rows(f: Frame) -> DataFrame:
 
 
 def markdown_lines(f: Frame) -> DataFrame:
+    """A Markdown table: the names, the rule, and a line for each row."""
     cells = [F.regexp_replace(F.replace(F.col(f"`{c}`"), F.lit("|"), F.lit("\\|")), r"\r?\n", " ") for c in f.columns]
-    return texts(f).select(F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |")).alias("value"))
+    rows = texts(f).select(F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |")).alias("value"))
+    return _headed(f, rows, "| " + " | ".join(c.replace("|", "\\|") for c in f.columns) + " |", "|" + " --- |" * len(f.columns))
 
 
 def plain_lines(f: Frame) -> DataFrame:
