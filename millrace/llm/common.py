@@ -1,59 +1,32 @@
-"""Helpers the operators share: shared-folder staging, connected components, batches of rows."""
+"""Helpers the operators share: connected components, batches of rows; staging is the library's."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.functions.staging import drop_staged, new_path, shared_dir, stage  # noqa: F401
+
 #: Rows to a Python batch. Texts may be long, so batches are kept far below Spark's 10,000 rows.
 BATCH_ROWS = 256
+#: And bytes to one, so that a batch of very long texts is closed early.
+BATCH_BYTES = 32 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, which driver and executors share; a temporary one is set only where it is unset."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not base:
-        base = getattr(shared_dir, "own", None)
-        if base is None:
-            base = shared_dir.own = "file://" + tempfile.mkdtemp(prefix="millrace-")
-            spark.sparkContext.setCheckpointDir(base)
-    return base if "://" in base else f"file://{base}"
-
-
-def new_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/millrace/{tag}-{uuid.uuid4().hex}"
-
-
-def stage(df: DataFrame, tag: str = "stage") -> DataFrame:
-    """Write df once as Parquet in the shared folder and read it back: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = new_path(spark, tag)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def drop_staged(df: DataFrame) -> None:
-    """Delete what stage() wrote for df, once nothing reads it any more."""
-    spark = df.sparkSession
-    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if "/millrace/" in path:
-            p = spark._jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-
-
 def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     """Keep Arrow batches of whole texts small, whatever the session had before, if it had more."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(key, "10000")) > rows:
         spark.conf.set(key, str(rows))
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not 0 < int(spark.conf.get(key).rstrip("bB")) <= BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
 
 
 _slot: dict = {}

@@ -4,8 +4,8 @@ The words to take (budget x all words) are shared by weight; a source whose shar
 its size is clamped there and the excess goes to the others by weight until none is above. Sorted by
 cap / weight, the clamped sources are a prefix, so running sums over the table of sources find the level.
 Each document is then taken floor(target / size of source) times, and once more if it comes early enough in
-its source's seeded order. Where the order is cut is found from sums over hash buckets, so only the bucket
-that holds the cut is sorted: no source, however hot, is ever gathered into one task.
+its source's seeded order. Where the order is cut is found from sums over hash buckets, then over buckets of the one that
+holds the cut, so only one in 16^6 rows is sorted: no source, however hot, is ever gathered into one task.
 """
 
 from __future__ import annotations
@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 from .common import stage, table
 
 SEED, EPOCHS, BUDGET, WEIGHTS = 42, 3, 1.0, (1, 2, 3)
-#: Hexadecimal digits of the order's hash that make a bucket.
-DIGITS = 3
+#: Hexadecimal digits of the order's hash that make a bucket, and a bucket of the bucket that holds the cut.
+DIGITS = (3, 6)
 
 
 def words_in(text: Column) -> Column:
@@ -55,13 +55,15 @@ def plan(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int = EPO
     goal = goal.withColumn("whole", whole).withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size"))
     ours = F.col("source").eqNullSafe(F.col("s"))
     key = goal.withColumnRenamed("source", "s")
-    bucketed = sizes.withColumn("bucket", F.substring("h", 1, DIGITS))
-    sums = bucketed.groupBy("source", "bucket").agg(F.sum("size").alias("words"))
-    run = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
-    sums = sums.withColumn("upto", F.sum("words").over(run)).join(key.select("s", "rest"), ours).where(F.col("upto") > F.col("rest"))
-    edge = sums.groupBy("source").agg(F.min_by(F.struct("bucket", (F.col("upto") - F.col("words")).alias("before"), "rest"), "bucket").alias("e"))
-    edge = stage(edge.select(F.col("source").alias("s"), "e.*"), "edges")
-    inside = bucketed.withColumnRenamed("bucket", "b").join(edge, ours & (F.col("b") == F.col("bucket")))
+    edge = key.where("rest >= 0").select("s", F.lit("").alias("bucket"), F.lit(0).cast("long").alias("before"), "rest")
+    for digits in DIGITS:
+        inside = sizes.join(edge, ours & F.col("h").startswith(F.col("bucket")))
+        sums = inside.groupBy("source", F.substring("h", 1, digits).alias("bucket")).agg(F.sum("size").alias("words"), F.first("before").alias("before"), F.first("rest").alias("rest"))
+        run = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)  # 4096 rows a source at most
+        sums = sums.withColumn("upto", F.col("before") + F.sum("words").over(run)).where(F.col("upto") > F.col("rest"))
+        edge = sums.groupBy("source").agg(F.min_by(F.struct("bucket", (F.col("upto") - F.col("words")).alias("before"), "rest"), "bucket").alias("e"))
+        edge = stage(edge.select(F.col("source").alias("s"), "e.*"), "edges")
+    inside = sizes.join(edge, ours & F.col("h").startswith(F.col("bucket")))
     order = Window.partitionBy("source").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
     inside = inside.withColumn("mid", F.col("before") + F.sum("size").over(order) - F.col("size") / 2).where(F.col("mid") <= F.col("rest"))
     cuts = inside.groupBy("source").agg(F.max(F.struct("h", "doc_id", "size")).alias("last")).select(F.col("source").alias("s2"), "last")
@@ -72,7 +74,7 @@ def plan(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int = EPO
 def repetitions(sizes: DataFrame, planned: DataFrame, epochs: int = EPOCHS) -> DataFrame:
     """sizes with source_size, target and times: how often the mix takes each document."""
     j = sizes.join(planned, F.col("source").eqNullSafe(F.col("s")))
-    ours, bucket = F.struct("h", "doc_id", "size"), F.substring("h", 1, DIGITS)
+    ours, bucket = F.struct("h", "doc_id", "size"), F.substring("h", 1, DIGITS[-1])
     # No bucket in the plan: the rest is all of the source's words or more, which only rounding can bring about.
     more = F.when(F.col("bucket").isNull(), F.lit(True)).when(bucket != F.col("bucket"), bucket < F.col("bucket")).otherwise(F.coalesce(ours <= F.col("last"), F.lit(False)))
     times = F.least(F.col("whole") + F.when(more, 1).otherwise(0), F.lit(epochs))

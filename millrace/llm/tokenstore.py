@@ -183,9 +183,10 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int = END
         if w is not None:
             yield closed()
 
+    # Ranges go by the head of the text, too, so that rows of one id, or without one, aren't a single task.
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    rows = rows.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    rows = rows.repartitionByRange(F.col("doc_id").asc_nulls_first(), F.substring("text", 1, 64)).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
     return stage(rows.mapInArrow(run, "part int, seq int, path string, docs long, tokens long"), "manifest")
 
 
