@@ -22,8 +22,10 @@ from pyspark.sql import types as T
 from .common import fold, groups, kept, small_batches, table
 
 DIM, SEED, SYMBOLS = 1024, 7, 64
-#: Bound of the training sample: texts a language, and languages (the most frequent).
-PER_LANG, LANGS = 4000, 500
+#: Bound of the training sample: texts a language.
+PER_LANG = 4000
+#: Cosines under this are those of unrelated vectors of DIM signs: three standard deviations.
+CHANCE = 3 / DIM**0.5
 UNKNOWN = "und"
 
 
@@ -77,10 +79,10 @@ def bundles(texts: list[str | None]) -> np.ndarray:
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> tuple[list[str], np.ndarray]:
-    """(languages, unit prototypes) from up to about PER_LANG texts of each of the LANGS most frequent languages; without labels, no languages."""
+    """(languages, unit prototypes) from up to about PER_LANG texts of each language; without labels, no languages. A row a language comes to the driver."""
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.col(lang_col).cast("string").alias("l")).where("l IS NOT NULL AND t IS NOT NULL")
-    sizes = {r["l"]: r["n"] for r in rows.groupBy("l").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "l").limit(LANGS).collect()}
+    sizes = {r["l"]: r["n"] for r in rows.groupBy("l").agg(F.count(F.lit(1)).alias("n")).orderBy("l").collect()}
     if not sizes:
         return [], np.zeros((0, DIM), np.float32)
     share = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, min(1.0, PER_LANG / n))])[F.col("l")]
@@ -110,7 +112,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 
 
 def identified(text: Column, model: tuple[list[str], np.ndarray]) -> Column:
-    """struct(lang_pred, score): the nearest language and its cosine, cut at 0; `und` and 0 for null, letterless texts, or without languages."""
+    """struct(lang_pred, score): the nearest language and its cosine, cut at 0; `und` and 0 for null, letterless texts, or without languages. Of languages at one cosine the first by name."""
     names, protos = model
     kind = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 

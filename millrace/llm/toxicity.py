@@ -204,7 +204,10 @@ def regression(rows: list[np.ndarray], y: np.ndarray, n: int, penalty: float = 0
 
 
 def fit(docs: DataFrame, labels: DataFrame, counts: np.ndarray) -> tuple[dict[str, int], np.ndarray, float]:
-    """(feature -> index, weights, intercept) from up to about LABELLED labelled rows outside the held-out fold; without both labels, no features."""
+    """(feature -> index, weights, intercept) from up to about LABELLED labelled ids outside the held-out fold; without both labels, no features.
+
+    An id labelled both 0 and 1 counts as 1; of an id's texts the least counts.
+    """
     known = labels.select(F.col("doc_id").alias("i"), F.col("toxic").cast("int").alias("y")).where("i IS NOT NULL AND y IN (0, 1)").where(fold(F.col("i"), 5) != 0)
     known = known.groupBy("i").agg(F.max("y").alias("y"))
     share = min(1.0, LABELLED / max(1, known.count()))
@@ -229,7 +232,8 @@ def fit(docs: DataFrame, labels: DataFrame, counts: np.ndarray) -> tuple[dict[st
         best = found.withColumn("z", F.log(p / q) / F.sqrt(var)).where(F.log(p / q) > 0.7).orderBy(F.desc("z"), "f").limit(most)
         return [r["f"] for r in best.collect()]
 
-    drawn = stage(rows.select("i", "t", "y"), "labelled")
+    # One text an id, the least: a repeated id doesn't swell the sample.
+    drawn = stage(rows.groupBy("i", "y").agg(F.min("t").alias("t")), "labelled")
     sizes = {r["y"]: r["n"] for r in drawn.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     pos, neg = sizes.get(1, 0), sizes.get(0, 0)
     if not pos or not neg:
