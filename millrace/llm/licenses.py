@@ -7,8 +7,9 @@ carries a match over inserted or missing words; and a merged span is verified by
 words that its k-grams cover. Short phrases (2-grams) must be covered whole on a single diagonal, longer
 templates (5-grams) to at least 0.8.
 
-Words are numbered by the templates' vocabulary, so a k-gram's hash is exact and k-grams with a word that no
-template has, which can join with nothing, are left out before the join.
+K-grams are 64-bit hashes of hashes of words. Those that no template has can join with nothing and are left out where
+they are made; no text is cut, and the templates may be of any number and length. A span's share is counted on its
+own words, so a chance equality of two hashes adds a word or two at most.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -51,54 +53,73 @@ TEMPLATES = (
 )
 
 
-def template_table(phrases=PHRASES, templates=TEMPLATES) -> tuple[dict[str, int], list[tuple]]:
-    """Word -> number, and rows (k, hash, template, base, label, words, at), one for each k-gram of each template."""
-    number: dict[str, int] = {}
+#: Whole permissive licenses, without their copyright lines.
+WHOLE = (
+    ("mit-text", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."),
+    ("isc-text", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED AS IS AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."),
+    ("bsd-2-clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS AS IS AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."),
+    ("zlib-text", "This software is provided as-is, without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution."),
+    ("unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."),
+)
+TEMPLATES += WHOLE
+_MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
+
+
+def words_of(text: str | None) -> list[str]:
+    return WORD.findall(lower_ascii(text)) if text else []
+
+
+def rolled(hashes: np.ndarray, k: int) -> np.ndarray:
+    """Hashes of all runs of k words, given the words' hashes."""
+    n = len(hashes) - k + 1
+    out = np.zeros(max(0, n), np.uint64)
+    for i in range(k if n > 0 else 0):
+        out = out * _MULTIPLIER + hashes[i : i + n]
+    return (out ^ out >> np.uint64(32)).view(np.int64)
+
+
+def _hashed(words: list[str], known: dict[str, int]) -> np.ndarray:
+    """64-bit hashes of words; known keeps those of earlier ones, up to 200,000."""
+    if len(known) > 200_000:
+        known.clear()
+    for w in set(words).difference(known):
+        known[w] = xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass"))
+    return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+
+
+def template_table(phrases=PHRASES, templates=TEMPLATES) -> list[tuple]:
+    """Rows (k, hash, template, base, label, words, at), one for each k-gram of each template."""
     rows = []
     for t, (label, text, k, base) in enumerate([*((a, b, SHORT, True) for a, b in phrases), *((a, b, LONG, False) for a, b in templates)]):
-        ids = [number.setdefault(w, len(number) + 1) for w in WORD.findall(lower_ascii(text))]
-        if len(ids) < k:
+        words = words_of(text)
+        if len(words) < k:
             raise ValueError(f"a template needs {k} words at least: {text!r}")
-        for at in range(len(ids) - k + 1):
-            rows.append((k, _packed(ids[at : at + k]), t, base, label, len(ids), at))
-    if len(number) >= 4096:
-        raise ValueError("5 word numbers have to fit 63 bits")
-    return number, rows
-
-
-def _packed(ids: list[int]) -> int:
-    out = 0
-    for i in ids:
-        out = out << 12 | i
-    return out
+        rows += [(k, h, t, base, label, len(words), at) for at, h in enumerate(rolled(_hashed(words, {}), k).tolist())]
+    return rows
 
 
-def grams(text: Column, number: dict[str, int]) -> Column:
-    """struct(n_words, found: array of (k, hash, pos)): the k-grams of a text, all of whose words templates have."""
+def grams(text: Column, rows: list[tuple]) -> Column:
+    """struct(n_words, found: array of (k, hash, pos)): the k-grams of a text that templates have."""
     gram = T.StructType([T.StructField("k", T.IntegerType()), T.StructField("hash", T.LongType()), T.StructField("pos", T.LongType())])
     kind = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("found", T.ArrayType(gram))])
+    wanted = {k: np.unique(np.array([r[1] for r in rows if r[0] == k], np.int64)) for k in (SHORT, LONG)}
 
     @F.pandas_udf(kind)
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        get = number.get
+        known: dict[str, int] = {}
         for texts in batches:
             counts, found = [], []
             for t in texts:
-                words = WORD.findall(lower_ascii(t)) if t else []
-                ids = np.array([get(w, 0) for w in words], np.int64)
-                rows = []
-                for k in (SHORT, LONG):
-                    if len(ids) < k:
-                        continue
-                    packed, whole = np.zeros(len(ids) - k + 1, np.int64), np.ones(len(ids) - k + 1, bool)
-                    for i in range(k):
-                        part = ids[i : len(ids) - k + 1 + i]
-                        packed = packed << 12 | part
-                        whole &= part > 0
-                    pos = np.flatnonzero(whole)
-                    rows += [{"k": k, "hash": h, "pos": p} for h, p in zip(packed[pos].tolist(), pos.tolist(), strict=True)]
+                words = words_of(t)
+                hashes = _hashed(words, known)
+                hits = []
+                for k, some in wanted.items():
+                    h = rolled(hashes, k)
+                    at = np.searchsorted(some, h)
+                    pos = np.flatnonzero(some[np.minimum(at, len(some) - 1)] == h) if len(some) else at[:0]
+                    hits += [{"k": k, "hash": x, "pos": p} for x, p in zip(h[pos].tolist(), pos.tolist(), strict=True)]
                 counts.append(len(words))
-                found.append(rows)
+                found.append(hits)
             yield pd.DataFrame({"n_words": counts, "found": found})
 
     return of(text)
@@ -108,7 +129,7 @@ def spans(marked: DataFrame, rows: list[tuple]) -> DataFrame:
     """(rid, base, label, start, cover) for marked (rid, found): merged diagonals with the share of the template they cover, unverified ones too; of templates at one place the best."""
     templates = marked.sparkSession.createDataFrame(rows, "k int, hash long, template int, base boolean, label string, words int, at int")
     hits = marked.select("rid", F.explode("found").alias("g")).select("rid", "g.k", "g.hash", "g.pos")
-    hits = hits.join(F.broadcast(templates), ["k", "hash"])  # a few hundred rows, by the length of the templates
+    hits = hits.join(templates, ["k", "hash"])  # Spark broadcasts the templates if they are few, and splits hot hashes if not
     votes = hits.groupBy("rid", "template", "base", "label", "words", "k", (F.col("pos") - F.col("at")).alias("diagonal")).agg(F.collect_set("at").alias("ats"))
     order = Window.partitionBy("rid", "template").orderBy("diagonal")
     slack = F.when(F.col("base"), 0).otherwise(SLACK)
@@ -131,8 +152,8 @@ def scan(docs: DataFrame, phrases=PHRASES, templates=TEMPLATES, id_col: str = "d
     null or repeat; an empty table gives no rows. Other columns of docs are not read.
     """
     small_batches(docs.sparkSession)
-    number, rows = template_table(phrases, templates)
-    marked = docs.select(F.col(id_col).alias("doc_id"), grams(F.col(text_col), number).alias("g"))
+    rows = template_table(phrases, templates)
+    marked = docs.select(F.col(id_col).alias("doc_id"), grams(F.col(text_col), rows).alias("g"))
     marked = marked.select("doc_id", "g.n_words", "g.found").withColumn("rid", F.monotonically_increasing_id())
     # Staged, so that texts are read once and a row's number is the same on both sides of the join.
     marked = stage(marked, "grams")
