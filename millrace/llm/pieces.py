@@ -2,7 +2,8 @@
 
 The automaton reads a text once. At each position the output links of its state name all pieces that end
 there, longest first, and each relaxes the best score of the position; ties keep the longer piece. The
-encoding is the segmentation of the highest total score. A character that no piece covers costs more than any
+encoding is the segmentation of the highest total score. A model file of merges holds their ranks in place of scores; a sum of ranks says
+nothing, so a piece of rank r scores -log(r + 2), its log probability by Zipf's law up to a constant. A character that no piece covers costs more than any
 piece and becomes byte pieces, so every text decodes to itself. Blanks become U+2581, with one put in front;
 a literal U+2581 in a text is kept by byte pieces.
 
@@ -13,6 +14,7 @@ characters go through the automaton together, a column of characters at a time;
 
 from __future__ import annotations
 
+import math
 import zlib
 from array import array
 from collections import deque
@@ -32,6 +34,12 @@ BLANK, DENSE_BELOW, CACHE = "▁", 0x100, 120_000
 BLOCK, CELLS, LONG = 4096, 1_000_000, 4096
 
 
+def ranked(scores: list[float], last: float = -1e8) -> bool:
+    """Whether a model's scores are the ranks of merges (0, -1, -2, …; under `last` of pieces that no merge makes) and not logarithms of probabilities."""
+    merged = [s for s in scores if s > last]
+    return len(merged) > 1 and all(s <= 0 and s == int(s) for s in merged) and len(set(merged)) == len(merged)
+
+
 class Pieces:
     """Encoder and decoder for one model file."""
 
@@ -41,6 +49,8 @@ class Pieces:
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
         n = sp.get_piece_size()
         self.words = {sp.id_to_piece(i): (i, sp.get_score(i)) for i in range(n) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i))}
+        if ranked([s for _, s in self.words.values()]):
+            self.words = {p: (i, -math.log(2.0 + min(-s, n))) for p, (i, s) in self.words.items()}
         self.byte_ids = [sp.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
         self.unknown = min(s for _, s in self.words.values()) - 10.0
         self.raw = [sp.id_to_piece(i).replace(BLANK, " ").encode() if sp.id_to_piece(i) in self.words else b"" for i in range(n)]
