@@ -16,7 +16,7 @@ from .common import stage, table
 
 RANGE, FANOUT, LEVELS = 1 << 16, 16, 4
 #: Pages whose ids share id div PER_FILE go to one file.
-PER_FILE = 1024
+PER_FILE = 64
 
 
 def warc_record(pages: DataFrame) -> Column:
@@ -33,9 +33,9 @@ def leaf_hash(record: Column) -> Column:
 def laid_out(rows: DataFrame) -> DataFrame:
     """rows (page_id, length, hash, …) with file and offset: records one after another in files of up to PER_FILE ids, by page_id and hash.
 
-    Rows without an id share a file. Only lengths and hashes are shuffled here, not the records.
+    Rows without an id are spread over files by their hash. Only lengths and hashes are shuffled here, not the records.
     """
-    file = F.concat(F.lit("pages-"), F.coalesce(F.expr(f"page_id div {PER_FILE}").cast("string"), F.lit("none")))
+    file = F.concat(F.lit("pages-"), F.coalesce(F.expr(f"page_id div {PER_FILE}").cast("string"), F.concat(F.lit("none-"), F.substring("hash", 1, 2))))
     order = Window.partitionBy("file").orderBy("page_id", "hash").rowsBetween(Window.unboundedPreceding, 0)
     return rows.withColumn("file", file).withColumn("offset", F.sum("length").over(order) - F.col("length"))
 
@@ -104,15 +104,14 @@ def audit(primary: DataFrame, replica: DataFrame, levels: int = LEVELS) -> DataF
 def op1_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The table holds one replica, so the other is the same archive with known damage, which SQL works out too.
 
-    In every third file, records of ids 7 past a multiple of 101 lose their last byte and those 9 past a multiple of 103 are gone.
+    Records of ids 7 past a multiple of 101 have another last byte, and those 9 past a multiple of 103 are gone; a file of 64 ids has no, one or two of them.
     """
     pages = table(spark, sf_dir, "pages")
     record = warc_record(pages)
-    here = F.expr(f"page_id div {PER_FILE} % 3 = 1")
-    cut = leaf_hash(F.expr("substring(r, 1, length(r) - 1)"))
-    rows = pages.select("page_id", record.alias("r")).select("page_id", F.octet_length("r").cast("long").alias("length"), leaf_hash(F.col("r")).alias("hash"), F.when(here & (F.col("page_id") % 101 == 7), cut).alias("cut"))
+    cut = leaf_hash(F.expr("concat(substring(r, 1, length(r) - 1), '?')"))
+    rows = pages.select("page_id", record.alias("r")).select("page_id", F.octet_length("r").cast("long").alias("length"), leaf_hash(F.col("r")).alias("hash"), F.when(F.col("page_id") % 101 == 7, cut).alias("cut"))
     both = stage(laid_out(rows), "archive")
-    gone = F.coalesce(here & (F.col("page_id") % 103 == 9), F.lit(False))
+    gone = F.coalesce(F.col("page_id") % 103 == 9, F.lit(False))
     return audit(both.drop("cut"), both.where(~gone).withColumn("hash", F.coalesce("cut", "hash")).drop("cut"))
 
 
@@ -138,12 +137,11 @@ def _sql() -> str:
         f"'WARC/1.1' || {crlf} || 'WARC-Type: response' || {crlf} || 'WARC-Record-ID: <urn:page:' || coalesce(page_id::VARCHAR, '') || '>' || {crlf} || 'WARC-Target-URI: ' || coalesce(url, '') "
         f"|| {crlf} || 'Content-Length: ' || strlen(coalesce(html, '')) || {crlf} || {crlf} || coalesce(html, '') || {crlf} || {crlf}"
     )
-    here = f"page_id // {PER_FILE} % 3 = 1"
     return (
-        f"WITH r AS (SELECT page_id, 'pages-' || coalesce((page_id // {PER_FILE})::VARCHAR, 'none') AS file, {record} AS record FROM pages), "
+        f"WITH r AS (SELECT page_id, 'pages-' || coalesce((page_id // {PER_FILE})::VARCHAR, 'none-' || left(sha256({record}), 2)) AS file, {record} AS record FROM pages), "
         "o AS (SELECT *, (sum(strlen(record)) OVER (PARTITION BY file ORDER BY page_id NULLS FIRST, sha256(record) ROWS UNBOUNDED PRECEDING) - strlen(record))::BIGINT AS start FROM r), "
         "a AS (SELECT file, start, page_id, sha256(record) AS h FROM o), "
-        f"b AS (SELECT file, start, page_id, sha256(CASE WHEN {here} AND page_id % 101 = 7 THEN left(record, length(record) - 1) ELSE record END) AS h FROM o WHERE NOT coalesce({here} AND page_id % 103 = 9, false)), "
+        f"b AS (SELECT file, start, page_id, sha256(CASE WHEN page_id % 101 = 7 THEN left(record, length(record) - 1) || '?' ELSE record END) AS h FROM o WHERE NOT coalesce(page_id % 103 = 9, false)), "
         + ", ".join(steps)
         + " "
         + " UNION ALL ".join(f"SELECT * FROM f{k}" for k in range(LEVELS + 2))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 import corpus_pipeline
-from millrace.llm import catalog, mixing, simhash
+from millrace.llm import catalog, langid, mixing, simhash
 
 SF = "/root/testdata/sf0.001"
 
@@ -24,11 +24,18 @@ def test_pipeline(spark):
         d = spark.createDataFrame(f(spark, d, SF).toPandas(), docs.schema)
         assert d.columns == columns
         seen[name] = Counter(r["doc_id"] for r in d.collect())
-    # Documents that one of the first two stages drops are toxic or have no letter.
+        if name == "language_id":
+            langs = {r["doc_id"]: r["lang"] for r in d.collect()}
+    # Documents that one of the first two stages drops are toxic, or no nearer to a language than chance.
     labels = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
     gone = set(texts) - set(seen["toxicity"])
     assert sum(labels.get(i) == 0 for i in gone) <= 0.02 * len(texts)
-    assert all(not any(c.isalpha() for c in texts[i] or "") for i in set(seen["toxicity"]) - set(seen["language_id"]))
+    names, protos = langid.model_of(docs.where(F.col("doc_id").isin(list(seen["toxicity"]))))
+    for i in seen["toxicity"]:
+        v = langid.bundles([texts[i]])[0]
+        cos = v @ protos.T / max(1e-9, float(np.linalg.norm(v)))
+        assert (i in seen["language_id"]) == (cos.max() >= langid.CHANCE)
+        assert i not in seen["language_id"] or langs[i] == names[int(cos.argmax())]
     # One document of each group of near copies stays.
     fps = {i: simhash.simhash(texts[i]) for i in seen["language_id"]}
     low = {i: i for i in fps}
@@ -53,6 +60,18 @@ def test_pipeline_on_nothing(spark):
         assert f(spark, docs, SF).count() == 0
 
 
+def test_language_stage(spark):
+    """Text in no learned language goes, and a document's own lang neither keeps nor drops it."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    odd = [(10**6 + k, t, lang, "s", 0) for k, (t, lang) in enumerate([("Ωμέγα ξψζ ωωξ ψψχ " * 9, "en"), ("123 ... !!", "en"), ("xqzj kvvw zzxq jjkq wvxz qqjx", "de"), (None, "en")])]
+    clean = docs.where("length(text) > 200").limit(1).collect()[0]
+    odd += [(2 * 10**6 + k, clean["text"], lang, "s", 0) for k, lang in enumerate([None, "de", "xx"])]
+    got = {r["doc_id"]: r["lang"] for r in corpus_pipeline.keep_languages(spark, docs.unionByName(spark.createDataFrame(odd, docs.schema)), SF).collect()}
+    assert not set(got) & {x[0] for x in odd[:4]}
+    assert len({got[x[0]] for x in odd[4:]}) == 1 and clean["doc_id"] in got
+    assert len(got) >= 0.98 * docs.count()
+
+
 @pytest.mark.parametrize("column, value", [("lang", None), ("doc_id", None), ("lang", "und")])
 def test_languages_unknown(spark, column, value):
     """Where no language can be learned, or one has the name of none, all documents with a letter stay."""
