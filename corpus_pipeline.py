@@ -10,16 +10,22 @@ from millrace.llm.common import small_batches, stage, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a toxicity score under 0.5."""
+    """Documents with a toxicity score under 0.5. Null and empty texts have the score of no feature; repeated rows are judged alike, and all columns stay."""
     return docs.where(toxicity.score_column(docs, table(spark, sf_dir, "labels")) < 0.5)
 
 
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that are text in some language: those without a letter, null and empty ones go."""
+    """Documents that are text in some learned language, with the predicted language in lang.
+
+    Documents go that have no letter, null and empty texts included, or whose cosine with every language is under
+    langid.CHANCE, as that of unrelated text is. The table's own lang is learned from outside the held-out fold and never read for a decision.
+    Where no language can be learned, all documents with a letter stay as they are.
+    """
     model = langid.model_of(docs)
-    if not model[0] or langid.UNKNOWN in model[0]:  # then `und` doesn't tell letterless texts from others
+    if not model[0]:
         return docs.where(langid.lettered(F.col("text")))
-    return docs.where(langid.identified(F.col("text"), model)["lang_pred"] != langid.UNKNOWN)
+    found = docs.withColumn("__p", langid.identified(F.col("text"), model)).where(F.col("__p.score") >= langid.CHANCE)
+    return found.withColumn("lang", F.col("__p.lang_pred")).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,12 +34,12 @@ def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix to the sources' target weights takes them."""
+    """Documents as often as the mix to the sources' target weights takes them, all columns with them. Documents without words are never taken; null is a source of its own."""
     return mixing.mixed(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, lang, source, n_pieces, ids, exact): each document's piece ids, and whether they decode to its text."""
+    """(doc_id, lang, source, n_pieces, ids, exact): each document's piece ids, and whether they decode to its text. Null and empty texts have no pieces; a row for each row."""
     import public_tokenizers
 
     small_batches(spark)
