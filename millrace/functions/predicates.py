@@ -120,6 +120,8 @@ def leaf(df: DataFrame, column: str, op: str, value=None, value2=None, values: I
                 return leaf(df, column, "equals" if op == "eq" else "notEquals", value, case_sensitive=case_sensitive)
             raise ValueError(f"{value!r} is no number or date, so it can't be compared")
         key, ends = keys
+        if isinstance(kind, T.StringType):  # nothing to push down, and reading a text is dear: once for a comparison
+            return _sure(key.between(*ends)) if op == "between" else _sure(COMPARED[op](key, ends[0]), op == "ne")
         return _compared(key, "gte", ends[0]) & _compared(key, "lte", ends[1]) if op == "between" else _compared(key, op, ends[0])
     raise ValueError(f"no such comparison: {op}")
 
