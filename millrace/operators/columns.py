@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 import regex
@@ -109,13 +110,65 @@ def extract(f: Frame, column: str, into: str, preset: str | None = None, pattern
     return add_column(f, into, strip(found) if preset in ("email", "phone") else found, column)
 
 
-def structure_json(f: Frame, column: str, keys: Sequence[str], keep: bool = True) -> Frame:
-    """Fields of a JSON text as columns, blank where missing; `a.b` and `a[0]` reach inside. A text that is no JSON gives blanks."""
-    parsed = F.try_parse_json(f.col(column))
+def _structured(f: Frame, column: str, cells: Sequence[Column], names: Sequence[str], keep: bool) -> Frame:
+    """The column taken apart: cells in its place, or after it if it is kept, under free names."""
     at = f.columns.index(column)
     before, after = f.columns[: at + keep], f.columns[at + 1 :]
-    made = [F.coalesce(F.variant_get(parsed, f"$.{k}", "string"), F.lit("")).alias(n) for k, n in zip(keys, unique_names([*before, *after, *keys])[len(before) + len(after) :], strict=True)]
-    return f.select(*before, *made, *after)
+    names = unique_names([*before, *after, *names])[len(before) + len(after) :]
+    return f.select(*before, *[c.alias(n) for c, n in zip(cells, names, strict=True)], *after)
+
+
+def structure_json(f: Frame, column: str, keys: Sequence[str], keep: bool = True, unparsed: bool = False) -> Frame:
+    """Fields of a JSON text as columns, blank where missing; `a.b` and `a[0]` reach inside. A text that is no JSON gives blanks, and stands in _unparsed if that is asked for."""
+    text = F.coalesce(f.col(column), F.lit(""))
+    parsed = F.try_parse_json(text)
+    made = [F.coalesce(F.variant_get(parsed, f"$.{k}", "string"), F.lit("")) for k in keys]
+    if unparsed:
+        made.append(F.when(parsed.isNull(), text).otherwise(""))
+    return _structured(f, column, made, [*keys, *["_unparsed"] * unparsed], keep)
+
+
+def _pieces(f: Frame, column: str, pieces: Column, into: Sequence[str], width: int | None, keep: bool) -> Frame:
+    if width is None:
+        width = max(1, f.df.agg(F.max(F.size(pieces))).first()[0] or 1)
+    cells = [F.coalesce(F.get(pieces, F.lit(i)), F.lit("")) for i in range(width)]
+    return _structured(f, column, cells, [into[i] if i < len(into) else f"{column}_{i + 1}" for i in range(width)], keep)
+
+
+def structure_spaces(f: Frame, column: str, into: Sequence[str] = (), width: int | None = None, keep: bool = False) -> Frame:
+    """Pieces set apart by tabs or two blanks and more. Without a width, one pass finds the widest row; pieces over it go."""
+    return _pieces(f, column, F.split(strip(F.coalesce(f.col(column), F.lit(""))), r"\t+| {2,}"), into, width, keep)
+
+
+def structure_delimited(f: Frame, column: str, delimiter: str = ",", into: Sequence[str] = (), width: int | None = None, keep: bool = False) -> Frame:
+    """Stripped pieces between delimiters, quotes being plain characters. Without a width, one pass finds the widest row; pieces over it go."""
+    return _pieces(f, column, F.transform(F.split(F.coalesce(f.col(column), F.lit("")), _quoted(delimiter)), strip), into, width, keep)
+
+
+def structure_key_values(f: Frame, column: str, keys: Sequence[str], separator: str = ":", keep: bool = False) -> Frame:
+    """Values of `key: value` parts as columns, then text: the parts without a key, joined by "; ".
+
+    Parts end at a semicolon, a line break, a pipe, or a comma that another key follows. A key that comes again is key_2, key_3.
+    """
+    s = _quoted(separator)
+    parts = F.transform(F.split(F.coalesce(f.col(column), F.lit("")), rf"[;\n|]|,(?=\s*[\w .\-]{{1,40}}?\s*{s})"), strip)
+    pair = rf"(?s)^([\w .\-]{{1,40}}?)\s*{s}\s*(.*)$"
+
+    def value(name: str) -> Column:
+        base, n = re.fullmatch(r"(.+)_(\d+)", name).groups() if re.fullmatch(r".+_\d+", name) else (name, "1")
+        of = lambda k: F.transform(F.filter(parts, lambda x: F.regexp_extract(x, pair, 1) == k), lambda x: F.regexp_extract(x, pair, 2))
+        plain = F.get(of(name), F.lit(0))
+        return F.coalesce(plain if n == "1" else F.coalesce(plain, F.get(of(base), F.lit(int(n) - 1))), F.lit(""))
+
+    rest = F.array_join(F.filter(parts, lambda x: ~x.rlike(pair) & (x != "")), "; ")
+    return _structured(f, column, [*map(value, keys), rest], [*keys, "text"], keep)
+
+
+def match_columns(wanted: Sequence[str], have: Sequence[str]) -> dict[str, str]:
+    """Wanted name -> the first column of the same name but for case, blanks, underscores, hyphens and dots; names that are there as they stand are left out."""
+    bare = lambda c: re.sub(r"[\s_.\-]+", "", c).lower()
+    by_name = {bare(c): c for c in reversed(have)}
+    return {w: by_name[bare(w)] for w in wanted if w not in have and bare(w) in by_name}
 
 
 def json_keys(f: Frame, column: str, most: int = 300) -> list[str]:

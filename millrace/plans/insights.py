@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+import os
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -38,7 +40,7 @@ def inferred(f: Frame, sample: int = 400, share: float = 0.9) -> dict[str, tuple
 
 
 def profile(f: Frame, columns: Sequence[str] | None = None) -> DataFrame:
-    """(column, n, empty, filled, distinct_values, min_length, max_length, min_number, max_number, sum_number, unparsed), a row for each column, from one aggregation."""
+    """(column, n, empty, filled, distinct_values, min_length, max_length, min_number, max_number, sum_number, mean_number, spaced, unparsed), a row for each column, from one aggregation."""
     columns = list(columns or f.columns)
     rows = []
     for c in columns:
@@ -49,17 +51,22 @@ def profile(f: Frame, columns: Sequence[str] | None = None) -> DataFrame:
             F.struct(
                 F.lit(c).alias("column"), F.count(F.lit(1)).alias("n"), F.sum((~full).cast("long")).alias("empty"), F.sum(full.cast("long")).alias("filled"), F.count_distinct(F.when(full, v)).alias("distinct_values"),
                 F.min(F.when(full, F.char_length(text))).cast("long").alias("min_length"), F.max(F.when(full, F.char_length(text))).cast("long").alias("max_length"),
-                F.min(n).alias("min_number"), F.max(n).alias("max_number"), F.sum(n).alias("sum_number"), F.sum((full & n.isNull()).cast("long")).alias("unparsed"),
+                F.min(n).alias("min_number"), F.max(n).alias("max_number"), F.sum(n).alias("sum_number"), F.avg(n).alias("mean_number"), F.sum((full & (text != strip(text))).cast("long")).alias("spaced"), F.sum((full & n.isNull()).cast("long")).alias("unparsed"),
             )
         )
     out = f.df.agg(*[r.alias(f"r{i}") for i, r in enumerate(rows)])
     return out.select(F.explode(F.array(*[f"r{i}" for i in range(len(rows))])).alias("r")).select("r.*")
 
 
-def distinct_values(f: Frame, column: str) -> DataFrame:
-    """(value, n) of the stripped non-blank values; order by n falling, then natural_key(value), for a list."""
+def distinct_values(f: Frame, column: str, search: str = "", where: Column | None = None, blanks: bool = False) -> DataFrame:
+    """(value, n) of the stripped values; order by n falling, then natural_key(value), for a list.
+
+    search keeps values that hold it, without case; where keeps rows, as the filters of the other columns do; blanks counts blank cells as a value that no search hides.
+    """
     text = strip(as_text(f.col(column), f.kind(column)))
-    return f.df.where(text != "").groupBy(text.alias("value")).agg(F.count(F.lit(1)).alias("n"))
+    wanted = (text != "") & F.lower(text).contains(search.lower()) if search else text != ""
+    rows = f.df if where is None else f.df.where(where)
+    return rows.where(wanted | (text == "") if blanks else wanted).groupBy(text.alias("value")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def top_values(f: Frame, column: str, n: int = 6) -> DataFrame:
@@ -161,12 +168,13 @@ def _and(conditions: list[Column]) -> Column:
 
 @dataclass(frozen=True)
 class Shape:
-    """A column's contract: its null rate, its distinct values if there are few, its range of numbers."""
+    """A column's contract: its null rate, its distinct values if there are few, its range of numbers, and whether nine tenths of its cells are numbers."""
 
     null_rate: float
     values: frozenset[str] | None
     low: float | None
     high: float | None
+    numeric: bool = False
 
 
 def contract(f: Frame, most: int = 20) -> dict[str, Shape]:
@@ -175,7 +183,7 @@ def contract(f: Frame, most: int = 20) -> dict[str, Shape]:
     for i, c in enumerate(f.columns):
         v, kind = F.col(f"`{c}`"), f.kind(c)
         text, n = strip(as_text(v, kind)), as_number(v, kind)
-        aggs += [F.sum(is_blank(v, kind).cast("long")).alias(f"e{i}"), F.approx_count_distinct(text).alias(f"d{i}"), F.min(n).alias(f"l{i}"), F.max(n).alias(f"h{i}")]
+        aggs += [F.sum(is_blank(v, kind).cast("long")).alias(f"e{i}"), F.approx_count_distinct(text).alias(f"d{i}"), F.min(n).alias(f"l{i}"), F.max(n).alias(f"h{i}"), F.count(n).alias(f"m{i}")]
     seen = f.df.agg(*aggs).first()
     few = [i for i in range(len(f.columns)) if seen[f"d{i}"] <= 2 * most]
     sets = {}
@@ -183,11 +191,12 @@ def contract(f: Frame, most: int = 20) -> dict[str, Shape]:
         got = f.df.agg(*[F.collect_set(F.when(~f.blank(f.columns[i]), strip(as_text(f.col(f.columns[i]), f.kind(f.columns[i]))))).alias(f"s{i}") for i in few]).first()
         sets = {i: frozenset(got[f"s{i}"]) for i in few if len(got[f"s{i}"]) <= most}
     n = seen["n"] or 1
-    return {c: Shape((seen[f"e{i}"] or 0) / n, sets.get(i), seen[f"l{i}"], seen[f"h{i}"]) for i, c in enumerate(f.columns)}
+    numeric = lambda i: 0 < 0.9 * (seen["n"] - seen[f"e{i}"]) <= seen[f"m{i}"]
+    return {c: Shape((seen[f"e{i}"] or 0) / n, sets.get(i), seen[f"l{i}"], seen[f"h{i}"], seen["n"] > 0 and numeric(i)) for i, c in enumerate(f.columns)}
 
 
 def drift(old: dict[str, Shape], new: dict[str, Shape], null_points: float = 0.05) -> list[tuple[str, str, str]]:
-    """(kind, column, detail): missing and added columns, new values, a null rate or range that moved."""
+    """(kind, column, detail): missing and added columns, new values, a null rate or range that moved, a column that is no longer of numbers."""
     out = [("missing", c, "") for c in old if c not in new] + [("added", c, "") for c in new if c not in old]
     for c in old.keys() & new.keys():
         a, b = old[c], new[c]
@@ -195,6 +204,8 @@ def drift(old: dict[str, Shape], new: dict[str, Shape], null_points: float = 0.0
             out.append(("newValue", c, ", ".join(sorted(fresh)[:5])))
         if abs(b.null_rate - a.null_rate) >= null_points:
             out.append(("nullRate", c, f"{a.null_rate:.2f} → {b.null_rate:.2f}"))
+        if a.numeric and not b.numeric:
+            out.append(("type", c, "no longer numbers"))
         if None not in (a.low, a.high, b.low, b.high) and (b.low < a.low or b.high > a.high):
             out.append(("range", c, f"{b.low:g} to {b.high:g}"))
     return sorted(out)
@@ -213,6 +224,50 @@ def like_these(f: Frame, chosen: Column, columns: Sequence[str] | None = None, m
     return sorted(out, key=lambda x: (x[3], x[0]))[:most]
 
 
+def rules_like(f: Frame, chosen: Column, columns: Sequence[str] | None = None, most: int = 3) -> list[tuple[str, int, int]]:
+    """(rule, chosen rows, other rows): rules that all chosen rows fulfil, those with the fewest other rows first; pairs of the best five where no single rule is exact.
+
+    A rule is empty, equals, startsWith (three characters at least) or, for columns of numbers and days, gte and lte. One
+    aggregation finds the candidates (the common start of all texts is that of the smallest and the largest), one counts
+    them and one counts the pairs.
+    """
+    columns = list(columns or f.columns)
+    text = {c: F.lower(strip(as_text(f.col(c), f.kind(c)))) for c in columns}
+    ranged = [c for c in columns if isinstance(f.kind(c), T.NumericType | T.DateType | T.TimestampType | T.TimestampNTZType)]
+    ends = [(k, e, c) for k, e in (("a", F.min), ("b", F.max)) for c in columns]
+    seen = f.df.where(chosen).agg(F.count(F.lit(1)).alias("k"), *[e(text[c]).alias(f"{k}{columns.index(c)}") for k, e, c in ends], *[e(f.col(c)).alias(f"{k}{k}{columns.index(c)}") for k, e, c in ends if c in ranged]).first()
+    rules: dict[str, Column] = {}
+    for i, c in enumerate(columns):
+        a, b = seen[f"a{i}"], seen[f"b{i}"]
+        if a is None:
+            continue
+        start = os.path.commonprefix([a, b])
+        if b == "":
+            rules[f"{c} empty"] = text[c] == ""
+        elif a == b:
+            rules[f"{c} equals {a}"] = text[c] == a
+        elif a and c in ranged:
+            low, high = seen[f"aa{i}"], seen[f"bb{i}"]
+            rules |= {f"{c} gte {low}": f.col(c) >= F.lit(low), f"{c} lte {high}": f.col(c) <= F.lit(high)}
+        elif len(start.strip()) >= 3:
+            rules[f"{c} startsWith {start}"] = text[c].startswith(start)
+    if not rules:
+        return []
+    others = lambda x: F.coalesce(F.sum((F.coalesce(x, F.lit(False)) & ~F.coalesce(chosen, F.lit(False))).cast("long")), F.lit(0))
+
+    def counted(rules: dict[str, Column]) -> list[tuple[str, int, int]]:
+        n = f.df.agg(*[others(x).alias(f"n{i}") for i, x in enumerate(rules.values())]).first()
+        return sorted(((name, seen["k"], n[f"n{i}"]) for i, name in enumerate(rules)), key=lambda x: (x[2], x[0]))
+
+    out = counted(rules)
+    if len(out) > 1 and out[0][2] > 0:
+        alone = {name: n for name, _, n in out}
+        pairs = {" and ".join(x): x for x in itertools.combinations(sorted(list(alone)[:5]), 2)}
+        better = [x for x in counted({name: rules[a] & rules[b] for name, (a, b) in pairs.items()}) if x[2] < min(alone[r] for r in pairs[x[0]])]
+        out = sorted(out + better, key=lambda x: (x[2], x[0] in pairs, x[0]))
+    return out[:most]
+
+
 def find_cells(f: Frame, needle: str, key: str) -> DataFrame:
     """(key, column): cells that hold a text, without case."""
     hits = [F.when(F.lower(as_text(f.col(c), f.kind(c))).contains(needle.lower()), F.lit(c)) for c in f.columns]

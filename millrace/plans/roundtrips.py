@@ -510,3 +510,53 @@ def _(t: Tables) -> DataFrame:
     f = t("region")
     lines = [F.concat(say("x"), F.col("r_name")), say("total 12"), say("NAME"), say("Page 2 of 9"), say("-----"), say(" ")]
     return insights.issues(lined(f, *lines).select(F.col("line").alias("name")))
+
+
+@query("structure_spaces", "SELECT c_custkey, c_name AS c_line_1, CASE WHEN c_custkey % 3 = 0 THEN '' ELSE c_mktsegment END AS c_line_2 FROM customer")
+def _(t: Tables) -> DataFrame:
+    line = F.when(F.col("c_custkey") % 3 == 0, F.col("c_name")).otherwise(F.concat("c_name", say("   "), F.col("c_mktsegment"), say(" ")))
+    return op.structure_spaces(cells(t("customer"), "c_line", line), "c_line").result().select("c_custkey", "c_line_1", "c_line_2")
+
+
+@query("structure_delimited", "SELECT o_orderkey, o_orderstatus AS status, '\"' || o_orderpriority AS line_2, '\"' AS line_3 FROM orders")
+def _(t: Tables) -> DataFrame:
+    line = F.concat(F.col("o_orderstatus"), say(' , "'), F.col("o_orderpriority"), say(',"'))
+    return op.structure_delimited(cells(t("orders"), "line", line), "line", ",", ["status"]).result().select("o_orderkey", "status", "line_2", "line_3")
+
+
+@query("structure_key_values", "SELECT o_orderkey, o_orderstatus AS status, o_orderpriority || ', soon' AS prio, o_custkey::VARCHAR AS prio_2, '' AS none, 'checked' AS text FROM orders")
+def _(t: Tables) -> DataFrame:
+    line = F.concat(say("status: "), F.col("o_orderstatus"), say(", prio:"), F.col("o_orderpriority"), say(", soon; checked | prio : "), text("o_custkey"))
+    return op.structure_key_values(cells(t("orders"), "line", line), "line", ["status", "prio", "prio_2", "none"]).result().select("o_orderkey", "status", "prio", "prio_2", "none", "text")
+
+
+@query("structure_json_unparsed", "SELECT o_orderkey, CASE WHEN bad THEN '' ELSE o_orderstatus END AS s, CASE WHEN bad THEN '{' || o_orderkey ELSE '' END AS _unparsed FROM (SELECT *, o_orderkey % 4 = 0 AS bad FROM orders)")
+def _(t: Tables) -> DataFrame:
+    line = F.when(F.col("o_orderkey") % 4 == 0, F.concat(say("{"), text("o_orderkey"))).otherwise(F.to_json(F.struct(F.col("o_orderstatus").alias("s"))))
+    return op.structure_json(cells(t("orders"), "line", line), "line", ["s"], unparsed=True).result().select("o_orderkey", "s", "_unparsed")
+
+
+@query("read_json_document", "SELECT n_nationkey::VARCHAR AS k, coalesce(n_name, '') AS \"in.name\", '[\"' || n_regionkey || '\"]' AS \"in.regions\" FROM nation")
+def _(t: Tables) -> DataFrame:
+    record = F.struct(F.col("n_nationkey").alias("k"), F.struct(F.col("n_name").alias("name"), F.array("n_regionkey").alias("regions")).alias("in"))
+    path = new_path(t("nation").df.sparkSession, "json-document")  # 25 nations: one small document
+    document = F.struct(F.lit(2).alias("version"), F.array(F.struct(F.lit(1).alias("x"))).alias("short"), F.collect_list(record).alias("rows"))
+    t("nation").df.agg(F.to_json(document).alias("value")).write.text(path)
+    return readers.json_document(t("nation").df.sparkSession, path).result()
+
+
+@query("distinct_search", "SELECT trim(coalesce(CASE WHEN p_partkey % 7 <> 0 THEN p_type END, '')) AS value, count(*) AS n FROM part WHERE p_size > 10 AND (p_partkey % 7 = 0 OR lower(p_type) LIKE '%ar%') GROUP BY 1")
+def _(t: Tables) -> DataFrame:
+    f = cells(t("part"), "v", F.when(F.col("p_partkey") % 7 != 0, F.col("p_type")))
+    return insights.distinct_values(f, "v", "AR", F.col("p_size") > 10, blanks=True)
+
+
+@query(
+    "rules_like",
+    "WITH c AS (SELECT *, o_orderstatus = 'F' AND o_orderkey % 2 = 0 AND o_custkey <= 50 AS chosen FROM orders), m AS (SELECT min(o_custkey) AS lo, max(o_custkey) AS hi, count(*) AS k FROM c WHERE chosen) "
+    "SELECT 'o_custkey lte ' || hi || ' and o_orderstatus equals f' AS rule, k AS chosen, (SELECT count(*) FROM c WHERE NOT chosen AND o_custkey <= hi AND o_orderstatus = 'F') AS others FROM m",
+)
+def _(t: Tables) -> DataFrame:
+    f = t("orders")
+    chosen = (F.col("o_orderstatus") == "F") & (F.col("o_orderkey") % 2 == 0) & (F.col("o_custkey") <= 50)
+    return rows_of(f, insights.rules_like(f, chosen, ["o_orderstatus", "o_custkey"], 1), "rule string, chosen long, others long")

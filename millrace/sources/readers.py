@@ -8,6 +8,7 @@ from html.parser import HTMLParser
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from millrace.functions.ordering import rank, running_sum
 from millrace.functions.values import strip
@@ -45,6 +46,28 @@ def json_lines(f: Frame, keys: Sequence[str]) -> Frame:
     return f.select(*[F.coalesce(F.variant_get(v, f"$.{k}", "string"), F.lit("")).alias(k) for k in keys], bad.alias("_unparsed"))
 
 
+def json_document(spark: SparkSession, path: str) -> Frame:
+    """The records of one JSON document as text columns: its array, or the largest array of objects (two at least) under a top-level key, else the document itself.
+
+    Objects inside are flattened to `a.b`, arrays inside stay JSON text. A file is read by one task, so give large data as a line a record.
+    """
+    df = spark.read.json(path, multiLine=True, primitivesAsString=True)
+    lists = [x.name for x in df.schema if isinstance(x.dataType, T.ArrayType) and isinstance(x.dataType.elementType, T.StructType)]
+    if lists:
+        longest = df.agg(F.count(F.lit(1)).alias("rows"), *[F.max(F.size(f"`{c}`")).alias(f"n{i}") for i, c in enumerate(lists)]).first()
+        sizes = {c: longest[f"n{i}"] or 0 for i, c in enumerate(lists)}
+        best = max(lists, key=sizes.get)
+        if longest["rows"] == 1 and sizes[best] >= 2:
+            df = df.select(F.explode(f"`{best}`").alias("r")).select("r.*")
+
+    def leaves(c: Column, kind: T.DataType, name: str) -> list[Column]:
+        if isinstance(kind, T.StructType):
+            return [x for k in kind for x in leaves(c.getField(k.name), k.dataType, f"{name}.{k.name}" if name else k.name)]
+        return [F.coalesce(F.to_json(c) if isinstance(kind, T.ArrayType) else c.cast("string"), F.lit("")).alias(name)]
+
+    return Frame.of(df.select(*[x for k in df.schema for x in leaves(F.col(f"`{k.name}`"), k.dataType, k.name)]))
+
+
 def prefixed_json(f: Frame, keys: Sequence[str]) -> Frame:
     """A log prefix, in column prefix, before the JSON object that ends the line."""
     body = F.regexp_extract("line", r"(\{.*\})\s*$", 1)

@@ -326,3 +326,29 @@ def test_literals(spark):
     assert one("*", "gt", "1000") == ["x"]
     with pytest.raises(ValueError):
         one("n", "gt", "many")
+
+
+def test_match_columns():
+    assert op.match_columns(["Order ID", "name", "x", "Total"], ["order_id", "ORDER-ID", "name", "Total"]) == {"Order ID": "order_id"}
+
+
+def test_structures_of_blank_and_empty_tables(spark):
+    f = frame(spark, ["a", "b"], [(None, "1"), ("", "2"), ("k: v\nk: w", "3")])
+    assert rows(op.structure_key_values(f, "a", ["k", "k_2"])) == [("", "", "", "1"), ("", "", "", "2"), ("v", "w", "", "3")]
+    assert rows(op.structure_spaces(f, "a", ["b"], keep=True)) == [(None, "", "1"), ("", "", "2"), ("k: v\nk: w", "k: v\nk: w", "3")]
+    assert op.structure_spaces(f, "a", ["b"], keep=True).columns == ["a", "b_2", "b"]
+    none = f.with_df(f.df.where("false"))
+    assert op.structure_delimited(none, "a").columns == ["a_1", "b"] and insights.rules_like(none, F.lit(True)) == []
+    got = insights.rules_like(f, f.df["b"] == "1")
+    assert got[0] == ("b equals 1", 1, 0) and ("a empty", 1, 1) in got
+    kinds = insights.drift(insights.contract(f), insights.contract(frame(spark, ["a", "b"], [("x", "y")])))
+    assert ("type", "b", "no longer numbers") in kinds
+
+
+def test_json_documents(spark, tmp_path):
+    for name, body, want in [
+        ("rows", '[{"a": 1.50, "b": {"c": "x"}}, {"a": null}]', {("1.50", "x"), ("", "")}),
+        ("few", '{"a": "y", "b": {"c": 2}, "list": [{"z": 1}]}', {("y", "2", '[{"z":"1"}]')}),
+    ]:
+        (tmp_path / name).write_text(body)
+        assert {tuple(r) for r in readers.json_document(spark, str(tmp_path / name)).result().collect()} == want
