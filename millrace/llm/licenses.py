@@ -7,9 +7,8 @@ carries a match over inserted or missing words; and a merged span is verified by
 words that its k-grams cover. Short phrases (2-grams) must be covered whole on a single diagonal, longer
 templates (5-grams) to at least 0.8.
 
-K-grams are 64-bit hashes of hashes of words. Those that no template has can join with nothing and are left out where
-they are made; no text is cut, and the templates may be of any number and length. A span's share is counted on its
-own words, so a chance equality of two hashes adds a word or two at most.
+K-grams are 64-bit hashes of hashes of words, and all of a text's go into the join; the templates may be of any number
+and length. A span's share is counted on its own words, so a chance equality of two hashes adds a word or two at most.
 """
 
 from __future__ import annotations
@@ -20,7 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -63,6 +62,8 @@ WHOLE = (
 )
 TEMPLATES += WHOLE
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
+#: Ends each text's hashes and is joined with a row of its own, so that texts without a match come through the join too.
+END = 0
 
 
 def words_of(text: str | None) -> list[str]:
@@ -70,12 +71,13 @@ def words_of(text: str | None) -> list[str]:
 
 
 def rolled(hashes: np.ndarray, k: int) -> np.ndarray:
-    """Hashes of all runs of k words, given the words' hashes."""
+    """Hashes of all runs of k words, given the words' hashes; END is none of them."""
     n = len(hashes) - k + 1
-    out = np.zeros(max(0, n), np.uint64)
+    out = np.full(max(0, n), k, np.uint64)
     for i in range(k if n > 0 else 0):
         out = out * _MULTIPLIER + hashes[i : i + n]
-    return (out ^ out >> np.uint64(32)).view(np.int64)
+    out = (out ^ out >> np.uint64(32)).view(np.int64)
+    return np.where(out == END, 1, out)
 
 
 def _hashed(words: list[str], known: dict[str, int]) -> np.ndarray:
@@ -88,8 +90,8 @@ def _hashed(words: list[str], known: dict[str, int]) -> np.ndarray:
 
 
 def template_table(phrases=PHRASES, templates=TEMPLATES) -> list[tuple]:
-    """Rows (k, hash, template, base, label, words, at), one for each k-gram of each template."""
-    rows = []
+    """Rows (k, hash, template, base, label, words, at), one for each k-gram of each template, and template -1 for the end of a text."""
+    rows = [(0, END, -1, False, "", 0, 0)]
     for t, (label, text, k, base) in enumerate([*((a, b, SHORT, True) for a, b in phrases), *((a, b, LONG, False) for a, b in templates)]):
         words = words_of(text)
         if len(words) < k:
@@ -98,38 +100,35 @@ def template_table(phrases=PHRASES, templates=TEMPLATES) -> list[tuple]:
     return rows
 
 
-def grams(text: Column, rows: list[tuple]) -> Column:
-    """struct(n_words, found: array of (k, hash, pos)): the k-grams of a text that templates have."""
-    gram = T.StructType([T.StructField("k", T.IntegerType()), T.StructField("hash", T.LongType()), T.StructField("pos", T.LongType())])
-    kind = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("found", T.ArrayType(gram))])
-    wanted = {k: np.unique(np.array([r[1] for r in rows if r[0] == k], np.int64)) for k in (SHORT, LONG)}
-
-    @F.pandas_udf(kind)
-    def of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        known: dict[str, int] = {}
-        for texts in batches:
-            counts, found = [], []
-            for t in texts:
-                words = words_of(t)
-                hashes = _hashed(words, known)
-                hits = []
-                for k, some in wanted.items():
-                    h = rolled(hashes, k)
-                    at = np.searchsorted(some, h)
-                    pos = np.flatnonzero(some[np.minimum(at, len(some) - 1)] == h) if len(some) else at[:0]
-                    hits += [{"k": k, "hash": x, "pos": p} for x, p in zip(h[pos].tolist(), pos.tolist(), strict=True)]
-                counts.append(len(words))
-                found.append(hits)
-            yield pd.DataFrame({"n_words": counts, "found": found})
-
-    return of(text)
-
-
-def spans(marked: DataFrame, rows: list[tuple]) -> DataFrame:
-    """(rid, base, label, start, cover) for marked (rid, found): merged diagonals with the share of the template they cover, unverified ones too; of templates at one place the best."""
-    templates = marked.sparkSession.createDataFrame(rows, "k int, hash long, template int, base boolean, label string, words int, at int")
-    hits = marked.select("rid", F.explode("found").alias("g")).select("rid", "g.k", "g.hash", "g.pos")
-    hits = hits.join(templates, ["k", "hash"])  # Spark broadcasts the templates if they are few, and splits hot hashes if not
+@F.pandas_udf(T.StructType([T.StructField("n_words", T.LongType()), T.StructField("hashes", T.ArrayType(T.LongType()))]))
+def grams(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    """struct(n_words, hashes): the hashes of all runs of SHORT words of a text, then those of all runs of LONG words, then END."""
+    known: dict[str, int] = {}
+    for texts in batches:
+        counts, found = [], []
+        for t in texts:
+            words = words_of(t)
+            hashes = _hashed(words, known)
+            counts.append(len(words))
+            found.append(np.concatenate([rolled(hashes, SHORT), rolled(hashes, LONG), [END]]))
+        yield pd.DataFrame({"n_words": counts, "hashes": found})
+
+
+def matched(docs: DataFrame, rows: list[tuple], id_col: str, text_col: str) -> DataFrame:
+    """(rid, doc_id, n_words, template, base, label, words, k, at, pos): each k-gram at word pos of a text that a template has at word `at`, and a row of template -1 for each text; rid numbers the rows of docs.
+
+    Staged, so that texts are read once and a row keeps its number. The templates are read from a written table, so that Spark knows
+    their size: it broadcasts them if they are few, and splits hot hashes if not.
+    """
+    templates = stage(docs.sparkSession.createDataFrame(rows, "k int, hash long, template int, base boolean, label string, words int, at int").coalesce(1), "templates")
+    every = docs.select(F.col(id_col).alias("doc_id"), grams(F.col(text_col)).alias("g")).select("doc_id", "g.n_words", "g.hashes").withColumn("rid", F.monotonically_increasing_id())
+    hits = every.select("rid", "doc_id", "n_words", F.posexplode("hashes").alias("i", "hash")).join(templates, "hash")
+    pos = F.col("i") - F.when(F.col("k") == LONG, F.greatest(F.col("n_words") - (SHORT - 1), F.lit(0))).otherwise(0)
+    return stage(hits.select("rid", "doc_id", "n_words", "template", "base", "label", "words", "k", "at", pos.cast("long").alias("pos")), "hits")
+
+
+def spans(hits: DataFrame) -> DataFrame:
+    """(rid, base, label, start, cover) for hits (rid, template, base, label, words, k, at, pos): merged diagonals with the share of the template they cover, unverified ones too; of templates at one place the best."""
     votes = hits.groupBy("rid", "template", "base", "label", "words", "k", (F.col("pos") - F.col("at")).alias("diagonal")).agg(F.collect_set("at").alias("ats"))
     order = Window.partitionBy("rid", "template").orderBy("diagonal")
     slack = F.when(F.col("base"), 0).otherwise(SLACK)
@@ -153,11 +152,8 @@ def scan(docs: DataFrame, phrases=PHRASES, templates=TEMPLATES, id_col: str = "d
     """
     small_batches(docs.sparkSession)
     rows = template_table(phrases, templates)
-    marked = docs.select(F.col(id_col).alias("doc_id"), grams(F.col(text_col), rows).alias("g"))
-    marked = marked.select("doc_id", "g.n_words", "g.found").withColumn("rid", F.monotonically_increasing_id())
-    # Staged, so that texts are read once and a row's number is the same on both sides of the join.
-    marked = stage(marked, "grams")
-    found = spans(marked.where(F.size("found") > 0), rows)
+    hits = matched(docs, rows, id_col, text_col)
+    found = spans(hits.where("template >= 0"))
     good = F.when(F.col("base"), F.col("cover") >= 1).otherwise(F.col("cover") >= COVER)
     base = F.col("base") & good
     by_doc = found.groupBy("rid").agg(
@@ -165,7 +161,7 @@ def scan(docs: DataFrame, phrases=PHRASES, templates=TEMPLATES, id_col: str = "d
         F.array_join(F.array_sort(F.collect_set(F.when(base, F.col("label")))), ",").alias("base_labels"), F.array_join(F.array_sort(F.collect_set(F.when(good, F.col("label")))), ",").alias("labels"),
         F.max(F.when(good, F.least("cover", F.lit(1.0))).otherwise(F.when(~F.col("base"), F.col("cover") / 2).otherwise(0.0))).alias("score"),
     )
-    out = marked.select("doc_id", "n_words", "rid").join(by_doc, "rid", "left")
+    out = hits.where("template < 0").select("doc_id", "n_words", "rid").join(by_doc, "rid", "left")
     blank = F.lit("")
     return out.select("doc_id", "n_words", F.coalesce("n_base", F.lit(0)).cast("long").alias("n_base"), F.col("first_word").cast("long").alias("first_word"), F.col("last_word").cast("long").alias("last_word"), F.coalesce("base_labels", blank).alias("base_labels"), F.coalesce("labels", blank).alias("labels"), F.coalesce("score", F.lit(0.0)).alias("score"))
 
