@@ -1,8 +1,8 @@
 """Embedding near-dedup: exact cosine-threshold pairs by dual traversal of cover trees.
 
 Unit vectors with cosine >= c lie within t = sqrt(2 - 2c) of each other. Vectors of a label are one search
-space. Its top tree level is a net of pivots drawn from a bounded sample: each vector joins its nearest pivot
-and every node keeps its covering radius. Node pairs further apart than both radii plus t are pruned before
+space. The top tree level of each label of over CHUNK vectors is a net of pivots drawn from a bounded sample of the label:
+each vector joins its nearest pivot and every node keeps its covering radius. Node pairs further apart than both radii plus t are pruned before
 any row moves. What survives is compared in units: pairs of bounded chunks of two nodes, so neither a hot
 label nor a hot node ever meets in one task. In a unit both chunks get the lower levels, nested nets with
 halving radii, and the two trees are walked together: a pair of nodes is pruned by the covering-radius bound,
@@ -23,8 +23,8 @@ from pyspark.sql import types as T
 from .common import connected_components, stage, table
 
 COSINE = 0.98
-#: Vectors in a chunk of a node, labels that get pivots (the largest), pivots a label, vectors of the sample a label.
-CHUNK, HOT_LABELS, PIVOTS, SAMPLE = 1024, 128, 16, 512
+#: Vectors in a chunk of a node, pivots a label, vectors of the sample a label.
+CHUNK, PIVOTS, SAMPLE = 1024, 16, 512
 RADII = (1.0, 0.5, 0.25, 0.125)
 
 
@@ -104,9 +104,6 @@ def _lowest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         low = after
 
 
-_FOUND = T.StructType([T.StructField("node", T.LongType()), T.StructField("n", T.LongType()), T.StructField("root", T.LongType())])
-
-
 def _search(cosine: float):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["side", "node"], kind="stable", ignore_index=True)
@@ -119,7 +116,7 @@ def _search(cosine: float):
         else:
             half = int((rows["side"] == 0).sum())
             if not 0 < half < len(x):  # the other chunk came out empty
-                return pd.DataFrame({"node": [], "n": [], "root": []}).astype("int64")
+                return pd.DataFrame({"node": node[:0], "n": np.empty(0, np.int64), "root": node[:0]})
             i, j = unit_links(Tree(x[:half]), Tree(x[half:]), cosine)
             j = j + half
             n = np.bincount(i, mult[j], len(x)) + np.bincount(j, mult[i], len(x))
@@ -130,38 +127,53 @@ def _search(cosine: float):
     return run
 
 
-def _pivots(classes: DataFrame) -> dict:
-    """(label as text, size) -> up to PIVOTS pivots of its net, from SAMPLE vectors, for the HOT_LABELS largest labels of over CHUNK vectors."""
-    sizes = classes.groupBy("label", "dim").count().where(F.col("count") > CHUNK).orderBy(F.desc("count"), "label", "dim").limit(HOT_LABELS)
-    drawn = classes.join(F.broadcast(sizes), ["label", "dim"]).where(F.pmod(F.xxhash64("v"), F.lit(1 << 20)) < F.lit(1 << 20) * (2.0 * SAMPLE) / F.col("count"))
-    drawn = drawn.groupBy("label", "dim").agg(F.slice(F.sort_array(F.collect_list("v")), 1, SAMPLE).alias("vs"))
-    out = {}
-    for row in drawn.collect():
-        x = unit(row["vs"])
-        for radius in RADII:
-            net, open_ = [], np.ones(len(x), bool)
-            while open_.any():
-                c = int(np.argmax(open_))
-                net.append(c)
-                open_ &= np.sqrt(np.maximum(0, 2 - 2 * x @ x[c])) > radius
-            if len(net) >= PIVOTS:
-                break
-        out[str(row["label"]), row["dim"]] = x[net[:PIVOTS]]
-    return out
-
-
-def _placed(classes: DataFrame, pivots: dict) -> DataFrame:
-    @F.pandas_udf(T.StructType([T.StructField("cell", T.IntegerType()), T.StructField("far", T.DoubleType())]))
-    def nearest(label: pd.Series, v: pd.Series) -> pd.DataFrame:
-        cell, far = np.zeros(len(v), np.int32), np.full(len(v), 2.0)
-        for key, rows in pd.Series(range(len(v))).groupby([label.to_numpy(), v.map(len).to_numpy()]):
-            at = rows.to_numpy()
-            if (p := pivots.get((key[0], int(key[1])))) is not None:
-                cos = unit(v.iloc[at].tolist()) @ p.T
-                cell[at], far[at] = cos.argmax(axis=1), np.sqrt(np.maximum(0, 2 - 2 * cos.max(axis=1)))
-        return pd.DataFrame({"cell": cell, "far": far})
-
-    return classes.withColumn("p", nearest(F.col("label").cast("string"), F.col("v"))).select("node", "mult", "label", "dim", "v", "p.cell", "p.far")
+def _net(rows: pd.DataFrame) -> pd.DataFrame:
+    """The pivots of one label's sample, each with its distances to all of them: the widest nested net of PIVOTS centres or more, its first ones."""
+    x = unit(rows.sort_values("node", kind="stable")["v"].tolist()[:SAMPLE])
+    for radius in RADII:
+        net, open_ = [], np.ones(len(x), bool)
+        while open_.any():
+            c = int(np.argmax(open_))
+            net.append(c)
+            open_ &= np.sqrt(np.maximum(0, 2 - 2 * x @ x[c])) > radius
+        if len(net) >= PIVOTS:
+            break
+    p = x[net[:PIVOTS]]
+    apart = [np.linalg.norm(p - c, axis=1) for c in p]
+    return pd.DataFrame({"label": rows["label"].iloc[0], "dim": rows["dim"].iloc[0], "cell": np.arange(len(p), dtype=np.int32), "pivot": list(p), "apart": apart})
+
+
+def _pivots(classes: DataFrame) -> DataFrame:
+    """(label, dim, cell, pivot, apart, salts) of the labels of over CHUNK vectors, a row a pivot; salts: parts of about 4 CHUNK vectors the label is placed in. A label's sample is drawn by hash, about 2 SAMPLE vectors whatever its size."""
+    sizes = classes.groupBy("label", "dim").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > CHUNK)
+    drawn = classes.join(sizes, ["label", "dim"]).where(F.pmod(F.xxhash64("v"), F.lit(1 << 20)) < F.lit(1 << 20) * (2.0 * SAMPLE) / F.col("size"))
+    doubles = T.ArrayType(T.DoubleType())
+    kind = T.StructType([classes.schema["label"], classes.schema["dim"], T.StructField("cell", T.IntegerType()), T.StructField("pivot", doubles), T.StructField("apart", doubles)])
+    nets = drawn.select("label", "dim", "node", "v").groupBy("label", "dim").applyInPandas(_net, kind)
+    salts = sizes.select("label", "dim", F.ceil(F.col("size") / (4 * CHUNK)).cast("int").alias("salts"))
+    return stage(nets.join(salts, ["label", "dim"]), "pivots")
+
+
+def _nearest(rows: pd.DataFrame, pivots: pd.DataFrame) -> pd.DataFrame:
+    """rows of one part of a label with their nearest pivot (cell) and its distance (far)."""
+    if not len(rows):
+        return pd.DataFrame({c: [] for c in ("node", "mult", "label", "dim", "v", "cell", "far")})
+    pivots = pivots.sort_values("cell")
+    cos = unit(rows["v"].tolist()) @ np.stack(pivots["pivot"].tolist()).T
+    at = cos.argmax(axis=1)
+    return rows[["node", "mult", "label", "dim", "v"]].assign(cell=pivots["cell"].to_numpy()[at], far=np.sqrt(np.maximum(0, 2 - 2 * cos.max(axis=1))))
+
+
+def _placed(classes: DataFrame, pivots: DataFrame) -> DataFrame:
+    """classes with cell and far. Labels without pivots are one cell; the others are dealt out in salted parts, each of which meets the label's pivots."""
+    columns = ["node", "mult", "label", "dim", "v"]
+    salts = pivots.where("cell = 0").select("label", "dim", "salts")
+    kind = T.StructType([*[classes.schema[c] for c in columns], T.StructField("cell", T.IntegerType()), T.StructField("far", T.DoubleType())])
+    parts = classes.join(salts, ["label", "dim"]).withColumn("salt", F.pmod(F.xxhash64("v", "node"), F.col("salts")).cast("int")).select(*columns, "salt")
+    copies = pivots.select("label", "dim", "cell", "pivot", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    large = parts.groupBy("label", "dim", "salt").cogroup(copies.groupBy("label", "dim", "salt")).applyInPandas(_nearest, kind)
+    small = classes.join(salts, ["label", "dim"], "left_anti").select(*columns, F.lit(0).alias("cell"), F.lit(2.0).alias("far"))
+    return small.unionByName(large)
 
 
 def links(classes: DataFrame, cosine: float = COSINE) -> DataFrame:
@@ -171,12 +183,9 @@ def links(classes: DataFrame, cosine: float = COSINE) -> DataFrame:
     placed = stage(_placed(classes, pivots), "placed")
     cells = placed.groupBy("label", "dim", "cell").agg(F.count(F.lit(1)).alias("size"), F.max("far").alias("radius"))
     cells = cells.withColumn("chunks", F.ceil(F.col("size") / CHUNK).cast("int"))
-    apart = [(k, d, i, j, float(np.linalg.norm(p[i] - p[j]))) for (k, d), p in pivots.items() for i in range(len(p)) for j in range(len(p))]
-    schema = "l string, d int, a int, b int, apart double"
-    apart = placed.sparkSession.createDataFrame(apart, schema)
     mine, other = cells.alias("m"), cells.select(F.col("label").alias("l2"), F.col("dim").alias("d2"), F.col("cell").alias("cell2"), F.col("radius").alias("radius2"), F.col("chunks").alias("chunks2"))
     pairs = mine.join(other, (F.col("label") == F.col("l2")) & (F.col("dim") == F.col("d2")))
-    pairs = pairs.join(apart, (F.col("label").cast("string") == F.col("l")) & (F.col("dim") == F.col("d")) & (F.col("cell") == F.col("a")) & (F.col("cell2") == F.col("b")), "left")
+    pairs = pairs.join(pivots.select("label", "dim", "cell", "apart"), ["label", "dim", "cell"], "left").withColumn("apart", F.get("apart", "cell2"))
     near = pairs.where((F.col("cell") == F.col("cell2")) | (F.coalesce("apart", F.lit(0.0)) <= F.col("radius") + F.col("radius2") + reach + 1e-9))
     near = stage(near.select("label", "dim", "cell", "chunks", "cell2", "chunks2"), "near")
     rows = placed.join(near, ["label", "dim", "cell"])
@@ -184,7 +193,9 @@ def links(classes: DataFrame, cosine: float = COSINE) -> DataFrame:
     rows = rows.withColumn("chunk2", F.explode(F.sequence(F.lit(0), F.col("chunks2") - 1)))
     me, it = F.struct("cell", "chunk"), F.struct(F.col("cell2").alias("cell"), F.col("chunk2").alias("chunk"))
     rows = rows.select("label", "dim", F.least(me, it).alias("p"), F.greatest(me, it).alias("q"), (me > it).cast("int").alias("side"), (me != it).alias("two"), "node", "mult", "v")
-    return rows.groupBy("label", "dim", "p", "q").applyInPandas(_search(cosine), _FOUND)
+    node = classes.schema["node"].dataType
+    found = T.StructType([T.StructField("node", node), T.StructField("n", T.LongType()), T.StructField("root", node)])
+    return rows.groupBy("label", "dim", "p", "q").applyInPandas(_search(cosine), found)
 
 
 def near_duplicates(vectors: DataFrame, cosine: float = COSINE, id_col: str = "vec_id", label_col: str = "label", vector_col: str = "embedding") -> DataFrame:

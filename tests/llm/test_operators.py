@@ -114,6 +114,10 @@ def test_covertree(spark):
     assert {i: x["component_id"] for i, x in got.items()} == groups_of(links, [i for i, *_ in rows])
     assert all(x["kept"] == (i == x["component_id"]) for i, x in got.items())
     assert covertree.near_duplicates(table.limit(0)).count() == 0
+    # Ids of text, in the order of text.
+    named = table.withColumn("vec_id", F.format_string("v%05d", "vec_id"))
+    again = {x["vec_id"]: (x["n_links"], x["component_id"], x["kept"]) for x in covertree.near_duplicates(named, 0.95).collect()}
+    assert again == {f"v{i:05d}": (x["n_links"], f"v{x['component_id']:05d}", x["kept"]) for i, x in got.items()}
 
 
 def test_mixing(spark, corpus):
@@ -311,6 +315,11 @@ def test_licenses(spark):
     assert by[6]["labels"] == "mit-terms" and 0.8 <= by[6]["score"] < 1  # a word put in and one changed: two diagonals
     assert by[7]["labels"] == "gpl,gpl-3.0"
     assert licenses.scan(docs(spark, [])).count() == 0
+    # Every run of words goes into the join, and a row for each text comes out of it.
+    sizes = {x["doc_id"]: x["n"] for x in docs(spark, rows[:11]).select("doc_id", F.size(licenses.grams(F.col("text"))["hashes"]).alias("n")).collect()}
+    assert sizes == {i: max(0, by[i]["n_words"] - 1) + max(0, by[i]["n_words"] - 4) + 1 for i in range(11)}
+    hits = licenses.matched(docs(spark, rows), licenses.template_table(), "doc_id", "text")
+    assert hits.where("template < 0").count() == len(rows)
 
 
 def test_licenses_by_brute_force(spark):
