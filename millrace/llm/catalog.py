@@ -9,6 +9,7 @@ from .licenses import op8_licenses
 from .merkle import OP1_SQL, op1_merkle
 from .mixing import OP4_SQL, op4_mixing
 from .pieces import op9_sentencepiece
+from .postings import OP12_SQL, op12_postings
 from .simhash import op10_simhash
 from .tokenstore import op2_tokenstore
 from .toxicity import op7_toxicity
@@ -24,10 +25,12 @@ QUERIES = {
     "op8_licenses": op8_licenses,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_simhash": op10_simhash,
+    "op12_postings": op12_postings,
 }
 
 SQL = {
     "op1_merkle": OP1_SQL,
     "op4_mixing": OP4_SQL,
     "op5_covertree": OP5_SQL,
+    "op12_postings": OP12_SQL,
 }
