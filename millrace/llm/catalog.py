@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .covertree import OP5_SQL, op5_covertree
+from .drake import OP13_SQL, op13_drake
 from .images import op3_images
 from .langid import op6_langid
 from .licenses import op8_licenses
@@ -26,6 +27,7 @@ QUERIES = {
     "op9_sentencepiece": op9_sentencepiece,
     "op10_simhash": op10_simhash,
     "op12_postings": op12_postings,
+    "op13_drake": op13_drake,
 }
 
 SQL = {
@@ -33,4 +35,5 @@ SQL = {
     "op4_mixing": OP4_SQL,
     "op5_covertree": OP5_SQL,
     "op12_postings": OP12_SQL,
+    "op13_drake": OP13_SQL,
 }
