@@ -9,6 +9,7 @@ from .langid import op6_langid
 from .licenses import op8_licenses
 from .merkle import OP1_SQL, op1_merkle
 from .mixing import OP4_SQL, op4_mixing
+from .negatives import OP11_SQL, op11_negatives
 from .pieces import op9_sentencepiece
 from .postings import OP12_SQL, op12_postings
 from .simhash import op10_simhash
@@ -26,6 +27,7 @@ QUERIES = {
     "op8_licenses": op8_licenses,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_simhash": op10_simhash,
+    "op11_negatives": op11_negatives,
     "op12_postings": op12_postings,
     "op13_drake": op13_drake,
 }
@@ -34,6 +36,7 @@ SQL = {
     "op1_merkle": OP1_SQL,
     "op4_mixing": OP4_SQL,
     "op5_covertree": OP5_SQL,
+    "op11_negatives": OP11_SQL,
     "op12_postings": OP12_SQL,
     "op13_drake": OP13_SQL,
 }
