@@ -37,7 +37,7 @@ def seeds(rows: DataFrame, clusters: int = CLUSTERS, seed: int = SEED) -> np.nda
     """The vectors of the smallest hashes of their ids, ties by the vectors themselves; fewer if there are fewer. An id that is null hashes as an empty text."""
     h = F.sha2(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("id").cast("string"), F.lit(""))), 256)
     first = rows.orderBy(h, "x").limit(clusters).select("x").collect()
-    return np.array([r["x"] for r in first], np.int64).reshape(len(first), -1)
+    return np.array([r["x"] for r in first], np.int64).reshape(len(first), -1 if first else 0)
 
 
 def squared(x: np.ndarray, c: np.ndarray) -> np.ndarray:

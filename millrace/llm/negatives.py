@@ -84,7 +84,7 @@ def tiles(anchors: DataFrame, rows: DataFrame, wanted: Column, reduce: Callable[
     """reduce(row, scores) over the tiles of anchors' and rows' blocks for which wanted holds of a.least, a.most, b.least and b.most."""
     lines = [max(1, -(-x.select("block").distinct().count() // LINE)) for x in (anchors, rows)]
     at = lambda block, n: F.pmod(F.xxhash64(block), F.lit(n))
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1))).cast("long") if n > 1 else F.lit(0).cast("long")
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
     a = anchors.select(F.col("block").alias("a_block"), "chunk", "least", "most", F.col("ids").alias("anchors"), F.col("labels").alias("a_labels"), "tops", "n", "x", at("block", lines[0]).alias("i"), every(lines[1]).alias("j"))
     b = rows.select(F.col("block").alias("b_block"), "chunk", "least", "most", "ids", "labels", F.col("n").alias("m"), F.col("x").alias("y"), every(lines[0]).alias("i"), at("block", lines[1]).alias("j"))
     met = a.alias("a").join(b.alias("b"), (F.col("a.i") == F.col("b.i")) & (F.col("a.j") == F.col("b.j")) & (F.col("a.chunk") == F.col("b.chunk")) & wanted)
@@ -134,7 +134,7 @@ def _first_negatives(count: int, low: int, high: int):
             some = some[np.lexsort((ids[some], -scores[i, some]))]
             s = scores[i, some]
             for top in tops:
-                inside = some[(100 * s >= low * top) & (100 * s <= high * top)][:count]
+                inside = some[(s >= -(-low * top // 100)) & (s <= min(high * top // 100, 2**63 - 1))][:count]
                 out += [(anchor, top, int(ids[j]), int(scores[i, j])) for j in inside.tolist()]
         columns = zip(*out, strict=True) if out else [[]] * 4
         return pa.table([pa.array(c, pa.int64()) for c in columns], names=["anchor_id", "top", "id", "score"])
@@ -150,7 +150,7 @@ def _best(found: DataFrame, keys: list[str], count: int) -> DataFrame:
 def hard_negatives(rows: DataFrame, anchors: DataFrame, positives: int = POSITIVES, negatives: int = NEGATIVES, low: int = LOW, high: int = HIGH, chunk: int = CHUNK) -> DataFrame:
     """(anchor_id, positive_id, rank, negative_id, positive_score, negative_score) of rows and anchors (id, label, x).
 
-    A score is the whole inner product with the anchor, a shorter vector going on with zeros; it and its hundredfold must fit in 64 bits. Positives are the
+    A score is the whole inner product with the anchor, a shorter vector going on with zeros; it must fit in 64 bits. Positives are the
     first rows of the anchor's label with another id, negatives the first rows of another label whose score is from low to
     high hundredths of the positive's; higher scores first, ties by smaller id. An anchor without positives, and a positive
     without negatives, has no row. Rows of one id count once, as the one of the least label and vector. Empty tables give no rows.
