@@ -212,11 +212,12 @@ def search(index: DataFrame, phrases: DataFrame, slack: int = SLACK) -> DataFram
     n = phrases.count()
     block = F.pmod(F.xxhash64("phrase_id"), F.lit(max(1, -(-n // BLOCK)))).cast("int")
     terms = phrases.select("phrase_id", block.alias("block"), F.size("phrase").alias("size"), F.posexplode("phrase").alias("offset", "term"))
-    known = index.select("term", "n").join(terms.select("term").distinct(), "term").groupBy("term").agg(F.sum("n").alias("n"))
+    some = stage(terms.select("term").distinct(), "terms")  # written first, so that Spark knows its size and need not move the index if it is small
+    known = index.select("term", "n").join(some, "term").groupBy("term").agg(F.sum("n").alias("n"))
     plans = terms.join(known, "term").groupBy("phrase_id", "block").agg(F.array_sort(F.collect_list(F.struct("n", "offset", "term"))).alias("plan"), F.first("size").alias("size")).where(F.size("plan") == F.col("size"))
     plans = stage(plans.select("phrase_id", "block", "plan"), "plans")
     wanted = plans.select("block", F.explode("plan.term").alias("term")).distinct()
-    wanted = wanted.unionByName(plans.select("block", F.lit("").alias("term")).distinct())
+    wanted = stage(wanted.unionByName(plans.select("block", F.lit("").alias("term")).distinct()), "wanted")
     lists = stage(index.select("segment", "term", "postings").join(wanted, "term"), "lists")
     rarest = plans.select("phrase_id", "block", "plan", F.col("plan")[0]["term"].alias("term"))
     routed = lists.select("segment", "block", "term").join(rarest, ["block", "term"]).select(F.col("segment").alias("of"), F.col("block").alias("part"), "phrase_id", "plan")
