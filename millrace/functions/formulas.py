@@ -12,6 +12,7 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .dialect import translated
 from .values import DATE_FORMATS, collapse, fold, is_blank, number_text, parse_date, parse_number, strip, title_case  # noqa: F401
 
 
@@ -69,20 +70,48 @@ def coalesce(*values: Column) -> Column:
     return F.coalesce(*[F.when(~is_blank(v), v) for v in values], F.lit(""))
 
 
-# Text.
+# Text. Numbers among the arguments are read as they are shown.
+def shown_number(x: Column) -> Column:
+    """A double with 12 significant digits at most and never an exponent; whole numbers under 10^15 in full."""
+
+    def spelled(p: Column) -> Column:
+        digits, e = F.regexp_replace(F.regexp_replace(F.substring_index(p, "e", 1), r"[-.]", ""), "0+$", ""), F.substring_index(p, "e", -1).try_cast("int")
+        n = F.length(digits)
+        large = F.concat(digits, F.repeat(F.lit("0"), e - n + 1))
+        mixed = F.concat(F.substring(digits, F.lit(1), e + 1), F.lit("."), F.substring(digits, e + 2, n))
+        small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -e - 1), digits)
+        return F.concat(F.when(p.startswith("-"), "-").otherwise(""), F.when(e >= n - 1, large).when(e >= 0, mixed).otherwise(small))
+
+    # The argument is bound once: spelled() reads it often.
+    said = F.get(F.transform(F.array(F.format_string("%.11e", x)), spelled), F.lit(0))
+    whole = (x == F.floor(x)) & (F.abs(x) < 1e15)
+    return F.when(whole, x.try_cast("long").cast("string")).when(F.abs(x) < float("inf"), said)
+
+
+def as_shown(c: Column) -> Column:
+    """A cell of any type as text; null for null. Spark folds the choice, since a column's type is known."""
+    kind = F.typeof(c)
+    real = kind.isin("double", "float") | kind.startswith("decimal")
+    truth = F.upper(c.cast("string"))
+    return F.when(real, shown_number(c.cast("string").try_cast("double"))).when(kind == "boolean", truth).otherwise(c.cast("string"))
+
+
 def length(c: Column) -> Column:
-    return F.char_length(c)
+    return F.char_length(as_shown(c))
 
 
 def left(c: Column, n: int = 1) -> Column:
+    c = as_shown(c)
     return F.lit(None).cast("string") if n < 0 else F.substring(c, 1, n)
 
 
 def right(c: Column, n: int = 1) -> Column:
+    c = as_shown(c)
     return F.lit(None).cast("string") if n < 0 else F.when(F.char_length(c) <= n, c).otherwise(F.right(c, F.lit(n)))
 
 
 def mid(c: Column, start: int, n: int) -> Column:
+    c = as_shown(c)
     return F.lit(None).cast("string") if start < 1 or n < 0 else F.substring(c, start, n)
 
 
@@ -90,16 +119,17 @@ upper, lower, proper, trim = F.upper, F.lower, title_case, collapse
 
 
 def concat(*values: Column) -> Column:
-    return F.concat(*[F.coalesce(v.cast("string"), F.lit("")) for v in values])
+    return F.concat(*[F.coalesce(as_shown(v), F.lit("")) for v in values])
 
 
 def textjoin(joiner: str, skip_blank: bool, *values: Column) -> Column:
-    texts = F.array(*[F.coalesce(v.cast("string"), F.lit("")) for v in values])
+    texts = F.array(*[F.coalesce(as_shown(v), F.lit("")) for v in values])
     return F.array_join(F.filter(texts, lambda x: x != "") if skip_blank else texts, joiner)
 
 
 def substitute(c: Column, old: str, new: str, nth: int | None = None) -> Column:
     """All occurrences, or the nth one only."""
+    c = as_shown(c)
     if not old:
         return c
     if nth is None:
@@ -110,27 +140,28 @@ def substitute(c: Column, old: str, new: str, nth: int | None = None) -> Column:
 
 
 def replace(c: Column, start: int, n: int, new: str) -> Column:
+    c = as_shown(c)
     return F.lit(None).cast("string") if start < 1 or n < 0 else F.concat(F.substring(c, 1, start - 1), F.lit(new), F.substring(c, F.lit(start + n), F.char_length(c)))
 
 
 def find(needle: str, c: Column, start: int = 1) -> Column:
-    return F.nullif(F.locate(needle, c, start), F.lit(0))
+    return F.nullif(F.locate(needle, as_shown(c), start), F.lit(0))
 
 
 def search(needle: str, c: Column, start: int = 1) -> Column:
-    return F.nullif(F.locate(needle.lower(), fold(c), start), F.lit(0))
+    return F.nullif(F.locate(needle.lower(), fold(as_shown(c)), start), F.lit(0))
 
 
 def contains(c: Column, needle: str) -> Column:
-    return fold(c).contains(fold(F.lit(needle)))
+    return fold(as_shown(c)).contains(fold(F.lit(needle)))
 
 
 def startswith(c: Column, needle: str) -> Column:
-    return fold(c).startswith(fold(F.lit(needle)))
+    return fold(as_shown(c)).startswith(fold(F.lit(needle)))
 
 
 def endswith(c: Column, needle: str) -> Column:
-    return fold(c).endswith(fold(F.lit(needle)))
+    return fold(as_shown(c)).endswith(fold(F.lit(needle)))
 
 
 def value(c: Column, order: str = "mdy") -> Column:
@@ -293,21 +324,17 @@ def edate(c: Column, months: int | Column) -> Column:
     return F.add_months(c, months)
 
 
-# Patterns, with flags i, m and s.
-def _flagged(pattern: str, flags: str) -> str:
-    flags = "".join(f for f in flags if f in "ims")
-    return f"(?{flags.replace('i', 'iu')}){pattern}" if flags else pattern
-
-
+# Patterns, with flags i, m and s. One that Spark can't take is an error when the formula is built.
 def regexmatch(c: Column, pattern: str, flags: str = "") -> Column:
-    return c.rlike(_flagged(pattern, flags))
+    return as_shown(c).rlike(translated(pattern, flags).java)
 
 
-def regexextract(c: Column, pattern: str, flags: str = "", group: int = 0) -> Column:
-    return F.when(c.rlike(_flagged(pattern, flags)), F.regexp_extract(c, _flagged(pattern, flags), group))
+def regexextract(c: Column, pattern: str, flags: str = "", group: int | None = None) -> Column:
+    """The first match, its first group if there is one; null without a match."""
+    p, c = translated(pattern, flags), as_shown(c)
+    return F.when(c.rlike(p.java), F.regexp_extract(c, p.java, min(1, p.groups) if group is None else group))
 
 
 def regexreplace(c: Column, pattern: str, new: str, flags: str = "") -> Column:
-    return F.regexp_replace(c, _flagged(pattern, flags), new)
-
-
+    p = translated(pattern, flags)
+    return F.regexp_replace(as_shown(c), p.java, p.replacement(new))

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .staging import stage
+from .values import named, quoted
 
 Term = str | tuple[str, bool]
 #: Bits of __at that number the rows of a range; those above are the range's own number.
@@ -24,7 +25,7 @@ ROW_BITS = 33
 def terms(order: Sequence[Term]) -> list[Column]:
     """Sort terms out of names or (name, ascending) pairs; nulls last both ways."""
     pairs = [(t, True) if isinstance(t, str) else t for t in order]
-    return [F.col(f"`{n}`").asc_nulls_last() if up else F.col(f"`{n}`").desc_nulls_last() for n, up in pairs]
+    return [named(n).asc_nulls_last() if up else named(n).desc_nulls_last() for n, up in pairs]
 
 
 def laid_out(df: DataFrame, order: Sequence[Term]) -> DataFrame:
@@ -76,7 +77,7 @@ def rank(df: DataFrame, order: Sequence[Term]) -> Column:
     parts = []
     for t in order:
         name, up = (t, True) if isinstance(t, str) else t
-        c, kind = df[f"`{name}`"], df.schema[name].dataType.typeName()
+        c, kind = df[quoted(name)], df.schema[name].dataType.typeName()
         if not up:
             if kind in ("date", "timestamp"):
                 c = -F.unix_micros(c.cast("timestamp"))
@@ -86,5 +87,5 @@ def rank(df: DataFrame, order: Sequence[Term]) -> Column:
                 c = F.concat(F.translate(F.hex(c), "0123456789ABCDEF", "FEDCBA9876543210"), F.lit("~"))
             else:
                 c = -c
-        parts += [df[f"`{name}`"].isNull(), c] if df.schema[name].nullable else [c]
+        parts += [df[quoted(name)].isNull(), c] if df.schema[name].nullable else [c]
     return F.struct(*[p.alias(f"o{i}") for i, p in enumerate(parts)])

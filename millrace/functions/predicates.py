@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .values import as_date, as_number, as_text, detected_locale, fold, is_blank, parse_date, parse_number, strip
+from .dialect import translated
+from .values import as_date, as_number, as_text, detected_locale, fold, is_blank, named, parse_date, parse_number, strip
 
 COMPARED: dict[str, Callable[[Column, Column], Column]] = {"gt": Column.__gt__, "gte": Column.__ge__, "lt": Column.__lt__, "lte": Column.__le__, "eq": Column.__eq__, "ne": Column.__ne__}
 
@@ -35,7 +36,7 @@ def _moment(ts: Column, op: str, value, value2=None) -> Column:
 
 
 def _text(df: DataFrame, column: str) -> Column:
-    return as_text(F.col(f"`{column}`"), df.schema[column].dataType)
+    return as_text(named(column), df.schema[column].dataType)
 
 
 def _literal(value) -> str:
@@ -51,7 +52,7 @@ def _reads(df: DataFrame, values: list[str], locale: str, order: str) -> list[tu
 
 def _keys(df: DataFrame, column: str, values: list, locale: str | None, order: str) -> tuple[Column, list[Column]] | None:
     """A column and literals as dates or numbers; None if a literal can't be read. A text column is compared as dates if the first literal is a date and no number."""
-    kind, c = df.schema[column].dataType, F.col(f"`{column}`")
+    kind, c = df.schema[column].dataType, named(column)
     typed_date = isinstance(kind, T.DateType | T.TimestampType | T.TimestampNTZType)
     if all(isinstance(v, int | float) for v in values) and not typed_date:
         read = [(float(v), None) for v in values]
@@ -86,7 +87,7 @@ def leaf(df: DataFrame, column: str, op: str, value=None, value2=None, values: I
     same = (lambda c: c) if case_sensitive else fold
     text, want = _text(df, column), same(F.lit("" if value is None else _literal(value)))
     if op in ("isEmpty", "isNotEmpty"):
-        blank = is_blank(F.col(f"`{column}`"), kind)
+        blank = is_blank(named(column), kind)
         return blank if op == "isEmpty" else ~blank
     if op in ("contains", "notContains"):
         found = same(text).contains(want)
@@ -102,7 +103,7 @@ def leaf(df: DataFrame, column: str, op: str, value=None, value2=None, values: I
     if op == "endsWith":
         return same(strip(text)).endswith(want)
     if op == "matches":
-        return text.rlike(("" if case_sensitive else "(?iu)") + str(value))
+        return text.rlike(translated(str(value), "" if case_sensitive else "i").java)
     if op == "in":
         wanted = [_literal(v).strip() if case_sensitive else _literal(v).strip().lower() for v in values]
         return same(strip(text)).isin(wanted)
@@ -112,7 +113,7 @@ def leaf(df: DataFrame, column: str, op: str, value=None, value2=None, values: I
             if op in ("eq", "ne"):
                 return leaf(df, column, "equals" if op == "eq" else "notEquals", value, case_sensitive=case_sensitive)
             raise ValueError(f"{value!r} is no date, so it can't be compared")
-        return _moment(F.col(f"`{column}`"), op, *days)
+        return _moment(named(column), op, *days)
     if op in COMPARED or op == "between":
         keys = _keys(df, column, [value, value2] if op == "between" else [value], locale, date_order)
         if keys is None:
@@ -147,7 +148,7 @@ def row_text(df: DataFrame) -> Column:
 
 def top_n(df: DataFrame, column: str, n: int, lowest: bool = False) -> DataFrame:
     """The n largest (or smallest) values with all ties. The n-th value is found by a top-n sort, not by a full one."""
-    c = F.col(f"`{column}`")
+    c = named(column)
     best = df.where(c.isNotNull()).select(c.alias("v")).orderBy(F.col("v").asc() if lowest else F.col("v").desc()).limit(n)
     edge = best.agg(F.max("v") if lowest else F.min("v")).scalar()
     return df.where(c <= edge if lowest else c >= edge)
@@ -155,7 +156,7 @@ def top_n(df: DataFrame, column: str, n: int, lowest: bool = False) -> DataFrame
 
 def around_average(df: DataFrame, column: str, above: bool = True) -> DataFrame:
     """Rows above (or below) the column's average, which is rounded to 1e-10."""
-    c = F.col(f"`{column}`").cast("double")
+    c = named(column).cast("double")
     mean = df.agg(F.round(F.avg(c) * 1e10) / 1e10).scalar()
     return df.where(c > mean if above else c < mean)
 

@@ -20,6 +20,16 @@ MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct",
 SPACES = "\t\n\x0b\x0c\r \u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
 
 
+def quoted(name: str) -> str:
+    """A column's name for Spark, whatever signs are in it."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def named(name: str, side: str = "") -> Column:
+    """The column of a name, with dots, blanks or backticks in it or not; side: an alias to take it of."""
+    return F.col(f"{side}.{quoted(name)}" if side else quoted(name))
+
+
 def strip(c: Column) -> Column:
     return F.btrim(c, F.lit(SPACES))
 
@@ -75,7 +85,7 @@ def number_locale(values: Column) -> Column:
 
 def detected_locale(df: DataFrame, column: str, sample: int = 250) -> str:
     """number_locale of a text column's first non-blank cells: a probe of a bounded number of rows."""
-    c = F.col(f"`{column}`")
+    c = named(column)
     return df.where(~is_blank(c)).select(c.alias("v")).limit(sample).agg(number_locale(F.col("v"))).first()[0] or "us"
 
 

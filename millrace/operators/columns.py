@@ -9,6 +9,7 @@ import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from millrace.functions.dialect import translated
 from millrace.functions.values import as_text, strip
 
 from .frame import Frame, unique_names
@@ -101,10 +102,10 @@ def merge_columns(f: Frame, columns: Sequence[str], joiner: str, into: str, skip
     return f.select(*rest[:at], merged.alias(name), *rest[at:])
 
 
-def extract(f: Frame, column: str, into: str, preset: str | None = None, pattern: str | None = None, every: bool = False) -> Frame:
+def extract(f: Frame, column: str, into: str, preset: str | None = None, pattern: str | None = None, every: bool = False, flags: str = "") -> Frame:
     """The first match (group 1 if there is one), or all joined by "; "; blank without any. Presets ignore case."""
-    p = "(?iu)" + PRESETS[preset] if preset else pattern
-    group = min(1, regex.compile(p.replace("(?iu)", "(?i)")).groups)
+    p = "(?iu)" + PRESETS[preset] if preset else translated(pattern, flags)
+    p, group = (p, min(1, regex.compile(p.replace("(?iu)", "(?i)")).groups)) if preset else (p.java, min(1, p.groups))
     c = F.coalesce(f.col(column), F.lit(""))
     found = F.array_join(F.regexp_extract_all(c, F.lit(p), F.lit(group)), "; ") if every else F.regexp_extract(c, p, group)
     return add_column(f, into, strip(found) if preset in ("email", "phone") else found, column)
@@ -200,9 +201,14 @@ def structure_fixed(f: Frame, column: str, cuts: Sequence[int], into: Sequence[s
     return f.select(*before, *[p.alias(n) for p, n in zip(parts, names, strict=True)], *after)
 
 
-def structure_pattern(f: Frame, column: str, pattern: str, into: Sequence[str], keep: bool = True) -> Frame:
-    """Groups of a pattern as columns."""
+def structure_pattern(f: Frame, column: str, pattern: str, into: Sequence[str] = (), keep: bool = True, flags: str = "") -> Frame:
+    """Groups of a pattern as columns, blank where it doesn't match. Names not given are those of the groups, or column_N."""
+    p = translated(pattern, flags)
+    if not p.groups:
+        raise ValueError("the pattern has no groups")
     at = f.columns.index(column)
     before, after = f.columns[: at + keep], f.columns[at + 1 :]
     c = F.coalesce(f.col(column), F.lit(""))
-    return f.select(*before, *[F.regexp_extract(c, pattern, i).alias(n) for i, n in enumerate(into, 1)], *after)
+    names = [into[i] if i < len(into) else n or f"{column}_{i + 1}" for i, n in enumerate(p.names)]
+    names = unique_names([*before, *after, *names])[len(before) + len(after) :]
+    return f.select(*before, *[F.coalesce(F.regexp_extract(c, p.java, i), F.lit("")).alias(n) for i, n in enumerate(names, 1)], *after)

@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.functions.values import as_text, collapse, fold, number_text, parse_number, strip
+from millrace.functions.values import as_text, collapse, fold, named, number_text, parse_number, strip
 
 from .frame import Frame, unique_names
 from .reshape import _rank
@@ -88,14 +88,14 @@ def compare(f: Frame, ref: Frame, keys: Sequence[str], columns: Sequence[str] |
         condition = condition & F.col(f"__kl{i}").eqNullSafe(F.col(f"__kr{i}"))
     j = new.join(old, condition, "full" if removed else "left")
     was = lambda c: F.col(f"__old.o{ref.columns.index(c)}")
-    differs = {c: ~F.col(f"`{c}`").eqNullSafe(was(c)) for c in shared}
+    differs = {c: ~named(c).eqNullSafe(was(c)) for c in shared}
     short = lambda c, kind: (lambda t: F.when(F.char_length(t) > 30, F.concat(F.substring(t, 1, 29), F.lit("…"))).otherwise(t))(as_text(c, kind))
-    notes = [F.when(d, F.concat(F.lit(f"{c}: "), short(was(c), ref.kind(c)), F.lit(" → "), short(F.col(f"`{c}`"), f.kind(c)))) for c, d in differs.items()]
+    notes = [F.when(d, F.concat(F.lit(f"{c}: "), short(was(c), ref.kind(c)), F.lit(" → "), short(named(c), f.kind(c)))) for c, d in differs.items()]
     both = F.col("__new") & F.col("__old").isNotNull()
     any_change = F.exists(F.array(*differs.values()), lambda x: x) if differs else F.lit(False)
     diff = F.when(F.col("__new").isNull(), "removed").when(F.col("__old").isNull(), "added").when(any_change, "changed").otherwise("unchanged")
     changes = F.when(both, F.concat_ws("; ", *notes)).otherwise("")
-    made = {c: F.when(F.col("__new"), F.col(f"`{c}`")).otherwise(was(c) if c in ref.columns else F.lit(None)) for c in f.columns}
+    made = {c: F.when(F.col("__new"), named(c)).otherwise(was(c) if c in ref.columns else F.lit(None)) for c in f.columns}
     out = j.withColumns({"_diff": diff, "_changes": changes, "__gone": F.col("__new").isNull()} | {f"__m{i}": made[c] for i, c in enumerate(f.columns)})
     hidden = [c for c in f.hidden]
     shown = [F.col(f"__m{i}").alias(c) for i, c in enumerate(f.columns)]

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.functions.ordering import Term, terms, with_position
-from millrace.functions.values import is_blank
+from millrace.functions.values import is_blank, named, quoted
 
 
 def unique_names(names: Sequence[str]) -> list[str]:
@@ -51,7 +51,7 @@ class Frame:
         return self.df.schema[column].dataType
 
     def col(self, column: str) -> Column:
-        return self.df[f"`{column}`"]
+        return self.df[quoted(column)]
 
     def blank(self, column: str) -> Column:
         return is_blank(self.col(column), self.kind(column))
@@ -92,14 +92,14 @@ class Frame:
 
     def sorted(self) -> DataFrame:
         """The visible rows in order, for a sink or a page."""
-        return self.df.orderBy(*terms(self.order)).select(*[F.col(f"`{c}`") for c in self.columns])
+        return self.df.orderBy(*terms(self.order)).select(*[named(c) for c in self.columns])
 
     def positioned(self, name: str = "__pos") -> DataFrame:
         return with_position(self.df, self.order, name)
 
     def result(self) -> DataFrame:
         """The visible columns, in no order."""
-        return self.df.select(*[F.col(f"`{c}`") for c in self.columns])
+        return self.df.select(*[named(c) for c in self.columns])
 
     def page(self, start: int, count: int) -> DataFrame:
-        return self.df.orderBy(*terms(self.order)).offset(start).limit(count).select(*[F.col(f"`{c}`") for c in self.columns])
+        return self.df.orderBy(*terms(self.order)).offset(start).limit(count).select(*[named(c) for c in self.columns])

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions.ordering import rank
-from millrace.functions.values import SPACE, as_date, as_number, as_text, natural_key, non_blank, strip
+from millrace.functions.values import SPACE, as_date, as_number, as_text, named, natural_key, non_blank, quoted, strip
 
 from .frame import Frame, unique_names
 
@@ -41,7 +41,7 @@ def dedupe(f: Frame, on: Sequence[str] | str = "*", ignore_case: bool = False, k
         exprs = [f.col(c) for c in keys]
     # One grouping with partial aggregation, so a hot key is reduced before it is shuffled.
     pick = F.min_by if keep == "first" else F.max_by
-    row = pick(F.struct(*[f.df[f"`{c}`"] for c in f.df.columns]), rank(f.df, f.order))
+    row = pick(F.struct(*[f.df[quoted(c)] for c in f.df.columns]), rank(f.df, f.order))
     return f.with_df(f.df.groupBy(*[e.alias(f"__k{i}") for i, e in enumerate(exprs)]).agg(row.alias("__row")).select("__row.*"))
 
 
@@ -96,10 +96,10 @@ def split_to_rows(f: Frame, column: str, delimiter: str, trim: bool = True) -> F
     text = F.coalesce(f.col(column), F.lit(""))
     full = text.rlike(rf"^(?:{_quoted(delimiter)}|[{SPACE}])*+\z") if trim else text.rlike(rf"^(?:{_quoted(delimiter)})*+\z")
     pieces = F.split(F.when(full, F.lit("")).otherwise(text), _quoted(delimiter))
-    rows = f.df.withColumn("__none", full).select(*[F.col(f"`{c}`") for c in names if c != column], "__none", F.posexplode(pieces).alias(at, column))
-    cell = strip(F.col(f"`{column}`")) if trim else F.col(f"`{column}`")
-    out = rows.withColumn(column, cell).where((F.col(f"`{column}`") != "") | F.col("__none"))
-    return Frame(out.select(*[F.col(f"`{c}`") for c in names], at), (*f.order, at))
+    rows = f.df.withColumn("__none", full).select(*[named(c) for c in names if c != column], "__none", F.posexplode(pieces).alias(at, column))
+    cell = strip(named(column)) if trim else named(column)
+    out = rows.withColumn(column, cell).where((named(column) != "") | F.col("__none"))
+    return Frame(out.select(*[named(c) for c in names], at), (*f.order, at))
 
 
 def _quoted(literal: str) -> str:

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.functions.ordering import carried_down
-from millrace.functions.values import collapse, date_text, number_text, parse_date, parse_number, sentence_case, strip, title_case
+from millrace.functions.dialect import translated
+from millrace.functions.values import collapse, date_text, named, number_text, parse_date, parse_number, sentence_case, strip, title_case
 
 from .frame import Frame
 from .rows import _quoted
@@ -58,8 +59,9 @@ def replace_text(f: Frame, columns: Sequence[str] | str, find: str, new: str, re
         return f
     if not regex and not whole and match_case:
         return rewrite(f, columns, lambda c: F.replace(c, F.lit(find), F.lit(new)))
-    pattern = ("" if match_case else "(?iu)") + (find if regex else _quoted(find))
-    value = new if regex else new.replace("\\", "\\\\").replace("$", "\\$")
+    p = translated(find, "" if match_case else "i") if regex else None
+    pattern = p.java if p else ("" if match_case else "(?iu)") + _quoted(find)
+    value = p.replacement(new) if p else new.replace("\\", "\\\\").replace("$", "\\$")
     return rewrite(f, columns, lambda c: F.regexp_replace(c, rf"^(?:{pattern})\z" if whole else pattern, value))
 
 
@@ -89,7 +91,7 @@ def fill_down(f: Frame, *columns: str) -> Frame:
     """Blank cells take the last value above; leading blanks stay. Ranges of the order are filled side by side and joined by what they carry."""
     pinned = f.rewritten({c: f.col(c) for c in columns})
     values = {c: F.when(~pinned.blank(c), pinned.col(c)) for c in columns}
-    return pinned.with_df(carried_down(pinned.df, values, pinned.order).select(*[F.col(f"`{c}`") for c in pinned.df.columns]))
+    return pinned.with_df(carried_down(pinned.df, values, pinned.order).select(*[named(c) for c in pinned.df.columns]))
 
 
 def fill_blank(f: Frame, columns: Sequence[str] | str, value: str) -> Frame:
@@ -101,5 +103,5 @@ def override_cells(f: Frame, column: str, cells: DataFrame, key: str) -> Frame:
     """Single cells replaced by cells (key, value), joined on a key; a key that is not there changes nothing."""
     new = cells.select(F.col(key).alias("__id"), F.col("value").cast(f.kind(column)).alias("__new"), F.lit(True).alias("__hit"))
     joined = f.df.join(new, f.df[key] == new["__id"], "left")
-    value = F.when(F.col("__hit"), F.col("__new")).otherwise(F.col(f"`{column}`"))
-    return f.with_df(joined.withColumn(column, value).select(*[F.col(f"`{c}`") for c in f.df.columns]))
+    value = F.when(F.col("__hit"), F.col("__new")).otherwise(named(column))
+    return f.with_df(joined.withColumn(column, value).select(*[named(c) for c in f.df.columns]))

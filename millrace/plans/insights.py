@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.functions.values import ambiguous_date, as_date, as_number, as_text, is_blank, natural_key, number_locale, parse_date, parse_number, strip
+from millrace.functions.values import ambiguous_date, as_date, as_number, as_text, is_blank, named, natural_key, number_locale, parse_date, parse_number, strip
 from millrace.operators.frame import Frame
 
 
@@ -27,7 +27,7 @@ def inferred(f: Frame, sample: int = 400, share: float = 0.9) -> dict[str, tuple
     head = f.page(0, sample)
     aggs = []
     for i, c in enumerate(texts):
-        v = F.col(f"`{c}`")
+        v = named(c)
         full = ~is_blank(v)
         number = parse_number(v).isNotNull() | parse_number(v, "eu").isNotNull()
         aggs += [F.sum(full.cast("int")).alias(f"n{i}"), F.sum((full & number).cast("int")).alias(f"m{i}"), F.sum((full & ~number & parse_date(v).isNotNull()).cast("int")).alias(f"d{i}"), number_locale(v).alias(f"l{i}")]
@@ -44,7 +44,7 @@ def profile(f: Frame, columns: Sequence[str] | None = None) -> DataFrame:
     columns = list(columns or f.columns)
     rows = []
     for c in columns:
-        v, kind = F.col(f"`{c}`"), f.kind(c)
+        v, kind = named(c), f.kind(c)
         full, n = ~is_blank(v, kind), as_number(v, kind)
         text = as_text(v, kind)
         rows.append(
@@ -181,7 +181,7 @@ def contract(f: Frame, most: int = 20) -> dict[str, Shape]:
     """The shapes of all columns from one aggregation; value sets are kept up to `most` values."""
     aggs = [F.count(F.lit(1)).alias("n")]
     for i, c in enumerate(f.columns):
-        v, kind = F.col(f"`{c}`"), f.kind(c)
+        v, kind = named(c), f.kind(c)
         text, n = strip(as_text(v, kind)), as_number(v, kind)
         aggs += [F.sum(is_blank(v, kind).cast("long")).alias(f"e{i}"), F.approx_count_distinct(text).alias(f"d{i}"), F.min(n).alias(f"l{i}"), F.max(n).alias(f"h{i}"), F.count(n).alias(f"m{i}")]
     seen = f.df.agg(*aggs).first()
@@ -278,7 +278,7 @@ def changed_cells(before: DataFrame, after: DataFrame, key: str) -> DataFrame:
     """(column, n): how many cells a step changed, by the columns both have."""
     shared = [c for c in before.columns if c in after.columns and c != key and not c.startswith("__")]
     j = before.alias("a").join(after.alias("b"), key)
-    one = j.agg(*[F.sum((~F.col(f"a.`{c}`").eqNullSafe(F.col(f"b.`{c}`"))).cast("long")).alias(f"n{i}") for i, c in enumerate(shared)])
+    one = j.agg(*[F.sum((~named(c, "a").eqNullSafe(named(c, "b"))).cast("long")).alias(f"n{i}") for i, c in enumerate(shared)])
     return one.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"n{i}").alias("n")) for i, c in enumerate(shared)])).alias("x")).select("x.*")
 
 

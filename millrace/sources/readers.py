@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.functions.ordering import rank, running_sum
-from millrace.functions.values import strip
+from millrace.functions.values import named, strip
 from millrace.operators.frame import Frame, unique_names
 
 #: The columns of the common and combined access-log formats.
@@ -54,26 +54,34 @@ def json_document(spark: SparkSession, path: str) -> Frame:
     df = spark.read.json(path, multiLine=True, primitivesAsString=True)
     lists = [x.name for x in df.schema if isinstance(x.dataType, T.ArrayType) and isinstance(x.dataType.elementType, T.StructType)]
     if lists:
-        longest = df.agg(F.count(F.lit(1)).alias("rows"), *[F.max(F.size(f"`{c}`")).alias(f"n{i}") for i, c in enumerate(lists)]).first()
+        longest = df.agg(F.count(F.lit(1)).alias("rows"), *[F.max(F.size(named(c))).alias(f"n{i}") for i, c in enumerate(lists)]).first()
         sizes = {c: longest[f"n{i}"] or 0 for i, c in enumerate(lists)}
         best = max(lists, key=sizes.get)
         if longest["rows"] == 1 and sizes[best] >= 2:
-            df = df.select(F.explode(f"`{best}`").alias("r")).select("r.*")
+            df = df.select(F.explode(named(best)).alias("r")).select("r.*")
 
     def leaves(c: Column, kind: T.DataType, name: str) -> list[Column]:
         if isinstance(kind, T.StructType):
             return [x for k in kind for x in leaves(c.getField(k.name), k.dataType, f"{name}.{k.name}" if name else k.name)]
         return [F.coalesce(F.to_json(c) if isinstance(kind, T.ArrayType) else c.cast("string"), F.lit("")).alias(name)]
 
-    return Frame.of(df.select(*[x for k in df.schema for x in leaves(F.col(f"`{k.name}`"), k.dataType, k.name)]))
+    return Frame.of(df.select(*[x for k in df.schema for x in leaves(named(k.name), k.dataType, k.name)]))
 
 
 def prefixed_json(f: Frame, keys: Sequence[str]) -> Frame:
-    """A log prefix, in column prefix, before the JSON object that ends the line."""
-    body = F.regexp_extract("line", r"(\{.*\})\s*$", 1)
-    prefix = strip(F.regexp_extract("line", r"^([^{]*)\{.*\}\s*$", 1))
-    v = F.try_parse_json(body)
-    return f.select(prefix.alias("prefix"), *[F.coalesce(F.variant_get(v, f"$.{k}", "string"), F.lit("")).alias(k) for k in keys])
+    """A log prefix, in column prefix, before the JSON object that ends the line: the longest one that reads, whatever braces the prefix has. A line without one is kept in _unparsed."""
+    pieces = F.split("line", r"\{")
+    from_brace = lambda i: F.substring("line", F.length(F.array_join(F.slice(pieces, F.lit(1), i), "{")) + 1, F.length("line"))
+    first = from_brace(F.lit(1))
+    later = F.get(F.filter(F.transform(F.sequence(F.lit(2), F.greatest(F.size(pieces), F.lit(2))), from_brace), lambda t: F.try_parse_json(t).isNotNull()), F.lit(0))
+    body = F.when(F.size(pieces) > 1, F.when(F.try_parse_json(first).isNotNull(), first).when(F.size(pieces) > 2, later))
+    body = F.when(strip(body) != "", body)
+    out = f.with_df(f.df.withColumn("__body", body))
+    v = F.try_parse_json("__body")
+    prefix = strip(F.substring("line", F.lit(1), F.length("line") - F.length("__body")))
+    unparsed = F.when(F.col("__body").isNull(), F.coalesce("line", F.lit(""))).otherwise("")
+    shown = out.select(F.coalesce(prefix, F.lit("")).alias("prefix"), *[F.coalesce(F.variant_get(v, f"$.{k}", "string"), F.lit("")).alias(k) for k in keys], unparsed.alias("_unparsed"))
+    return Frame(shown.df.drop("__body"), shown.order)
 
 
 def access_log(f: Frame) -> Frame:

@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.functions.values import as_text, parse_number
+from millrace.functions.values import as_text, named, parse_number, quoted
 from millrace.operators.frame import Frame
 
 
 def texts(f: Frame) -> DataFrame:
     """All visible columns in canonical text, in order."""
-    return f.sorted().select(*[as_text(F.col(f"`{c}`"), f.kind(c)).alias(c) for c in f.columns])
+    return f.sorted().select(*[as_text(named(c), f.kind(c)).alias(c) for c in f.columns])
 
 
 def guarded(c: Column) -> Column:
@@ -32,7 +32,7 @@ def _headed(f: Frame, rows: DataFrame, *head: str) -> DataFrame:
 
 def csv_lines(f: Frame, delimiter: str = ",", guard: bool = False, header: bool = True) -> DataFrame:
     """The names and a line of text for each row, fields quoted only where they must be."""
-    cells = [quoted(guarded(F.col(f"`{c}`")) if guard else F.col(f"`{c}`"), delimiter) for c in f.columns]
+    cells = [quoted(guarded(named(c)) if guard else named(c), delimiter) for c in f.columns]
     rows = texts(f).select(F.concat_ws(delimiter, *cells).alias("value"))
     say = lambda c: '"' + c.replace('"', '""') + '"' if any(x in c for x in ('"', "\r", "\n", delimiter)) else c
     return _headed(f, rows, delimiter.join(map(say, f.columns))) if header else rows
@@ -41,7 +41,7 @@ def csv_lines(f: Frame, delimiter: str = ",", guard: bool = False, header: bool
 def write_csv(f: Frame, path: str, delimiter: str = ",", header: bool = True, guard: bool = False) -> None:
     """Part files in order. `header` writes the names as the first line of each."""
     out = texts(f)
-    out = out.select(*[guarded(F.col(f"`{c}`")).alias(c) for c in out.columns]) if guard else out
+    out = out.select(*[guarded(named(c)).alias(c) for c in out.columns]) if guard else out
     out.write.csv(path, sep=delimiter, header=header, quote='"', escape='"', emptyValue="")
 
 
@@ -55,13 +55,13 @@ def json_rows(f: Frame) -> DataFrame:
 
 def markdown_lines(f: Frame) -> DataFrame:
     """A Markdown table: the names, the rule, and a line for each row."""
-    cells = [F.regexp_replace(F.replace(F.col(f"`{c}`"), F.lit("|"), F.lit("\\|")), r"\r?\n", " ") for c in f.columns]
+    cells = [F.regexp_replace(F.replace(named(c), F.lit("|"), F.lit("\\|")), r"\r?\n", " ") for c in f.columns]
     rows = texts(f).select(F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |")).alias("value"))
     return _headed(f, rows, "| " + " | ".join(c.replace("|", "\\|") for c in f.columns) + " |", "|" + " --- |" * len(f.columns))
 
 
 def plain_lines(f: Frame) -> DataFrame:
-    return texts(f).select(F.concat_ws(" ", *[F.col(f"`{c}`") for c in f.columns]).alias("value"))
+    return texts(f).select(F.concat_ws(" ", *[named(c) for c in f.columns]).alias("value"))
 
 
 def write_lines(lines: DataFrame, path: str) -> None:
@@ -71,7 +71,7 @@ def write_lines(lines: DataFrame, path: str) -> None:
 def columns_json(f: Frame) -> DataFrame:
     """(column, values as a JSON array), a row for each column: the column-wise export. Each array holds a whole column, so it is for small results."""
     t = texts(f).withColumn("__at", F.monotonically_increasing_id())
-    cells = t.select("__at", F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").alias("v")) for c in f.columns])).alias("x"))
+    cells = t.select("__at", F.explode(F.array(*[F.struct(F.lit(c).alias("column"), named(c).alias("v")) for c in f.columns])).alias("x"))
     return cells.groupBy("x.column").agg(F.to_json(F.transform(F.array_sort(F.collect_list(F.struct("__at", "x.v"))), lambda y: y["v"])).alias("values"))
 
 
