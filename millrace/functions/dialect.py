@@ -23,8 +23,9 @@ _TOKEN = re.compile(
       | (?P<times>(?:[*+?]|\{\d+(?:,\d*)?\})\??) | (?P<sign>.)""",
     re.VERBOSE | re.DOTALL,
 )
-#: Escapes that mean the same in both; in a class b is a backspace.
+#: Escapes that mean the same in both; \A and \z, the ends of a text, are this library's addition. In a class b is a backspace.
 _SAME = "dDwWnrtf"
+_ENDS = "Az"
 
 
 @dataclass(frozen=True)
@@ -122,7 +123,7 @@ def translated(pattern: str, flags: str = "") -> Pattern:
             out.append(m["code"] or m["property"])
         elif m["escaped"]:
             e = m["escaped"]
-            out.append({"s": f"[{_SPACE}]", "S": f"[^{_SPACE}]", "b": f"(?:{_BOUND})", "B": f"(?!{_BOUND})", "v": r"\x0B", "0": r"\x00"}.get(e) or (f"\\{e}" if e in _SAME or not e.isalnum() else e))
+            out.append({"s": f"[{_SPACE}]", "S": f"[^{_SPACE}]", "b": f"(?:{_BOUND})", "B": f"(?!{_BOUND})", "v": r"\x0B", "0": r"\x00"}.get(e) or (f"\\{e}" if e in _SAME + _ENDS or not e.isalnum() else e))
         elif m["none"] or m["all"]:
             out.append("(?!)" if m["none"] else r"[\s\S]")
         else:

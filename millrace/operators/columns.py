@@ -10,6 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from millrace.functions.dialect import translated
+from millrace.functions.ordering import rank
 from millrace.functions.values import as_text, strip
 
 from .frame import Frame, unique_names
@@ -119,14 +120,42 @@ def _structured(f: Frame, column: str, cells: Sequence[Column], names: Sequence[
     return f.select(*before, *[c.alias(n) for c, n in zip(cells, names, strict=True)], *after)
 
 
-def structure_json(f: Frame, column: str, keys: Sequence[str], keep: bool = True, unparsed: bool = False) -> Frame:
-    """Fields of a JSON text as columns, blank where missing; `a.b` and `a[0]` reach inside. A text that is no JSON gives blanks, and stands in _unparsed if that is asked for."""
+def json_paths(f: Frame, column: str, most: int = 300) -> list[tuple[str, str]]:
+    """(name, path) of all scalar values in a column of JSON texts, `items[0].sku` say, in the order in which rows have them first.
+
+    A grouping a level of nesting, over what is nested that deep; only the paths, a bounded number of them, come to the driver. Texts that are no JSON have none.
+    """
+    texts = f.df.select(rank(f.df, f.order).alias("o"), F.try_parse_json(f.col(column)).alias("v"), f.col(column).alias("t"))
+    rows = texts.where("v is not null").select("o", "t", "v", F.lit("").alias("name"), F.lit("$").alias("path"), F.array().cast("array<int>").alias("at"))
+    found: dict[tuple[str, str], tuple] = {}
+    while True:
+        each = rows.withColumnRenamed("v", "whole").lateralJoin(rows.sparkSession.tvf.variant_explode(F.col("whole").outer()))
+        inside = F.schema_of_variant("value")
+        mark = F.when(F.col("key").contains("'"), '"').otherwise("'")
+        sign = F.concat(F.lit("["), mark, F.col("key"), mark, F.lit("]"))
+        place = F.concat(F.lit("["), F.col("pos").cast("string"), F.lit("]"))
+        name = F.when(F.col("key").isNull(), F.concat("name", place)).when(F.col("name") == "", F.col("key")).otherwise(F.concat("name", F.lit("."), "key"))
+        # A parsed object has its keys sorted; their order is the text's.
+        order = F.array_position(F.json_object_keys(F.call_function("get_json_object", "t", "path")), F.col("key")).cast("int")
+        each = each.select("o", "t", F.col("value").alias("v"), name.alias("name"), F.concat("path", F.coalesce(sign, place)).alias("path"), F.array_append("at", F.coalesce(F.nullif(order, F.lit(0)), F.col("pos"))).alias("at"), (inside.startswith("OBJECT<") | inside.startswith("ARRAY<")).alias("deep"))
+        seen = each.groupBy("name", "path").agg(F.min(F.when(~F.col("deep"), F.struct("o", "at"))).alias("leaf"), F.max("deep").alias("deep"), F.min(F.struct("o", "at")).alias("first"))
+        level = seen.orderBy("first").limit(most).collect()
+        found |= {(r["name"], r["path"]): r["leaf"] for r in level if r["leaf"] is not None}
+        if not any(r["deep"] for r in level):
+            break
+        rows = each.where("deep").drop("deep")
+    return [k for k, _ in sorted(found.items(), key=lambda x: x[1])][:most]
+
+
+def structure_json(f: Frame, column: str, keys: Sequence[str | tuple[str, str]] | None = None, keep: bool = True, unparsed: bool = False) -> Frame:
+    """Fields of a JSON text as columns, blank where missing; `a.b` and `a[0]` reach inside. Without keys, all paths that the column has. A text that is no JSON gives blanks, and stands in _unparsed if that is asked for."""
     text = F.coalesce(f.col(column), F.lit(""))
     parsed = F.try_parse_json(text)
-    made = [F.coalesce(F.variant_get(parsed, f"$.{k}", "string"), F.lit("")) for k in keys]
+    paths = [(k, f"$.{k}") if isinstance(k, str) else k for k in (json_paths(f, column) if keys is None else keys)]
+    made = [F.coalesce(F.variant_get(parsed, path, "string"), F.lit("")) for _, path in paths]
     if unparsed:
         made.append(F.when(parsed.isNull(), text).otherwise(""))
-    return _structured(f, column, made, [*keys, *["_unparsed"] * unparsed], keep)
+    return _structured(f, column, made, [*[k for k, _ in paths], *["_unparsed"] * unparsed], keep)
 
 
 def _pieces(f: Frame, column: str, pieces: Column, into: Sequence[str], width: int | None, keep: bool) -> Frame:
@@ -173,9 +202,16 @@ def match_columns(wanted: Sequence[str], have: Sequence[str]) -> dict[str, str]:
 
 
 def json_keys(f: Frame, column: str, most: int = 300) -> list[str]:
-    """The top-level keys of a JSON column by frequency, from one aggregation."""
-    keys = f.df.select(F.explode(F.json_object_keys(f.col(column))).alias("k")).groupBy("k").count()
-    return [r["k"] for r in keys.orderBy(F.desc("count"), "k").limit(most).collect()]
+    """The top-level keys of a JSON column in the order of the first row that has them, from one aggregation."""
+    keys = f.df.select(rank(f.df, f.order).alias("o"), F.posexplode(F.json_object_keys(f.col(column))).alias("p", "k"))
+    return [r["k"] for r in keys.groupBy("k").agg(F.min(F.struct("o", "p")).alias("o")).orderBy("o").limit(most).collect()]
+
+
+def pair_names(f: Frame, column: str, separator: str = "=", most: int = 300) -> list[str]:
+    """The keys of a column's key=value pairs in the order of the first row that has them, from one aggregation."""
+    pair = rf'(?:^|[\s;,|])([\w.\-]+)\s*{_quoted(separator)}\s*(?:"(?:[^"\\]|\\.)*"|[^\s;,|]*)'
+    keys = f.df.select(rank(f.df, f.order).alias("o"), F.posexplode(F.regexp_extract_all(F.coalesce(f.col(column), F.lit("")), F.lit(pair), F.lit(1))).alias("p", "k"))
+    return [r["k"] for r in keys.groupBy("k").agg(F.min(F.struct("o", "p")).alias("o")).orderBy("o").limit(most).collect()]
 
 
 def structure_pairs(f: Frame, column: str, keys: Sequence[str], separator: str = "=", keep: bool = True) -> Frame:

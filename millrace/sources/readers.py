@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from millrace.functions.ordering import rank, running_sum
 from millrace.functions.values import named, strip
+from millrace.operators.columns import json_paths
 from millrace.operators.frame import Frame, unique_names
 
 #: The columns of the common and combined access-log formats.
@@ -39,11 +40,15 @@ def delimited(spark: SparkSession, path: str, delimiter: str = ",", header: bool
     return Frame.of(df.fillna(""))
 
 
-def json_lines(f: Frame, keys: Sequence[str]) -> Frame:
-    """Fields of a JSON value a line; `a.b` and `a[0]` reach inside; bad lines are kept in _unparsed."""
+def json_lines(f: Frame, keys: Sequence[str] | None = None) -> Frame:
+    """Fields of a JSON value a line; `a.b` and `a[0]` reach inside; bad lines are kept in _unparsed. Without keys, all paths that the lines have."""
     v = F.try_parse_json("line")
     bad = F.when(v.isNull() & (strip(F.col("line")) != ""), F.col("line")).otherwise("")
-    return f.select(*[F.coalesce(F.variant_get(v, f"$.{k}", "string"), F.lit("")).alias(k) for k in keys], bad.alias("_unparsed"))
+    return f.select(*_fields(v, json_paths(f, "line") if keys is None else keys), bad.alias("_unparsed"))
+
+
+def _fields(v: Column, keys: Sequence[str | tuple[str, str]]) -> list[Column]:
+    return [F.coalesce(F.variant_get(v, path, "string"), F.lit("")).alias(k) for k, path in ((k, f"$.{k}") if isinstance(k, str) else k for k in keys)]
 
 
 def json_document(spark: SparkSession, path: str) -> Frame:
@@ -68,8 +73,8 @@ def json_document(spark: SparkSession, path: str) -> Frame:
     return Frame.of(df.select(*[x for k in df.schema for x in leaves(named(k.name), k.dataType, k.name)]))
 
 
-def prefixed_json(f: Frame, keys: Sequence[str]) -> Frame:
-    """A log prefix, in column prefix, before the JSON object that ends the line: the longest one that reads, whatever braces the prefix has. A line without one is kept in _unparsed."""
+def prefixed_json(f: Frame, keys: Sequence[str] | None = None, unparsed: bool = False) -> Frame:
+    """A log prefix, in column prefix, before the JSON object that ends the line: the longest one that reads, whatever braces the prefix has. A line without one is blank, and is kept in _unparsed if that is asked for. Without keys, all paths that the objects have."""
     pieces = F.split("line", r"\{")
     from_brace = lambda i: F.substring("line", F.length(F.array_join(F.slice(pieces, F.lit(1), i), "{")) + 1, F.length("line"))
     first = from_brace(F.lit(1))
@@ -79,8 +84,8 @@ def prefixed_json(f: Frame, keys: Sequence[str]) -> Frame:
     out = f.with_df(f.df.withColumn("__body", body))
     v = F.try_parse_json("__body")
     prefix = strip(F.substring("line", F.lit(1), F.length("line") - F.length("__body")))
-    unparsed = F.when(F.col("__body").isNull(), F.coalesce("line", F.lit(""))).otherwise("")
-    shown = out.select(F.coalesce(prefix, F.lit("")).alias("prefix"), *[F.coalesce(F.variant_get(v, f"$.{k}", "string"), F.lit("")).alias(k) for k in keys], unparsed.alias("_unparsed"))
+    bad = [F.when(F.col("__body").isNull(), F.coalesce("line", F.lit(""))).otherwise("").alias("_unparsed")] if unparsed else []
+    shown = out.select(F.coalesce(prefix, F.lit("")).alias("prefix"), *_fields(v, json_paths(out, "__body") if keys is None else keys), *bad)
     return Frame(shown.df.drop("__body"), shown.order)
 
 
@@ -90,8 +95,10 @@ def access_log(f: Frame) -> Frame:
     return f.select(*[F.regexp_extract("line", _ACCESS, i).alias(n) for i, n in enumerate(ACCESS, 1)], F.when(hit, "").otherwise(F.col("line")).alias("unparsed"))
 
 
-def logfmt(f: Frame, keys: Sequence[str]) -> Frame:
-    """key=value pairs as columns; what is left over is the message."""
+def logfmt(f: Frame, keys: Sequence[str] | None = None) -> Frame:
+    """key=value pairs as columns; what is left over is the message. Without keys, all that the lines have, in the order in which they come first."""
+    keys = pair_keys(f) if keys is None else keys
+
     def value(k: str) -> Column:
         raw = F.regexp_extract("line", rf'(?:^|\s)\Q{k}\E=("(?:[^"\\]|\\.)*"|\S*)', 1)
         return F.regexp_replace(F.regexp_replace(raw, r'^"|"$', ""), r"\\(.)", "$1").alias(k)
@@ -101,9 +108,9 @@ def logfmt(f: Frame, keys: Sequence[str]) -> Frame:
 
 
 def pair_keys(f: Frame, most: int = 300) -> list[str]:
-    """The keys of a logfmt text, the most frequent first."""
-    keys = f.df.select(F.explode(F.regexp_extract_all("line", F.lit(_PAIR), F.lit(1))).alias("k")).groupBy("k").count()
-    return [r["k"] for r in keys.orderBy(F.desc("count"), "k").limit(most).collect()]
+    """The keys of a logfmt text in the order of the first line that has them."""
+    keys = f.df.select(rank(f.df, f.order).alias("o"), F.posexplode(F.regexp_extract_all("line", F.lit(_PAIR), F.lit(1))).alias("p", "k"))
+    return [r["k"] for r in keys.groupBy("k").agg(F.min(F.struct("o", "p")).alias("o")).orderBy("o").limit(most).collect()]
 
 
 def _joined(f: Frame, starts: Column, joiner: str) -> Frame:
@@ -164,9 +171,9 @@ def fixed_width(f: Frame, cuts: Sequence[int], names: Sequence[str] = ()) -> Fra
     return f.select(*[strip(F.substring("line", a + 1, 1 << 30 if b is None else b - a)).alias(n) for a, b, n in zip(cuts, ends, names, strict=True)])
 
 
-def find_cuts(f: Frame, width: int = 500) -> list[int]:
+def find_cuts(f: Frame) -> list[int]:
     """Starts of fixed-width columns: positions after ones that are blank in 95 % of the lines that reach them, by one aggregation."""
-    chars = f.df.select(F.posexplode(F.split(F.substring("line", 1, width), "")).alias("p", "c")).where(F.col("c") != "")
+    chars = f.df.select(F.posexplode(F.split("line", "")).alias("p", "c")).where(F.col("c") != "")
     seen = chars.groupBy("p").agg((F.avg((F.col("c") == " ").cast("int")) >= 0.95).alias("gap")).orderBy("p").collect()
     gaps = {r["p"] for r in seen if r["gap"]}
     return [r["p"] for r in seen if r["p"] not in gaps and (r["p"] == 0 or r["p"] - 1 in gaps)]
