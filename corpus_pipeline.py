@@ -24,8 +24,11 @@ def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     model = langid.model_of(docs)
     if not model[0]:
         return docs.where(langid.lettered(F.col("text")))
-    found = docs.withColumn("__p", langid.identified(F.col("text"), model)).where(F.col("__p.score") >= langid.CHANCE)
-    return found.withColumn("lang", F.col("__p.lang_pred")).select(*[F.col(f"`{c}`") for c in docs.columns])
+    name = "__predicted"
+    while name in docs.columns:
+        name += "_"
+    found = docs.withColumn(name, langid.identified(F.col("text"), model)).where(F.col(name)["score"] >= langid.CHANCE)
+    return found.withColumn("lang", F.col(name)["lang_pred"]).select(*[F.col("`" + c.replace("`", "``") + "`") for c in docs.columns])
 
 
 def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

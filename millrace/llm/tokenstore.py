@@ -16,6 +16,7 @@ pre-tokenizer never join across blanks, a bounded cache of blank-separated piece
 from __future__ import annotations
 
 import struct
+import unicodedata
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -38,6 +39,11 @@ LEVEL = 1
 FILE_BYTES, CACHE = 256 << 20, 300_000
 
 
+def _letters(piece: str) -> bool:
+    """Letters only, before and after the normaliser: a letter that it takes apart ends in a mark, which joins a stop after it in one pre-token."""
+    return piece.isalpha() and (piece.isascii() or ((low := piece.lower()).isalpha() and unicodedata.is_normalized("NFC", low)))
+
+
 class Encoder:
     """Ids of texts as bytes. Pieces are kept in two generations of at most `size` entries each."""
 
@@ -81,7 +87,7 @@ class Encoder:
             self.new.update(known)
             missing.difference_update(known)
         if missing:
-            stops = {p: p[:-1] for p in missing if p[-1] in ".," and p[:-1].isalpha()}
+            stops = {p: p[:-1] for p in missing if p[-1] in ".," and _letters(p[:-1])}
             unseen = {c for c in [*(missing - stops.keys()), *stops.values(), ".", ","] if c not in self.new}
             self._learn(unseen)
             self.new.update({p: self.new[c] + self.new[p[-1]] for p, c in stops.items()})

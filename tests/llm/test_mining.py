@@ -191,3 +191,20 @@ def test_packed():
     for values in (np.array([], np.int64), r.integers(0, 1 << 45, 1000), np.array([0, 127, 128, 1 << 14, (1 << 35) - 1])):
         data, ends = postings.packed(values)
         assert len(ends) == len(values) and (postings.unpacked(data.tobytes()) == np.cumsum(values)).all()
+
+
+def test_token_ids_fuzz():
+    """Any mixture of letters, marks, stops, quotes and added tokens has the library's ids."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from millrace.llm import tokenstore
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    lib, mine, r = Tokenizer.from_file(path), tokenstore.Encoder(path), random.Random(12)
+    added = [str(t) for t in lib.get_added_tokens_decoder().values()] if hasattr(lib, "get_added_tokens_decoder") else []
+    added = [getattr(t, "content", t) for t in lib.get_added_tokens_decoder().values()] if added else []
+    signs = ["İ", "ı", "é", "é", "ñ", "ñ", "ß", "ﬁ", "Å", "Å", "ǅ", "x", "ab", "The", ".", ",", "'", '"', "’", "-", "3", "̇", "あ", "ア", "゙", "가", " ", " ", " ", "\n", "\t", " ", "!", *added]
+    texts = ["İ.", "xİ, y", "İİ.", "ȧ.", "é, é.", "ñ.", "é, x.", *["".join(r.choice(signs) for _ in range(r.randrange(1, 14))) for _ in range(6000)]]
+    for text in texts:
+        assert np.frombuffer(mine.encode(text), "<u4").tolist() == lib.encode(text, add_special_tokens=False).ids, text
