@@ -494,4 +494,4 @@ def _(t: Tables) -> DataFrame:
     return op.sort_rows(f, ("o_totalprice_sum", False)).positioned("pos").select("o_orderpriority", "count", F.round("o_totalprice_sum", 2).alias("o_totalprice_sum"), "pos")
 
 
-from millrace.plans import languages, roundtrips  # noqa: E402, F401 - add their queries
+from millrace.plans import languages, roundtrips, shapes  # noqa: E402, F401 - add their queries

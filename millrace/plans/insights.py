@@ -6,6 +6,7 @@ import itertools
 import os
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -69,6 +70,23 @@ def distinct_values(f: Frame, column: str, search: str = "", where: Column | Non
     return rows.where(wanted | (text == "") if blanks else wanted).groupBy(text.alias("value")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def facets(f: Frame, filters: dict[str, Column], columns: Sequence[str] = ()) -> DataFrame:
+    """(column, value, n): the distinct stripped values of columns, those of filters if none are given, each counted under the filters of the other columns.
+
+    filters has a condition a column, at most 62. Each row keeps a mask of the filters it fails; it counts for a column if it fails none, or that column's own only, so one scan and
+    one grouping serve all columns. A filter that is null fails. Blank cells aren't counted.
+    """
+    if len(filters) > 62:
+        raise ValueError("at most 62 filters")
+    wanted = list(columns) or list(filters)
+    bits = {c: 1 << i for i, c in enumerate(filters)}
+    failed = reduce(Column.__add__, [F.when(F.coalesce(cond, F.lit(False)), F.lit(0)).otherwise(F.lit(bits[c])).cast("long") for c, cond in filters.items()], F.lit(0).cast("long"))
+    cells = [F.struct(F.lit(c).alias("column"), strip(as_text(f.col(c), f.kind(c))).alias("value"), F.lit(bits.get(c, 0)).cast("long").alias("own")) for c in wanted]
+    rows = f.df.select(failed.alias("failed"), F.array(*cells).alias("cells")).where("failed = 0 or bit_count(failed) = 1")
+    each = rows.select(F.explode(F.filter("cells", lambda x: ((F.col("failed") == 0) | (F.col("failed") == x["own"])) & (x["value"] != ""))).alias("x"))
+    return each.groupBy("x.column", "x.value").agg(F.count(F.lit(1)).alias("n"))
+
+
 def top_values(f: Frame, column: str, n: int = 6) -> DataFrame:
     return distinct_values(f, column).orderBy(F.desc("n"), natural_key(F.col("value"))).limit(n)
 

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from millrace import operators as op
 from millrace.functions import formula_text, transforms
-from millrace.functions.predicates import row_text
+from millrace.functions.predicates import COMPARED, row_text
 from millrace.functions.search_text import Group, Not, Search, Term, condition, terms
 from millrace.operators.frame import Frame
 
@@ -612,9 +612,22 @@ def remapped(step: Step, names: Mapping[str, str]) -> Step:
     return replace(step, args=args)
 
 
-def run(f: Frame, recipe: Recipe | str, tables: Mapping[str, Frame] | None = None) -> pipeline.Outcome:
-    """The recipe over a frame; tables has those that joins and comparisons name."""
+#: Steps that run no job when they are built.
+_LAZY = {"dedupe", "drop_empty_rows", "remove_repeated_headers", "split_to_rows", "structure_fixed", "structure_pattern", "rename", "drop_columns", "select_columns", "duplicate_column", "reorder_columns", "merge_columns", "extract", "trim", "clean_text", "change_case", "replace_text", "normalize_dates", "convert", "fill_blank", "wide_to_long"}
+
+
+def _lazy(step: Step) -> bool:
+    """Comparisons of text columns look for the column's number format, so conditions with one aren't lazy."""
+    return step.op in _LAZY or (step.op == "filter_rows" and not any(t.op in (*COMPARED, "between", "formula") for t in terms(step.args["where"])))
+
+
+def steps_of(recipe: Recipe | str, tables: Mapping[str, Frame] | None = None) -> list[pipeline.Step]:
+    """The recipe's steps as functions, named by their places and lines."""
     recipe = parse(recipe) if isinstance(recipe, str) else recipe
     refs = tables or {}
-    steps = [pipeline.Step(f"{k}: {print_step(replace(s, muted=False))}", lambda g, s=s: STEPS[s.op].apply(g, s.args, refs), s.muted) for k, s in enumerate(recipe.steps, 1)]
-    return pipeline.run(f, steps)
+    return [pipeline.Step(f"{k}: {print_step(replace(s, muted=False))}", lambda g, s=s: STEPS[s.op].apply(g, s.args, refs), s.muted, _lazy(s)) for k, s in enumerate(recipe.steps, 1)]
+
+
+def run(f: Frame, recipe: Recipe | str, tables: Mapping[str, Frame] | None = None) -> pipeline.Outcome:
+    """The recipe over a frame; tables has those that joins and comparisons name."""
+    return pipeline.run(f, steps_of(recipe, tables))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+import re
+from collections.abc import Callable, Iterator, Sequence
+from functools import reduce
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -10,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.functions.ordering import rank, running_sum
+from millrace.functions.ordering import rank, running_sum, terms
 from millrace.functions.values import named, strip
 from millrace.operators.columns import json_paths
 from millrace.operators.frame import Frame, unique_names
@@ -33,8 +35,18 @@ def lines(spark: SparkSession, path: str, keep_blank: bool = True) -> Frame:
     return f if keep_blank else f.with_df(f.df.where(strip(F.col("line")) != ""))
 
 
-def delimited(spark: SparkSession, path: str, delimiter: str = ",", header: bool = True, breaks: bool = True) -> Frame:
-    """Quoted fields with doubled quotes, and line breaks in them if breaks is set; all columns text, blank for missing. Without breaks a large file is read by many tasks."""
+def delimited(spark: SparkSession, path: str, delimiter: str = ",", header: bool | None = True, breaks: bool = True) -> Frame:
+    """A header of None is looked for (headers.tidied). Quoted fields with doubled quotes, and line breaks in them if breaks is set; all columns text, blank for missing. Without breaks a large file is read by many tasks."""
+    if header is None:
+        from .headers import tidied
+
+        # Rows may be of any width: as wide as the most delimiters of a line allow, less the columns that no row has.
+        width = (spark.read.text(path).agg(F.max(F.size(F.split("value", "\\Q" + delimiter + "\\E")))).first()[0] or 0) + 1
+        wide = spark.read.schema(", ".join(f"c{i} string" for i in range(width))).csv(path, sep=delimiter, multiLine=breaks, quote='"', escape='"', ignoreLeadingWhiteSpace=False)
+        seen = wide.agg(*[F.count(c).alias(c) for c in wide.columns]).first()
+        last = max((i for i in range(width) if seen[i]), default=0)
+        names = unique_names([""] * (last + 1))
+        return tidied(Frame.of(wide.select(*[F.coalesce(f"c{i}", F.lit("")).alias(n) for i, n in enumerate(names)])))
     df = spark.read.csv(path, sep=delimiter, header=header, multiLine=breaks, quote='"', escape='"', ignoreLeadingWhiteSpace=False)
     df = df.toDF(*unique_names([c if header and not c.startswith("_c") else "" for c in df.columns]))
     return Frame.of(df.fillna(""))
@@ -188,17 +200,38 @@ def whitespace_runs(f: Frame, names: Sequence[str]) -> Frame:
     return _table(f, F.split(strip(F.col("line")), r"\t+| {2,}"), names)
 
 
-def markdown_table(f: Frame, names: Sequence[str]) -> Frame:
-    """Pipe-framed rows; the separator row goes and \\| is a pipe."""
-    body = f.with_df(f.df.where(F.col("line").contains("|") & ~F.col("line").rlike(r"^\s*\|?[\s:|-]+\|?\s*$")))
-    inner = F.regexp_replace(strip(F.col("line")), r"^\||(?<!\\)\|$", "")
-    return _table(body, F.transform(F.split(inner, r"(?<!\\)\|"), lambda x: strip(F.replace(x, F.lit("\\|"), F.lit("|")))), names)
+def _header_above(f: Frame, rule: str) -> tuple[str | None, Column]:
+    """The line that stands right above the first rule, if it is the first line of the table, and the test of that row. Reads the table's first lines only."""
+    some = f.df.where(F.col("line").contains("|") | F.col("line").rlike(rule)).orderBy(*terms(f.order)).limit(3).collect()
+    head = [r for r in some if not re.match(rule, r["line"])][:1]
+    if not head or some.index(head[0]) + 1 >= len(some) or not re.match(rule, some[some.index(head[0]) + 1]["line"]):
+        return None, F.lit(False)
+    keys = [t if isinstance(t, str) else t[0] for t in f.order]
+    return head[0]["line"], reduce(Column.__and__, [named(k).eqNullSafe(F.lit(head[0][k])) for k in keys])
+
+
+def _ruled(f: Frame, names: Sequence[str] | None, rule: str, cells: Callable[[Column], Column]) -> Frame:
+    """Rows of a table with rules. Without names, they come from the line above the first rule, which then is no row."""
+    body = f.with_df(f.df.where(F.col("line").contains("|") & ~F.col("line").rlike(rule)))
+    if names is not None:
+        return _table(body, cells(F.col("line")), names)
+    said, header = _header_above(f, rule)
+    one = f.df.sparkSession.sql("SELECT * FROM VALUES (1) AS t(x)")
+    if said is not None:
+        return _table(body.with_df(body.df.where(~header)), cells(F.col("line")), one.select(cells(F.lit(said))).first()[0])
+    width = body.df.agg(F.max(F.size(cells(F.col("line"))))).first()[0] or 0
+    return _table(body, cells(F.col("line")), [""] * width)
+
+
+def markdown_table(f: Frame, names: Sequence[str] | None = None) -> Frame:
+    """Pipe-framed rows; the separator row goes and \\| is a pipe. Without names, the line above the separator has them."""
+    inner = lambda line: F.regexp_replace(strip(line), r"^\||(?<!\\)\|$", "")
+    return _ruled(f, names, r"^\s*\|?[\s:|-]+\|?\s*$", lambda line: F.transform(F.split(inner(line), r"(?<!\\)\|"), lambda x: strip(F.replace(x, F.lit("\\|"), F.lit("|")))))
 
 
-def box_table(f: Frame, names: Sequence[str]) -> Frame:
-    """Tables as database shells print them, with or without a frame; rules and row counts go."""
-    body = f.with_df(f.df.where(F.col("line").contains("|") & ~F.col("line").rlike(r"^[\s+|-]*$")))
-    return _table(body, F.transform(F.split(F.regexp_replace(strip(F.col("line")), r"^\||\|$", ""), r"\|"), strip), names)
+def box_table(f: Frame, names: Sequence[str] | None = None) -> Frame:
+    """Tables as database shells print them, with or without a frame; rules and row counts go. Without names, the line above a rule has them."""
+    return _ruled(f, names, r"^[\s+|-]*$", lambda line: F.transform(F.split(F.regexp_replace(strip(line), r"^\||\|$", ""), r"\|"), strip))
 
 
 def list_items(f: Frame, split: bool = False) -> Frame:
