@@ -62,7 +62,9 @@ class Encoder:
 
     def _learn(self, pieces: set[str]) -> None:
         """Pieces of letters only are one pre-token each, whose last id ends a word, so many can go in one call."""
-        words = [p for p in pieces if p.isalpha()]
+        words, rest = [], []
+        for p in pieces:
+            (words if p.isalpha() else rest).append(p)
         if words:
             ids = np.array(self.lib.encode(" ".join(words), add_special_tokens=False).ids, "<u4")
             cut = np.flatnonzero(self.ends[ids]) + 1
@@ -71,7 +73,6 @@ class Encoder:
                 self.new.update(zip(words, [raw[a:b] for a, b in zip(at, at[1:], strict=False)], strict=True))
             else:
                 self.new.update(zip(words, self._ids(words), strict=True))
-        rest = [p for p in pieces if not p.isalpha()]
         self.new.update(zip(rest, self._ids(rest), strict=True))
 
     def encode_batch(self, texts: list[str | None]) -> list[bytes]:
@@ -81,10 +82,11 @@ class Encoder:
         missing: set[str] = set()
         for pieces in split:
             missing.update(pieces)
-        missing.difference_update(self.new)
-        if self.old:
-            known = {p: self.old[p] for p in missing if p in self.old}
-            self.new.update(known)
+        new, old = self.new, self.old
+        missing = {p for p in missing if p not in new}  # a set's own difference would walk the whole cache
+        if old:
+            known = {p: old[p] for p in missing if p in old}
+            new.update(known)
             missing.difference_update(known)
         if missing:
             stops = {p: p[:-1] for p in missing if p[-1] in ".," and _letters(p[:-1])}
