@@ -1,28 +1,39 @@
-"""Merkle fixity audit of WARC files, in DataFrame functions only.
+"""Merkle fixity audit of WARC files: written, read back record by record, and compared replica with replica.
 
-A record's leaf is the SHA-256 of its bytes. Inner nodes are ordered offset ranges of a file: the lowest cover
+Files are written by Spark's text writer and cut into records again from their bytes; trees and audit are DataFrame functions. A record's leaf is the SHA-256 of its bytes. Inner nodes are ordered offset ranges of a file: the lowest cover
 RANGE bytes each, every level above FANOUT ranges of the one below, and the root the whole file. A node's hash
 covers the positions and hashes of its children, so moved, missing and extra records show. Ranges go by offset,
 not by counting records, so each level is a plain grouping by (file, range) with bounded groups. Two replicas
-are compared at their roots first; each level below is joined only under ranges that mismatched.
+are compared at their roots first; each level below is joined only under ranges that mismatched. The defaults suit
+files of some 200 KB; for larger ones give audit more levels.
 """
 
 from __future__ import annotations
 
+import gzip
+import hashlib
+import re
+import zlib
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import stage, table
+from .common import new_path, small_batches, stage, table
 
-RANGE, FANOUT, LEVELS = 1 << 16, 16, 4
-#: Pages whose ids share id div PER_FILE go to one file.
-PER_FILE = 64
+RANGE, FANOUT, LEVELS = 1 << 13, 4, 3
+#: Pages whose ids share id div PER_FILE go to one file, and on to further ones past FILE_BYTES.
+PER_FILE, FILE_BYTES = 64, 1 << 26
+#: Fixed values of the format: what starts a record, and what ends its header and its block.
+_MARK, _END = b"WARC/1.1\r\n", b"\r\n\r\n"
+_LENGTH, _ID = re.compile(rb"\r\nContent-Length: (\d{1,15})\r\n"), re.compile(rb"\r\nWARC-Record-ID: <urn:page:(-?\d{1,19})>\r\n")
 
 
 def warc_record(pages: DataFrame) -> Column:
-    """A page as a WARC/1.1 response record; null urls and pages count as empty."""
+    """A page as a WARC/1.1 response record; null urls and pages count as empty, line ends in urls are percent-encoded."""
     text = lambda c: F.coalesce(pages[c], F.lit(""))
-    head = F.concat(F.lit("WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:"), F.coalesce(pages["page_id"].cast("string"), F.lit("")), F.lit(">\r\nWARC-Target-URI: "), text("url"))
+    head = F.concat(F.lit("WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:"), F.coalesce(pages["page_id"].cast("string"), F.lit("")), F.lit(">\r\nWARC-Target-URI: "), F.replace(F.replace(text("url"), F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A")))
     return F.concat(head, F.lit("\r\nContent-Length: "), F.octet_length(text("html")).cast("string"), F.lit("\r\n\r\n"), text("html"), F.lit("\r\n\r\n"))
 
 
@@ -33,11 +44,66 @@ def leaf_hash(record: Column) -> Column:
 def laid_out(rows: DataFrame) -> DataFrame:
     """rows (page_id, length, hash, …) with file and offset: records one after another in files of up to PER_FILE ids, by page_id and hash.
 
-    Rows without an id are spread over files by their hash. Only lengths and hashes are shuffled here, not the records.
+    Rows without an id are spread over files by their hash. A file ends with the record that reaches FILE_BYTES; the next one has a number behind its name.
     """
-    file = F.concat(F.lit("pages-"), F.coalesce(F.expr(f"page_id div {PER_FILE}").cast("string"), F.concat(F.lit("none-"), F.substring("hash", 1, 2))))
+    base = F.concat(F.lit("pages-"), F.coalesce(F.expr(f"page_id div {PER_FILE}").cast("string"), F.concat(F.lit("none-"), F.substring("hash", 1, 2))))
     order = Window.partitionBy("file").orderBy("page_id", "hash").rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn("file", file).withColumn("offset", F.sum("length").over(order) - F.col("length"))
+    placed = rows.withColumn("file", base).withColumn("offset", F.sum("length").over(order) - F.col("length")).withColumn("__part", F.expr(f"offset div {FILE_BYTES}"))
+    placed = placed.withColumn("offset", F.col("offset") - F.min("offset").over(Window.partitionBy("file", "__part")))
+    return placed.withColumn("file", F.when(F.col("__part") > 0, F.concat_ws("-", "file", "__part")).otherwise(F.col("file"))).drop("__part")
+
+
+def write_warc(rows: DataFrame, path: str) -> None:
+    """Gzipped WARC files path/replica=…/file=…/ of rows (replica, file, offset, record), record being text without the two line ends that close it.
+
+    A file is written by one task, records by offset. Rows are brought together by file, unless laid_out has just done so.
+    """
+    rows.sortWithinPartitions("replica", "file", "offset").select("replica", "file", F.col("record").alias("value")).write.partitionBy("replica", "file").text(path, compression="gzip", lineSep=_END.decode())
+
+
+def records(data: bytes) -> Iterator[tuple[int, bytes]]:
+    """(offset, bytes) of the whole records of a file. One whose length doesn't lead to its end is skipped, up to the next that does."""
+    at = 0
+    while (at := data.find(_MARK, at)) >= 0:
+        head = data.find(_END, at)
+        size = _LENGTH.search(data, at, head + 2) if head >= 0 else None
+        end = head + int(size[1]) + 8 if size else 0
+        if end and data[end - 4 : end] == _END:
+            yield at, data[at:end]
+            at = end
+        else:
+            at += len(_MARK)
+
+
+def read_warc(spark: SparkSession, path: str) -> DataFrame:
+    """(file, offset, length, page_id, hash) of the records in the files of one replica, each hash made of the bytes read. Of a gzip stream that breaks off, what comes before is read; no files give no rows."""
+    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for file, content in zip(batch["file"], batch["content"], strict=True):
+                try:
+                    data = gzip.decompress(content)
+                except (OSError, EOFError, zlib.error):
+                    data = _readable(content)
+                rows = []
+                for at, record in records(data):
+                    page = _ID.search(record, 0, record.index(_END) + 2)
+                    rows.append((file, at, len(record), int(page[1]) if page else None, hashlib.sha256(record).hexdigest()))
+                yield pd.DataFrame(rows, columns=["file", "offset", "length", "page_id", "hash"]).astype({"page_id": "Int64"})
+
+    small_batches(spark)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.gz").load(path)
+    return files.select(F.regexp_extract("path", "/file=([^/]+)/", 1).alias("file"), "content").mapInPandas(parse, "file string, offset long, length long, page_id long, hash string")
+
+
+def _readable(content: bytes) -> bytes:
+    """What can be read of a damaged gzip stream."""
+    out, stream = bytearray(), zlib.decompressobj(31)
+    for k in range(0, len(content), 1 << 12):
+        try:
+            out += stream.decompress(content[k : k + (1 << 12)])
+        except zlib.error:
+            break
+    return bytes(out)
 
 
 def archive(pages: DataFrame) -> DataFrame:
@@ -102,17 +168,19 @@ def audit(primary: DataFrame, replica: DataFrame, levels: int = LEVELS) -> DataF
 
 
 def op1_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The table holds one replica, so the other is the same archive with known damage, which SQL works out too.
+    """Two replicas of the table as WARC files are written, read and compared. One has known damage, which SQL works out too.
 
-    Records of ids 7 past a multiple of 101 have another last byte, and those 9 past a multiple of 103 are gone; a file of 64 ids has no, one or two of them.
+    Records of ids 7 past a multiple of 401 have a wrong letter in their header, and those 150 past a multiple of 403 are zeros.
     """
+    body = F.col("r").substr(F.lit(1), F.length("r") - 4)
     pages = table(spark, sf_dir, "pages")
-    record = warc_record(pages)
-    cut = leaf_hash(F.expr("concat(substring(r, 1, length(r) - 1), '?')"))
-    rows = pages.select("page_id", record.alias("r")).select("page_id", F.octet_length("r").cast("long").alias("length"), leaf_hash(F.col("r")).alias("hash"), F.when(F.col("page_id") % 101 == 7, cut).alias("cut"))
-    both = stage(laid_out(rows), "archive")
-    gone = F.coalesce(F.col("page_id") % 103 == 9, F.lit(False))
-    return audit(both.drop("cut"), both.where(~gone).withColumn("hash", F.coalesce("cut", "hash")).drop("cut"))
+    rows = pages.select("page_id", warc_record(pages).alias("r")).select("page_id", F.octet_length("r").cast("long").alias("length"), leaf_hash(F.col("r")).alias("hash"), body.alias("record"))
+    wrong = F.concat(F.lit("WARC/1.1\r\nWARC-Type: respons?"), F.col("record").substr(F.lit(30), F.length("record")))
+    hurt = F.when(F.col("page_id") % 401 == 7, wrong).when(F.col("page_id") % 403 == 150, F.expr("repeat('\\0', cast(length - 4 as int))")).otherwise(F.col("record"))
+    both = laid_out(rows).select("file", "offset", F.inline(F.array(F.struct(F.lit("a").alias("replica"), F.col("record").alias("record")), F.struct(F.lit("b").alias("replica"), hurt.alias("record")))))
+    path = new_path(spark, "warc")
+    write_warc(both, path)
+    return audit(read_warc(spark, f"{path}/replica=a"), read_warc(spark, f"{path}/replica=b"))
 
 
 def _sql() -> str:
@@ -134,14 +202,15 @@ def _sql() -> str:
         )
     crlf = "chr(13) || chr(10)"
     record = (
-        f"'WARC/1.1' || {crlf} || 'WARC-Type: response' || {crlf} || 'WARC-Record-ID: <urn:page:' || coalesce(page_id::VARCHAR, '') || '>' || {crlf} || 'WARC-Target-URI: ' || coalesce(url, '') "
+        f"'WARC/1.1' || {crlf} || 'WARC-Type: response' || {crlf} || 'WARC-Record-ID: <urn:page:' || coalesce(page_id::VARCHAR, '') || '>' || {crlf} || 'WARC-Target-URI: ' || replace(replace(coalesce(url, ''), chr(13), '%0D'), chr(10), '%0A') "
         f"|| {crlf} || 'Content-Length: ' || strlen(coalesce(html, '')) || {crlf} || {crlf} || coalesce(html, '') || {crlf} || {crlf}"
     )
     return (
         f"WITH r AS (SELECT page_id, 'pages-' || coalesce((page_id // {PER_FILE})::VARCHAR, 'none-' || left(sha256({record}), 2)) AS file, {record} AS record FROM pages), "
-        "o AS (SELECT *, (sum(strlen(record)) OVER (PARTITION BY file ORDER BY page_id NULLS FIRST, sha256(record) ROWS UNBOUNDED PRECEDING) - strlen(record))::BIGINT AS start FROM r), "
+        "p AS (SELECT *, (sum(strlen(record)) OVER (PARTITION BY file ORDER BY page_id NULLS FIRST, sha256(record) ROWS UNBOUNDED PRECEDING) - strlen(record))::BIGINT AS spot FROM r), "
+        f"o AS (SELECT page_id, record, file || CASE WHEN spot >= {FILE_BYTES} THEN '-' || (spot // {FILE_BYTES}) ELSE '' END AS file, spot - min(spot) OVER (PARTITION BY file, spot // {FILE_BYTES}) AS start FROM p), "
         "a AS (SELECT file, start, page_id, sha256(record) AS h FROM o), "
-        f"b AS (SELECT file, start, page_id, sha256(CASE WHEN page_id % 101 = 7 THEN left(record, length(record) - 1) || '?' ELSE record END) AS h FROM o WHERE NOT coalesce(page_id % 103 = 9, false)), "
+        "b AS (SELECT file, start, page_id, sha256(CASE WHEN page_id % 401 = 7 THEN replace(left(record, 29), 'response', 'respons?') || substr(record, 30) ELSE record END) AS h FROM o WHERE NOT coalesce(page_id % 403 = 150, false)), "
         + ", ".join(steps)
         + " "
         + " UNION ALL ".join(f"SELECT * FROM f{k}" for k in range(LEVELS + 2))

@@ -1,7 +1,8 @@
-"""Hard negatives, the positional index and clustering with bounds against brute force, on tables with nulls, ties, repeats and clashing columns."""
+"""WARC files, hard negatives, the positional index and clustering with bounds against brute force, on tables with nulls, ties, repeats and clashing columns."""
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 import math
 import random
@@ -11,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.llm import drake, negatives, postings
+from millrace.llm import drake, merkle, negatives, postings
 
 VECTORS = "vec_id long, embedding array<float>, label int, block long, id long, x string, cluster int"
 
@@ -208,3 +209,41 @@ def test_token_ids_fuzz():
     texts = ["İ.", "xİ, y", "İİ.", "ȧ.", "é, é.", "ñ.", "é, x.", *["".join(r.choice(signs) for _ in range(r.randrange(1, 14))) for _ in range(6000)]]
     for text in texts:
         assert np.frombuffer(mine.encode(text), "<u4").tolist() == lib.encode(text, add_special_tokens=False).ids, text
+
+
+def test_warc_files(spark, tmp_path):
+    """Files written, hurt in their bytes, and read: whole records only, and the damage is found where it is."""
+    rows = [(i, f"http://x/{i}\r\n\r\nContent-Length: 3", "é" * (i % 50) + ("WARC/1.1\r\nx\r\n\r\n" if i % 9 == 0 else "")) for i in range(200)] + [(None, None, None), (3, None, ""), (3, None, "")]
+    pages = spark.createDataFrame([(*r, "x", "y") for r in rows], "page_id long, url string, html string, file string, offset string")
+    made = merkle.laid_out(pages.select("page_id", merkle.warc_record(pages).alias("r")).selectExpr("page_id", "cast(octet_length(r) as long) AS length", "sha2(r, 256) AS hash", "substr(r, 1, length(r) - 4) AS record"))
+    merkle.write_warc(made.withColumn("replica", F.lit("a")), str(tmp_path / "w"))
+    first = merkle.read_warc(spark, str(tmp_path / "w" / "replica=a"))
+    key = lambda df: sorted(map(tuple, df.select("file", "offset", "length", "page_id", "hash").collect()), key=str)
+    assert key(first) == key(merkle.archive(pages)) and first.count() == 203
+    (one,) = (tmp_path / "w" / "replica=a" / "file=pages-1").glob("*.gz")
+    data = bytearray(gzip.decompress(one.read_bytes()))
+    found = list(merkle.records(bytes(data)))
+    assert b"".join(r for _, r in found) == data and len(found) == 64
+    other = tmp_path / "b" / "file=pages-1"
+    other.mkdir(parents=True)
+    data[found[5][0] + 12] ^= 1  # a letter of a header
+    data[found[20][0] : found[21][0]] = bytes(found[21][0] - found[20][0])  # a hole
+    data[found[40][0] + len(found[40][1]) - 1] = 0  # a record without its end
+    (other / "x.gz").write_bytes(gzip.compress(bytes(data)))
+    seen = merkle.audit(first.where("file = 'pages-1'"), merkle.read_warc(spark, str(tmp_path / "b"))).collect()
+    assert {(x["page_id"], x["status"]) for x in seen if x["level"] == 0 and x["status"] != "same"} == {(69, "changed"), (84, "missing"), (104, "missing")}
+    (other / "x.gz").write_bytes(one.read_bytes()[: one.stat().st_size * 2 // 3])
+    short = merkle.read_warc(spark, str(tmp_path / "b")).collect()
+    assert 0 < len(short) < 64 and {tuple(x) for x in short} <= {tuple(x) for x in first.collect()}
+
+
+def test_warc_long_files(spark, monkeypatch):
+    monkeypatch.setattr(merkle, "FILE_BYTES", 1000)
+    pages = spark.createDataFrame([(k, "u", "h" * 300) for k in range(20)] + [(None, "u", "h" * 5000)] * 3, "page_id long, url string, html string")
+    got = merkle.archive(pages).groupBy("file").agg(F.min("offset").alias("lo"), F.max(F.col("offset")).alias("hi"), F.count("*").alias("n")).collect()
+    assert all(x["lo"] == 0 and x["hi"] < 1000 for x in got) and sum(x["n"] for x in got) == 23 and len(got) > 8
+
+
+def test_warc_empty(spark, tmp_path):
+    (tmp_path / "none").mkdir()
+    assert merkle.read_warc(spark, str(tmp_path / "none")).count() == 0
