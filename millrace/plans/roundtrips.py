@@ -12,7 +12,7 @@ from millrace.functions.staging import new_path
 from millrace.operators import Frame
 from millrace.plans import insights, pipeline
 from millrace.plans.catalog import Tables, query
-from millrace.sources import readers, sinks
+from millrace.sources import quoted, readers, sinks
 
 
 def lined(f: Frame, *lines: Column) -> Frame:
@@ -144,6 +144,30 @@ def _(t: Tables) -> DataFrame:
     return readers.delimited(f.df.sparkSession, path).result()
 
 
+@query("read_delimited_ranges", "SELECT doc_id::VARCHAR AS doc_id, regexp_replace(coalesce(text, ''), '\\r\\n?', chr(10), 'g') AS text, coalesce(source, '') AS source FROM documents")
+def _(t: Tables) -> DataFrame:
+    """Whole documents as CSV again, each file read by as many tasks as it has ranges, although texts have line breaks."""
+    f = op.select_columns(t("documents"), "doc_id", "text", "source")
+    path = new_path(f.df.sparkSession, "csv")
+    sinks.write_csv(f, path)
+    return quoted.delimited_ranges(f.df.sparkSession, path)[0].result()
+
+
+@query(
+    "read_unclosed_quotes",
+    "SELECT o_orderkey::VARCHAR AS o_orderkey, CASE WHEN (o_orderkey // 100) % 2 = 0 THEN '\"' || o_orderpriority || '\"' ELSE o_orderpriority END AS prio FROM orders "
+    "UNION ALL SELECT DISTINCT '-' || (o_orderkey // 100), '\"never' FROM orders WHERE (o_orderkey // 100) % 2 = 0",
+)
+def _(t: Tables) -> DataFrame:
+    """A file for each hundred orders, every other one with a quote at its end that never closes: those keep their quotes as text, and all their rows."""
+    f = t("orders")
+    rows = f.df.select(F.expr("o_orderkey div 100").alias("bucket"), F.lit(0).alias("last"), "o_orderkey", F.concat(text("o_orderkey"), say(',"'), F.col("o_orderpriority"), say('"')).alias("value"))
+    ends = rows.where("bucket % 2 = 0").select("bucket", F.lit(1).alias("last"), F.lit(0).cast("long").alias("o_orderkey"), F.concat(say("-"), F.col("bucket").cast("string"), say(',"never')).alias("value")).distinct()
+    path = new_path(f.df.sparkSession, "unclosed")
+    rows.unionByName(ends).repartition("bucket").sortWithinPartitions("bucket", "last", "o_orderkey").select("bucket", "value").write.partitionBy("bucket").text(path)
+    return quoted.delimited_ranges(f.df.sparkSession, path, header=False)[0].df.selectExpr("column_1 AS o_orderkey", "column_2 AS prio")
+
+
 @query(
     "html_tables_planted",
     'WITH c(row, col, header, k) AS (VALUES (0, 0, true, 0), (0, 1, true, 1), (1, 0, false, 2), (1, 1, false, 3), (2, 0, false, 4), (2, 1, false, 5)) '
