@@ -10,6 +10,7 @@ from millrace.functions import formulas as fx
 from millrace.functions import predicates as pr
 from millrace.functions.staging import new_path
 from millrace.operators import Frame
+from millrace.operators.order_index import OrderIndex
 from millrace.plans import insights, pipeline
 from millrace.plans.catalog import Tables, query
 from millrace.sources import quoted, readers, sinks
@@ -471,6 +472,29 @@ def _(t: Tables) -> DataFrame:
     return op.sort_rows(op.select_columns(t("customer"), "c_custkey", "c_name", "c_acctbal"), ("c_acctbal", False)).page(40, 20).select("c_custkey", "c_name")
 
 
+_PLACES = "WITH o AS (SELECT o_orderkey, o_orderpriority, o_totalprice, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) - 1 AS pos FROM orders)"
+
+
+@query("index_page", f"{_PLACES} SELECT o_orderkey, o_totalprice FROM o WHERE pos BETWEEN (SELECT count(*) // 2 FROM orders) AND (SELECT count(*) // 2 + 24 FROM orders)")
+def _(t: Tables) -> DataFrame:
+    """A page from the middle of the orders by falling price, out of the index of their order."""
+    index = OrderIndex.of(Frame(t("orders").df.select("o_orderkey", "o_totalprice"), (("o_totalprice", False), "o_orderkey")))
+    return index.page(len(index) // 2, 25)
+
+
+@query(
+    "index_find",
+    f"{_PLACES}, h AS (SELECT pos FROM o WHERE o_orderpriority = '1-URGENT'), a AS (SELECT unnest([-1, 10, 100, (SELECT count(*) - 1 FROM orders)]) AS after) "
+    "SELECT after, coalesce((SELECT min(pos) FROM h WHERE pos > after), (SELECT min(pos) FROM h)) AS next, coalesce((SELECT max(pos) FROM h WHERE pos < after), (SELECT max(pos) FROM h)) AS previous FROM a",
+)
+def _(t: Tables) -> DataFrame:
+    """The places of the next urgent order and of the one before, from several places on, around the table's ends."""
+    index = OrderIndex.of(Frame(t("orders").df.select("o_orderkey", "o_orderpriority", "o_totalprice"), (("o_totalprice", False), "o_orderkey")))
+    hit = F.col("o_orderpriority") == "1-URGENT"
+    rows = [(k, index.find(hit, k), index.find(hit, k, back=True)) for k in (-1, 10, 100, len(index) - 1)]
+    return t("orders").df.sparkSession.createDataFrame(rows, "after long, next long, previous long")
+
+
 @query("case_variants", "SELECT lower(n_name) AS folded, 2::BIGINT AS variants, 2::BIGINT AS n FROM nation")
 def _(t: Tables) -> DataFrame:
     f = op.split_to_rows(cells(t("nation"), "v", F.concat(F.col("n_name"), say(";"), F.lower("n_name"))), "v", ";")
