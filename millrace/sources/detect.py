@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from millrace.functions.ordering import terms
 from millrace.functions.values import strip
 from millrace.operators.frame import Frame
 
@@ -29,7 +30,7 @@ def shares(f: Frame) -> dict[str, float]:
         "list": line.rlike(r"^\s*(?:[-*•–]|\d+[.)])\s+\S"),
         "whitespace-runs": line.rlike(r"\S(?:\t+| {2,})\S"),
     }
-    head = f.df.orderBy(*[F.col(t if isinstance(t, str) else t[0]) for t in f.order]).limit(HEAD).where(strip(line) != "")
+    head = f.df.orderBy(*terms(f.order)).limit(HEAD).where(strip(line) != "")
     counts = {d: F.size(F.split(F.regexp_replace(line, r'"[^"]*"', ""), "\\Q" + d + "\\E")) for d in (",", "\t", ";", "|")}
     seen = head.agg(
         F.count(F.lit(1)).alias("n"), *[F.sum(F.coalesce(x, F.lit(False)).cast("int")).alias(f"s{i}") for i, x in enumerate(shapes.values())],

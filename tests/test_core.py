@@ -285,6 +285,12 @@ def test_detection(spark, text, want):
     assert detect.ranked(lines(spark, text))[0][0] == want
 
 
+def test_detection_of_a_falling_order(spark, monkeypatch):
+    monkeypatch.setattr(detect, "HEAD", 2)
+    f = Frame(spark.createDataFrame([(1, "plain"), (2, "words"), (3, '{"a":1}'), (4, '{"a":2}')], "n int, line string"), (("n", False),))
+    assert detect.ranked(f)[0][0] == "ndjson"
+
+
 def test_text_formats(spark):
     """Digits that are always shown, optional ones, literals, and date parts by their length."""
     table = [
