@@ -30,8 +30,15 @@ _LEVEL = r"\[?((?i:DEBUG|INFO|WARNING|WARN|ERROR|ERR|FATAL|TRACE|NOTICE|CRITICAL
 _PAIR = r'([\w.\-]+)=("(?:[^"\\]|\\.)*"|\S*)'
 
 
+def _as_read(df: DataFrame, *shown: Column) -> Frame:
+    """Rows of files in the order of the files' names and of the places in them: tasks take pieces of files by size, so their own order is another one."""
+    at = df.metadataColumn("_metadata")
+    placed = df.select(*shown, at["file_path"].alias("__file"), at["file_block_start"].alias("__block"), F.monotonically_increasing_id().alias("__rid"))
+    return Frame(placed, ("__file", "__block", "__rid"))
+
+
 def lines(spark: SparkSession, path: str, keep_blank: bool = True) -> Frame:
-    f = Frame.of(spark.read.text(path).select(F.regexp_replace("value", "^﻿|\r$", "").alias("line")))
+    f = _as_read(spark.read.text(path), F.regexp_replace("value", "^﻿|\r$", "").alias("line"))
     return f if keep_blank else f.with_df(f.df.where(strip(F.col("line")) != ""))
 
 
@@ -46,10 +53,10 @@ def delimited(spark: SparkSession, path: str, delimiter: str = ",", header: bool
         seen = wide.agg(*[F.count(c).alias(c) for c in wide.columns]).first()
         last = max((i for i in range(width) if seen[i]), default=0)
         names = unique_names([""] * (last + 1))
-        return tidied(Frame.of(wide.select(*[F.coalesce(f"c{i}", F.lit("")).alias(n) for i, n in enumerate(names)])))
+        return tidied(_as_read(wide, *[F.coalesce(f"c{i}", F.lit("")).alias(n) for i, n in enumerate(names)]))
     df = spark.read.csv(path, sep=delimiter, header=header, multiLine=breaks, quote='"', escape='"', ignoreLeadingWhiteSpace=False)
-    df = df.toDF(*unique_names([c if header and not c.startswith("_c") else "" for c in df.columns]))
-    return Frame.of(df.fillna(""))
+    names = unique_names([c if header and not c.startswith("_c") else "" for c in df.columns])
+    return _as_read(df, *[F.coalesce(named(c), F.lit("")).alias(n) for c, n in zip(df.columns, names, strict=True)])
 
 
 def json_lines(f: Frame, keys: Sequence[str] | None = None) -> Frame:
@@ -70,19 +77,21 @@ def json_document(spark: SparkSession, path: str) -> Frame:
     """
     df = spark.read.json(path, multiLine=True, primitivesAsString=True)
     lists = [x.name for x in df.schema if isinstance(x.dataType, T.ArrayType) and isinstance(x.dataType.elementType, T.StructType)]
+    one = False
     if lists:
         longest = df.agg(F.count(F.lit(1)).alias("rows"), *[F.max(F.size(named(c))).alias(f"n{i}") for i, c in enumerate(lists)]).first()
         sizes = {c: longest[f"n{i}"] or 0 for i, c in enumerate(lists)}
         best = max(lists, key=sizes.get)
         if longest["rows"] == 1 and sizes[best] >= 2:
-            df = df.select(F.explode(named(best)).alias("r")).select("r.*")
+            df, one = df.select(F.explode(named(best)).alias("r")).select("r.*"), True
 
     def leaves(c: Column, kind: T.DataType, name: str) -> list[Column]:
         if isinstance(kind, T.StructType):
             return [x for k in kind for x in leaves(c.getField(k.name), k.dataType, f"{name}.{k.name}" if name else k.name)]
         return [F.coalesce(F.to_json(c) if isinstance(kind, T.ArrayType) else c.cast("string"), F.lit("")).alias(name)]
 
-    return Frame.of(df.select(*[x for k in df.schema for x in leaves(named(k.name), k.dataType, k.name)]))
+    shown = [x for k in df.schema for x in leaves(named(k.name), k.dataType, k.name)]
+    return Frame.of(df.select(*shown)) if one else _as_read(df, *shown)
 
 
 def prefixed_json(f: Frame, keys: Sequence[str] | None = None, unparsed: bool = False) -> Frame:

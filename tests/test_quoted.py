@@ -69,3 +69,29 @@ def test_delimiters(spark, tmp_path):
     for bad in ('"', "", "||", "\n"):
         with pytest.raises(ValueError, match="delimiter"):
             quoted.delimited_ranges(spark, str(tmp_path), bad)
+
+
+def test_files_keep_their_order(spark, tmp_path):
+    """Spark reads large files first; rows come back by file and place nonetheless."""
+    names = {"a": 3, "b": 400, "c": 60}
+    want = [f"{f}{k}" for f, n in names.items() for k in range(n)]
+    for kind in ("txt", "csv", "json"):
+        (tmp_path / kind).mkdir()
+    for f, n in names.items():
+        said = [f"{f}{k}" for k in range(n)]
+        (tmp_path / "txt" / f"{f}.txt").write_text("".join(f"{x}\n" for x in said))
+        (tmp_path / "csv" / f"{f}.csv").write_text("v\n" + "".join(f"{x}\n" for x in said))
+        (tmp_path / "json" / f"{f}.json").write_text('{"pad": "%s", "v": "%s"}' % ("x" * n, f))
+    old = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        for size in ("600", old["spark.sql.files.maxPartitionBytes"]):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            spark.conf.set("spark.sql.files.openCostInBytes", "0")
+            placed = readers.lines(spark, str(tmp_path / "txt")).positioned("pos").orderBy("pos").collect()
+            assert [r["line"] for r in placed] == want and [r["pos"] for r in placed] == list(range(1, len(want) + 1))
+            for breaks in (True, False):
+                assert [x for x, in shown(readers.delimited(spark, str(tmp_path / "csv"), breaks=breaks))] == want
+            assert [r["v"] for r in readers.json_document(spark, str(tmp_path / "json")).sorted().collect()] == ["a", "b", "c"]
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
