@@ -9,16 +9,15 @@ and the pair links if INLIERS corners agree on one.
 
 Images with equal pixels are one class from the start and have one row in the tables. Large groups are gathered
 first, in rounds that cost a row an entry: each entry votes with its bucket's centre, and each class is verified against the
-mate it has most votes with. Then every pair of entries of different classes in a bucket votes, so that nothing that shares VOTES tags goes
-unverified. A bucket with more than PAIRS such pairs an entry holds descriptors too common to tell images apart; it
-is split by the other bands, to tags of two bands and at last of all three. Buckets that are as full with all 128
-bits equal add no votes beyond the ones with their centre.
+mate it has most votes with. Then every pair of entries of different classes in a bucket votes, however full the bucket is, so that nothing
+that shares VOTES tags goes unverified. Full buckets of different classes make that work quadratic; it is a join on tag and class, which no
+task meets whole.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache, reduce
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -31,7 +30,7 @@ from .common import connected_components, drop_staged, small_batches, stage, tab
 #: BLOCK bounds the memory of describing: so many corners are tested at a time.
 SCALES, RADIUS, TESTS, BLOCK = (1.0, 0.75, 0.5), 16, 128, 4096
 DISTANCE, INLIERS, SHIFT_BIN, TURN_BINS = 16, 6, 12.0, 12
-#: Votes that make a pair of images a candidate, and pairs of different classes an entry of a bucket may stand in.
+#: Votes that make a pair of images a candidate, and pairs of different classes an entry, above which gathering goes on longer.
 VOTES, PAIRS = 2, 2
 
 
@@ -168,8 +167,8 @@ def _bands() -> list[Column]:
     return [d0.bitwiseAND((1 << 43) - 1), middle, F.shiftrightunsigned(d1, 22)]
 
 
-def _tag(mask: int) -> Column:
-    return F.xxhash64(F.lit(mask), *[b for i, b in enumerate(_bands()) if mask >> i & 1])
+def _tag(band: int) -> Column:
+    return F.xxhash64(F.lit(band), _bands()[band])
 
 
 def _exploded(single: DataFrame) -> DataFrame:
@@ -219,11 +218,11 @@ def _class_links(found: DataFrame, labels: DataFrame) -> DataFrame:
     return _labelled(sides, labels).select(F.col("a").alias("src"), F.col("class").alias("dst"))
 
 
-def _crowded(entries: DataFrame) -> DataFrame:
-    """(tag, full) of the tags that entries (tag, class, …) of several classes have; full: over PAIRS pairs of different classes an entry."""
+def _many(entries: DataFrame) -> bool:
+    """Whether entries (tag, class, …) of one tag stand in over PAIRS pairs of different classes an entry."""
     n = F.col("n").cast("double")
-    sums = entries.groupBy("tag", "class").agg(F.count(F.lit(1)).alias("n")).groupBy("tag").agg(F.sum(n).alias("n"), F.sum(n * n).alias("squares"), F.min("class").alias("a"), F.max("class").alias("b"))
-    return sums.where("a < b").select("tag", ((n * n - F.col("squares")) / 2 > PAIRS * n).alias("full"))
+    sums = entries.groupBy("tag", "class").agg(F.count(F.lit(1)).alias("n")).groupBy("tag").agg(F.sum(n).alias("n"), F.sum(n * n).alias("squares"))
+    return sums.agg(F.sum(n * n - F.col("squares")) / 2 > PAIRS * F.sum("n")).first()[0] or False
 
 
 def _mates(entries: DataFrame) -> DataFrame:
@@ -236,8 +235,8 @@ def _mates(entries: DataFrame) -> DataFrame:
 def links(single: DataFrame) -> DataFrame:
     """(node, class) of images (node, place, d0, d1) that are linked with others, class being the smallest node of the class."""
     spark = single.sparkSession
-    tags = F.array(*[F.struct(F.lit(1 << i).alias("mask"), _tag(1 << i).alias("tag")) for i in range(3)])
-    entries = stage(_shared(_exploded(single).select("node", "place", F.explode(tags).alias("t")).select("t.tag", "t.mask", "node", "place")), "entries")
+    tags = F.array(*[_tag(i) for i in range(3)])
+    entries = stage(_shared(_exploded(single).select(F.explode(tags).alias("tag"), "node", "place")), "entries")
     labels = spark.createDataFrame([], T.StructType([T.StructField("node", single.schema["node"].dataType), T.StructField("class", single.schema["node"].dataType)]))
     tested = labels.select(F.col("node").alias("src"), F.col("class").alias("dst"))
     first = 0
@@ -256,20 +255,9 @@ def links(single: DataFrame) -> DataFrame:
             labels = _joined(labels, _class_links(found, labels))
         drop_staged(here)
         first = first or n
-        if n * 10 <= first:
+        if n * 100 <= first or n * 10 <= first and not _many(_labelled(entries, labels)):
             break
-    pairs, level = None, stage(_labelled(entries, labels), "level")
-    for size in (1, 2, 3):
-        crowded = stage(_crowded(level), "crowded")
-        of = lambda full: level.join(crowded.where(f"{'' if full else 'NOT '}full").select("tag"), "tag", "left_semi")  # noqa: B023, E731
-        mates = _mates(of(False))
-        pairs = mates if pairs is None else pairs.unionByName(mates)
-        if size == 3 or crowded.where("full").isEmpty():
-            break
-        full = of(True).join(_exploded(single), ["node", "place"]) if size == 1 else of(True)
-        wider = [F.when(F.col("mask").bitwiseAND(F.lit(1 << i)) == 0, F.col("mask").bitwiseOR(F.lit(1 << i))) for i in range(3)]
-        full = full.select("node", "class", "place", "d0", "d1", F.explode(F.array_compact(F.array(*wider))).alias("mask"))
-        level = stage(full.withColumn("tag", reduce(lambda out, m: F.when(F.col("mask") == m, _tag(m)).otherwise(out), (3, 5, 6), _tag(7))).distinct(), "level")
+    pairs = _mates(stage(_labelled(entries, labels), "classes"))
     candidates = _voted(pairs).withColumns({"a": F.least("src", "dst"), "b": F.greatest("src", "dst")}).select(F.col("a").alias("src"), F.col("b").alias("dst"))
     known = tested.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"))
     found = stage(_verified(stage(candidates.join(known, ["src", "dst"], "left_anti"), "candidates"), single), "verified").where("linked")

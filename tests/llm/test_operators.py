@@ -433,6 +433,21 @@ def test_image_classes(spark, monkeypatch):
         assert all(low[by[i]] == low[i] for i in range(len(points)))  # nothing linked that brute force doesn't link
 
 
+def test_image_full_buckets(spark):
+    """Images whose corners all look like those of every other image link by their places, though each bucket is full of equal descriptors."""
+    r = np.random.default_rng(8)
+    looks = r.integers(-(2**62), 2**62, (8, 2))
+    points = []
+    for _ in range(7):
+        x, y = r.integers(0, 400, (2, 8)) * 4
+        place = x << 36 | y << 20
+        points += [[place, looks[:, 0], looks[:, 1]], [place + (40 << 36), looks[:, 0], looks[:, 1]]]
+    pairs = [(i, j) for j in range(14) for i in range(j) if images.agree(points[i], points[j])]
+    assert pairs == [(2 * i, 2 * i + 1) for i in range(7)]
+    single = spark.createDataFrame([(i, *[v.tolist() for v in p]) for i, p in enumerate(points)], "node long, place array<long>, d0 array<long>, d1 array<long>")
+    assert {x["node"]: x["class"] for x in images.links(single).collect()} == {i: i // 2 * 2 for i in range(14)}
+
+
 def test_long_disguises():
     counts = np.zeros((28, 28, 28), np.int64)
     for w in ["you", "are", "an", "idiot", "stupid"] * 50:
