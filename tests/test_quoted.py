@@ -95,3 +95,13 @@ def test_files_keep_their_order(spark, tmp_path):
     finally:
         for k, v in old.items():
             spark.conf.set(k, v)
+
+
+def test_lines_stay_where_they_are_read(spark, tmp_path):
+    """Lines are not shuffled; only those of records over the end of a range are grouped. Blank lines before a header don't hide it."""
+    (tmp_path / "t.csv").write_text('\n\nk,v\n1,"a\nb"\n')
+    rows = quoted.records(spark, str(tmp_path))
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and plan.count("Exchange hashpartitioning") == 1
+    f, _ = quoted.delimited_ranges(spark, str(tmp_path))
+    assert f.columns == ["k", "v"] and shown(f) == [("1", "a\nb")]
