@@ -160,12 +160,14 @@ def _(t: Tables) -> DataFrame:
     "UNION ALL SELECT DISTINCT '-' || (o_orderkey // 100), '\"never' FROM orders WHERE (o_orderkey // 100) % 2 = 0",
 )
 def _(t: Tables) -> DataFrame:
-    """A file for each hundred orders, every other one with a quote at its end that never closes: those keep their quotes as text, and all their rows."""
+    """Hundreds of orders, every other one with a quote at its end that never closes. Those are in files of their own, which keep their quotes as text, and all their rows. A file takes its hundreds of 10,000 orders, so that files keep their size."""
     f = t("orders")
     rows = f.df.select(F.expr("o_orderkey div 100").alias("bucket"), F.lit(0).alias("last"), "o_orderkey", F.concat(text("o_orderkey"), say(',"'), F.col("o_orderpriority"), say('"')).alias("value"))
     ends = rows.where("bucket % 2 = 0").select("bucket", F.lit(1).alias("last"), F.lit(0).cast("long").alias("o_orderkey"), F.concat(say("-"), F.col("bucket").cast("string"), say(',"never')).alias("value")).distinct()
     path = new_path(f.df.sparkSession, "unclosed")
-    rows.unionByName(ends).repartition("bucket").sortWithinPartitions("bucket", "last", "o_orderkey").select("bucket", "value").write.partitionBy("bucket").text(path)
+    # A quote left open is shut by the next hundred's first row, the last one by none.
+    placed = rows.unionByName(ends).withColumns({"part": F.expr("bucket div 100"), "odd": F.col("bucket") % 2})
+    placed.repartition("part", "odd").sortWithinPartitions("part", "odd", "bucket", "last", "o_orderkey").select("part", "odd", "value").write.partitionBy("part", "odd").text(path)
     return quoted.delimited_ranges(f.df.sparkSession, path, header=False)[0].df.selectExpr("column_1 AS o_orderkey", "column_2 AS prio")
 
 

@@ -105,3 +105,12 @@ def test_lines_stay_where_they_are_read(spark, tmp_path):
     assert "Window" not in plan and plan.count("Exchange hashpartitioning") == 1
     f, _ = quoted.delimited_ranges(spark, str(tmp_path))
     assert f.columns == ["k", "v"] and shown(f) == [("1", "a\nb")]
+
+
+def test_unclosed_files_keep_their_size(spark, tmp_path, monkeypatch):
+    """The query's files hold some 5,000 orders each, so their number stays far below the hundreds'."""
+    from millrace.plans import catalog, roundtrips
+
+    monkeypatch.setattr(roundtrips, "new_path", lambda _, tag: str(tmp_path / tag))
+    rows = catalog.QUERIES["read_unclosed_quotes"](spark, "/root/testdata/sf0.01").count()
+    assert rows == 15_075 and len(list(tmp_path.glob("**/*.txt"))) == 4
