@@ -75,6 +75,11 @@ def parse_number(c: Column, locale: str = "us", percent_as_fraction: bool = True
     return value * F.when(rated.rlike("%$"), 0.01).otherwise(1.0) if percent_as_fraction else value
 
 
+def may_be_number(t: Column) -> Column:
+    """Whether a stripped text has the signs of numbers only: true wherever parse_number finds one, and far cheaper."""
+    return t.rlike(rf"^(?:[-−+()%.,'0-9eE{SPACE}]|{CURRENCY})+$")
+
+
 def number_locale(values: Column) -> Column:
     """Aggregate over text: `eu` if strictly more values are shaped like 1.234,5 than like 1,234.5, else `us`."""
     t = strip(values)
@@ -92,8 +97,8 @@ def detected_locale(df: DataFrame, column: str, sample: int = 250) -> str:
 def _date(y: Column, m: Column, d: Column) -> Column:
     """A real calendar day of the years 1000 to 2999, or null."""
     text = F.concat_ws("-", F.lpad(y, 4, "0"), F.lpad(m, 2, "0"), F.lpad(d, 2, "0"))
-    day = F.try_to_date(text, "yyyy-MM-dd")
-    return F.when(F.year(day).between(1000, 2999), day)
+    # The year's text, of four digits, tells its thousand: the day's own would work the day out anew for each use.
+    return F.when(y.rlike("^[12]"), F.try_to_date(text, "yyyy-MM-dd"))
 
 
 def _year(y: Column, pivot: int) -> Column:
@@ -122,7 +127,8 @@ def parse_date(c: Column, order: str = "mdy", pivot: int = 69) -> Column:
     month_first = _date(y, a, b)
     by_order = {"mdy": month_first, "dmy": day_first}.get(order, F.lit(None).cast("date"))
     by_order = F.when(a.try_cast("int") == b.try_cast("int"), month_first).otherwise(by_order) if order == "reject" else by_order
-    slashed = F.when(a.try_cast("int") > 12, day_first).when(b.try_cast("int") > 12, month_first).otherwise(by_order)
+    over = lambda x: x.rlike(r"^(?:1[3-9]|[2-9]\d)$")  # noqa: E731 - over 12
+    slashed = F.when(over(a), day_first).when(over(b), month_first).otherwise(by_order)
     found = (
         F.when(t.rlike(ymd), _date(part(ymd, 1), part(ymd, 2), part(ymd, 3)))
         .when(t.rlike(slash), slashed)
@@ -133,11 +139,16 @@ def parse_date(c: Column, order: str = "mdy", pivot: int = 69) -> Column:
     return F.when(F.length(t).between(1, 40), found)
 
 
+def may_be_date(t: Column) -> Column:
+    """Whether a stripped text starts as a date of numbers or names a month: true wherever parse_date finds a day, and far cheaper."""
+    return t.rlike(rf"^[0-9]{{1,4}}[-/.][0-9]{{1,2}}[-/.][0-9]|^[0-9]{{8}}$|(?i:{'|'.join(MONTHS)})")
+
+
 def ambiguous_date(c: Column) -> Column:
     """Two parts of up to 12 that differ, so that their order matters."""
-    p = r"^(\d{1,2})[-/.](\d{1,2})[-/.](?:\d{4}|\d{2})\b"
-    a, b = F.regexp_extract(strip(c), p, 1).try_cast("int"), F.regexp_extract(strip(c), p, 2).try_cast("int")
-    return F.coalesce((a <= 12) & (b <= 12) & (a != b), F.lit(False))
+    t = strip(c)  # by patterns alone: try_cast of what is no number costs an exception each
+    small = t.rlike(r"^(?:0?\d|1[0-2])[-/.](?:0?\d|1[0-2])[-/.](?:\d{4}|\d{2})\b")
+    return F.coalesce(small & ~t.rlike(r"^0?(\d+)[-/.]0?\1[-/.]"), F.lit(False))
 
 
 #: The date formats by name.

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.functions.values import ambiguous_date, as_date, as_number, as_text, is_blank, named, natural_key, number_locale, parse_date, parse_number, strip
+from millrace.functions.values import ambiguous_date, as_date, as_number, as_text, is_blank, may_be_date, may_be_number, named, natural_key, number_locale, parse_date, parse_number, strip
 from millrace.operators.frame import Frame
 
 
@@ -125,8 +125,8 @@ SEVERITY = {
     "emptyCols": "low", "whitespace": "low", "numText": "low", "dates": "low", "ambiguousDates": "low", "caseVariants": "low", "structured": "low",
 }
 #: What the first cell of a totals row says, and rows that a page break leaves behind.
-TOTAL = r"(?i)^(?:grand |sub)?-?totals?\b|^sum\b"
-ARTIFACT = r"(?i)^page \d+(?: of \d+)?$|^[-=_*\s]{3,}$"
+TOTAL = r"(?i)^(?:(?:grand |sub)?-?totals?\b|sum\b)"
+ARTIFACT = r"(?i)^(?:page \d+(?: of \d+)?|[-=_*\s]{3,})$"
 
 
 def issues(f: Frame) -> DataFrame:
@@ -144,22 +144,27 @@ def issues(f: Frame) -> DataFrame:
     empty = [("emptyCols", c, ((F.col(f"full{i}") == 0) & (F.col("rows") > 0)).cast("long")) for i, c in enumerate(f.columns)]
     flat = listed(one, [*[(k, "", F.col(k)) for k, _ in whole], *empty])
     for c in f.texts():  # a column at a time: small generated code, and a scan of that column only
-        v, t = f.col(c), strip(f.col(c))
-        full, day = t != "", parse_date(v).isNotNull()
+        # Each step is a column, worked out once for a row. Numbers and days have a digit and 40 signs at most: no other cell, above all no long text, is looked at for them, and only what looks like one is parsed.
+        v, t, w = F.col("v"), F.col("t"), F.col("w")
+        slim = f.df.select(f.col(c).alias("v")).withColumn("t", strip(v)).withColumn("w", F.when((F.length(t) <= 40) & t.rlike("[0-9]"), t))
+        slim = slim.withColumns({"x": F.when(may_be_number(w), w), "day": parse_date(F.when(may_be_date(w), w)).isNotNull()})
+        x = F.col("x")
         shapes = {
-            "whitespace": full & (v != F.regexp_replace(t, r"[ \t]{2,}", " ")),
+            "whitespace": (t != "") & ((v != t) | t.rlike(r"[ \t]{2}")),
             "invisible": v.rlike(r"[\u00A0\u200B-\u200D\u2060\uFEFF\u2018\u2019\u201C\u201D\u0000-\u0008\u000B\u000C\u000E-\u001F]"),
-            "ambiguousDates": ambiguous_date(v), "structured": t.rlike(r"(?s)^[{\[].*[}\]]$"),
-            "full": full, "number": full & (parse_number(v).isNotNull() | parse_number(v, "eu").isNotNull()), "day": full & day, "iso": day & t.rlike(r"^\d{4}-"),
+            "ambiguousDates": ambiguous_date(t), "structured": t.rlike(r"(?s)^[{\[].*[}\]]$"),
+            "full": t != "", "number": parse_number(x).isNotNull() | parse_number(x, "eu").isNotNull(), "day": F.col("day"), "iso": F.col("day") & w.rlike(r"^\d{4}-"),
         }
-        one = f.df.agg(*[total(x).alias(k) for k, x in shapes.items()])
+        one = slim.agg(*[total(flag).alias(k) for k, flag in shapes.items()])
         n = {k: F.col(k) for k in shapes}
         if_numbers = lambda x: F.when(F.col("number") >= 0.9 * F.col("full"), x).otherwise(0)
         if_dates = lambda x: F.when((F.col("day") >= 0.9 * F.col("full")) & (F.col("number") < F.col("day")), x).otherwise(0)
         found = [(k, c, n[k]) for k in list(shapes)[:4]]
         found += [("numText", c, if_numbers(n["number"])), ("notNumber", c, if_numbers(n["full"] - n["number"])), ("dates", c, if_dates(n["day"])), ("mixedDates", c, if_dates(F.least(n["iso"], n["day"] - n["iso"])))]
         flat = flat.unionByName(listed(one, found))
-    rows = f.df.groupBy(F.xxhash64(*[f.col(c) for c in f.columns]).alias("h"), *[f.col(c) for c in f.columns]).count()
+    # Texts of over 64 signs by a digest of 65, so that they aren't shuffled.
+    keys = [F.when(F.length(f.col(c)) > 64, F.concat(F.sha2(f.col(c).cast("binary"), 256), F.lit("#"))).otherwise(f.col(c)) if c in f.texts() else f.col(c) for c in f.columns]
+    rows = f.df.groupBy(*[k.alias(f"k{i}") for i, k in enumerate(keys)]).count()
     counted = lambda df, kind, c, n: df.agg(F.coalesce(F.sum(n), F.lit(0)).cast("long").alias("n")).select(F.lit(kind).alias("kind"), F.lit(c).alias("column"), "n")
     flat = flat.unionByName(counted(rows.where("count > 1"), "duplicates", "", F.col("count") - 1))
     for c in f.texts():  # values by hash, so that long texts aren't shuffled

@@ -358,3 +358,19 @@ def test_json_documents(spark, tmp_path):
     ]:
         (tmp_path / name).write_text(body)
         assert {tuple(r) for r in readers.json_document(spark, str(tmp_path / name)).result().collect()} == want
+
+
+def test_issues_parse_only_what_may_be(spark):
+    """The cheap tests hold for every cell that parses; issues neither parse other cells nor shuffle long texts, and count as parsing all cells does."""
+    from millrace.functions import values
+    from millrace.plans import insights
+
+    cells = ["1,234.5", "(1.234,50)", "−3 %", "USD 5", "5 gbp", "'1e5", ".5", "$-7", "1-URGENT", "n1", "2/3/2020", "13.2.99", "1/1/0999", "2020-02-30", "Tue, Feb 3rd, 2021 ", "4-sept-2020", "20200101", "3000-01-01", "1999-12-31T10:00", "Jan", "", None, "9" * 41, "a  b", " x", "long " * 40, "long " * 40]
+    df = spark.createDataFrame([(k, c) for k, c in enumerate(cells)], "k int, v string")
+    t = values.strip(F.col("v"))
+    n, d = values.parse_number(F.col("v")).isNotNull() | values.parse_number(F.col("v"), "eu").isNotNull(), values.parse_date(F.col("v")).isNotNull()
+    assert df.where(n & ~values.may_be_number(t) | d & ~values.may_be_date(t)).count() == 0 and df.where(n).count() >= 8 and df.where(d).count() == 6
+    found = insights.issues(Frame(df.select("v"), ("v",)))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "sha2" in plan
+    assert {(r["kind"], r["n"]) for r in found.collect()} == {("whitespace", 5), ("ambiguousDates", 1), ("duplicates", 1), ("emptyRows", 2)}
