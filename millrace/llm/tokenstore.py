@@ -10,11 +10,13 @@ whole file; a reader with the seek table decompresses only the documents it was
 Documents are range-partitioned by id and written in id order by the tasks that encode them, each file under a
 name of its own; a manifest lists the files of the tasks that succeeded, so what a lost or repeated attempt
 left behind is never read. Texts are encoded by the tokenizers library; since its normaliser and
-pre-tokenizer never join across blanks, a bounded cache of blank-separated pieces gives the same ids.
+pre-tokenizer never join across blanks, a bounded cache of blank-separated pieces gives the same ids; letters
+are kept apart from the signs after them, and small where the normaliser makes them so.
 """
 
 from __future__ import annotations
 
+import string
 import struct
 import unicodedata
 import uuid
@@ -23,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs
 import xxhash
 import zstandard
@@ -44,6 +47,22 @@ def _letters(piece: str) -> bool:
     return piece.isalpha() and (piece.isascii() or ((low := piece.lower()).isalpha() and unicodedata.is_normalized("NFC", low)))
 
 
+def _gathered(parts: list[bytes], codes: np.ndarray, counts: list[int], block: int = 1 << 17) -> list[bytes]:
+    """For each count, the parts (whole ids of four bytes) named by so many of the codes, joined; the work is bounded by block codes at a time."""
+    flat, sizes = np.frombuffer(b"".join(parts), "<u4"), np.fromiter(map(len, parts), np.int64, len(parts)) // 4
+    starts, out, at = np.cumsum(sizes) - sizes, [], 0
+    for n in counts:
+        runs = []
+        for k in range(at, at + n, block):
+            own = codes[k : min(k + block, at + n)]
+            size = sizes[own]
+            ends = np.cumsum(size)
+            runs.append(flat[np.repeat(starts[own] - ends + size, size) + np.arange(ends[-1])].tobytes())
+        out.append(b"".join(runs))
+        at += n
+    return out
+
+
 class Encoder:
     """Ids of texts as bytes. Pieces are kept in two generations of at most `size` entries each."""
 
@@ -55,18 +74,19 @@ class Encoder:
 
         self.lib, self.size, self.new, self.old = Tokenizer.from_file(path), size, {"": b""}, {}
         n = self.lib.get_vocab_size(with_added_tokens=True)
+        self.lowers = self.lib.normalizer is not None and self.lib.normalizer.normalize_str(string.ascii_uppercase) == string.ascii_lowercase
         self.ends = np.array([str(self.lib.id_to_token(i)).endswith("</w>") for i in range(n)])
 
     def _ids(self, pieces: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.lib.encode_batch_fast(pieces, add_special_tokens=False)]
 
     def _learn(self, pieces: set[str]) -> None:
-        """Pieces of letters only are one pre-token each, whose last id ends a word, so many can go in one call."""
+        """Pieces of letters only are one pre-token each, whose last id ends a word, so many can go in one text; it needs no offsets."""
         words, rest = [], []
         for p in pieces:
-            (words if p.isalpha() else rest).append(p)
+            (words if _letters(p) else rest).append(p)
         if words:
-            ids = np.array(self.lib.encode(" ".join(words), add_special_tokens=False).ids, "<u4")
+            ids = np.frombuffer(self._ids([" ".join(words)])[0], "<u4")
             cut = np.flatnonzero(self.ends[ids]) + 1
             if len(cut) == len(words):
                 raw, at = ids.tobytes(), [0, *(4 * cut).tolist()]
@@ -75,25 +95,43 @@ class Encoder:
                 self.new.update(zip(words, self._ids(words), strict=True))
         self.new.update(zip(rest, self._ids(rest), strict=True))
 
-    def encode_batch(self, texts: list[str | None]) -> list[bytes]:
+    def _parts(self, piece: str) -> tuple[str, str]:
+        """The piece whose ids it has, in small letters where the normaliser makes them so, and the signs that follow its letters, a pre-token of their own."""
+        if self.lowers and piece.isascii() and "<|" not in piece and (low := piece.lower()) != piece:  # an added token is looked for before the normaliser
+            piece = low
+        stem = piece.rstrip(string.punctuation)
+        return (stem, piece[len(stem) :]) if _letters(stem) else (piece, "")
+
+    def encode_batch(self, texts: list[str | None] | pa.Array) -> list[bytes]:
+        """Texts are split and their pieces numbered by Arrow, so that Python sees a piece of a batch once."""
         if len(self.new) > self.size:
             self.old, self.new = self.new, {"": b""}
-        split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") if t else [] for t in texts]
-        missing: set[str] = set()
-        for pieces in split:
-            missing.update(pieces)
+        texts = pc.fill_null(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()), "")
+        split = pc.ascii_split_whitespace(texts)
+        numbered = split.flatten().dictionary_encode()
+        if not (n := len(numbered.dictionary)):
+            return [b""] * len(texts)
+        # No piece holds a line break; one long string is turned into Python's faster than many short ones.
+        pieces = pc.binary_join(type(split).from_arrays([0, n], numbered.dictionary), "\n")[0].as_py().split("\n")
         new, old = self.new, self.old
-        missing = {p for p in missing if p not in new}  # a set's own difference would walk the whole cache
-        if old:
-            known = {p: old[p] for p in missing if p in old}
-            new.update(known)
-            missing.difference_update(known)
-        if missing:
-            stops = {p: p[:-1] for p in missing if p[-1] in ".," and _letters(p[:-1])}
-            unseen = {c for c in [*(missing - stops.keys()), *stops.values(), ".", ","] if c not in self.new}
+        ids = list(map(new.get, pieces))
+        places, stems, tails, unseen = [], [], [], set()
+        for k in [k for k, x in enumerate(ids) if x is None]:
+            p = pieces[k]
+            if (x := old.get(p)) is not None:
+                new[p] = ids[k] = x
+                continue
+            stem, tail = self._parts(p)
+            places.append(k), stems.append(stem), tails.append(tail)
+            for c in (stem, tail) if tail else (stem,):
+                if c is p or c not in new and c not in old:
+                    unseen.add(c)
+        if unseen:
             self._learn(unseen)
-            self.new.update({p: self.new[c] + self.new[p[-1]] for p, c in stops.items()})
-        return [b"".join(map(self.new.__getitem__, pieces)) for pieces in split]
+        for k, stem, tail in zip(places, stems, tails, strict=True):
+            x = new[stem] if stem in new else old[stem]
+            ids[k] = new[pieces[k]] = x + (new[tail] if tail in new else old[tail]) if tail else x
+        return _gathered(ids, numbered.indices.to_numpy(), pc.list_value_length(split).to_pylist())
 
     def encode(self, text: str | None) -> bytes:
         return self.encode_batch([text])[0]
@@ -179,7 +217,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int = END
             return pa.RecordBatch.from_pylist([{"part": part, "seq": seq, "path": w.path, "docs": docs_, "tokens": tokens}], schema=MANIFEST)
 
         for b in batches:
-            for doc_id, ids in zip(b.column(0).to_pylist(), enc.encode_batch(b.column(1).to_pylist()), strict=True):
+            for doc_id, ids in zip(b.column(0).to_pylist(), enc.encode_batch(b.column(1)), strict=True):
                 if w is None:
                     w, docs_, tokens = Writer(f"{folder}/part-{part:06d}-{seq:04d}-{uuid.uuid4().hex}.tok.zst"), 0, 0
                 raw = ids + end
@@ -192,7 +230,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int = END
             yield closed()
 
     # Ranges go by the head of the text, too, so that rows of one id, or without one, aren't a single task.
-    small_batches(docs.sparkSession)
+    small_batches(docs.sparkSession, 1024)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     rows = rows.repartitionByRange(F.col("doc_id").asc_nulls_first(), F.substring("text", 1, 64)).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
     return stage(rows.mapInArrow(run, "part int, seq int, path string, docs long, tokens long"), "manifest")

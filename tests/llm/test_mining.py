@@ -211,6 +211,28 @@ def test_token_ids_fuzz():
         assert np.frombuffer(mine.encode(text), "<u4").tolist() == lib.encode(text, add_special_tokens=False).ids, text
 
 
+def test_token_ids_of_few_stems():
+    """The library is asked once for a word, whatever its capitals and the signs after it; the ids are those of the whole texts."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from millrace.llm import tokenstore
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    lib, mine, asked = Tokenizer.from_file(path), tokenstore.Encoder(path), []
+    plain = mine._ids
+    mine._ids = lambda pieces: asked.extend(x for p in pieces for x in p.split(" ")) or plain(pieces)
+    texts = ["Thingble thingble!! THINGBLE, thingble.", "thingble$$$\x0bÉtudes\x0cétudes.\r\nétudes", None, "", "J\u030c j\u030c J\u030c. <|EndOfText|> <|endoftext|>"]
+    want = [np.array(lib.encode(t or "", add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert mine.encode_batch(texts) == mine.encode_batch(texts) == want
+    assert asked.count("thingble") == 1 and sum("hingble" in x.lower() for x in asked) == 1 and sum("tudes" in x for x in asked) == 2
+    r, small = random.Random(3), tokenstore.Encoder(path, size=30)
+    signs = ["J\u030c", "J", "\u030c", "\u0338", "THE", "Ab", "c", "Σ", "İ", "é", "\x0b", "\x0c", "\x1c", "\x85", "\u3000", " ", " ", "\n", "!!", "$", "'", "'S", "<|", "|>", "<", "=", "_", "7", *lib.get_vocab(with_added_tokens=True).keys() - lib.get_vocab(with_added_tokens=False).keys()]
+    for _ in range(60):
+        texts = ["".join(r.choice(signs) for _ in range(r.randrange(14))) for _ in range(40)]
+        assert [np.frombuffer(x, "<u4").tolist() for x in small.encode_batch(texts)] == [lib.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_warc_files(spark, tmp_path):
     """Files written, hurt in their bytes, and read: whole records only, and the damage is found where it is."""
     rows = [(i, f"http://x/{i}\r\n\r\nContent-Length: 3", "é" * (i % 50) + ("WARC/1.1\r\nx\r\n\r\n" if i % 9 == 0 else "")) for i in range(200)] + [(None, None, None), (3, None, ""), (3, None, "")]
