@@ -188,8 +188,10 @@ def _voted(pairs: DataFrame) -> DataFrame:
     turn = F.pmod(F.round(F.pmod(part("q", 0, 12) - part("p", 0, 12), F.lit(360)) * TURN_BINS / 360), F.lit(TURN_BINS)).cast("int")
     octave = F.array(*[F.lit(float(np.log2(s))) for s in SCALES])
     zoom = F.round((F.get(octave, part("q", 12, 8).cast("int")) - F.get(octave, part("p", 12, 8).cast("int"))) * 2).cast("int")
-    votes = pairs.groupBy("src", "dst", turn.alias("turn"), zoom.alias("zoom")).agg(F.count_distinct("q").alias("n")).where(F.col("n") >= VOTES)
-    return votes.groupBy("src", "dst").agg(F.max("n").alias("n"))
+    # One long holds the corner and its bin. All counts are of pairs, so the rows move once, by pair.
+    vote = F.shiftleft("q", 8).bitwiseOR((turn + TURN_BINS * (zoom + 2)).cast("long")).alias("vote")
+    votes = pairs.select("src", "dst", vote).repartition("src", "dst").distinct().groupBy("src", "dst", F.col("vote").bitwiseAND(255).alias("bin"))
+    return votes.agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= VOTES).groupBy("src", "dst").agg(F.max("n").alias("n"))
 
 
 def _verified(pairs: DataFrame, single: DataFrame) -> DataFrame:
@@ -257,7 +259,9 @@ def links(single: DataFrame) -> DataFrame:
         first = first or n
         if n * 100 <= first or n * 10 <= first and not _many(_labelled(entries, labels)):
             break
-    pairs = _mates(stage(_labelled(entries, labels), "classes"))
+    classes = stage(_labelled(entries, labels), "classes")
+    drop_staged(entries)
+    pairs = _mates(classes)
     candidates = _voted(pairs).withColumns({"a": F.least("src", "dst"), "b": F.greatest("src", "dst")}).select(F.col("a").alias("src"), F.col("b").alias("dst"))
     known = tested.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"))
     found = stage(_verified(stage(candidates.join(known, ["src", "dst"], "left_anti"), "candidates"), single), "verified").where("linked")
@@ -280,13 +284,16 @@ def copies(images: DataFrame) -> DataFrame:
     # Equal images share one row in the tables; rows of one id are one node.
     firsts = stage(good.groupBy("key").agg(F.min("image_id").alias("node")), "firsts")
     single = stage(good.join(firsts, [good["key"] == firsts["key"], good["image_id"] == firsts["node"]], "left_semi").dropDuplicates(["image_id", "key"]).select(F.col("image_id").alias("node"), *POINTS), "single")
+    # What is left to do needs no descriptors of rows, so their table makes room.
+    brief = stage(rows.select("image_id", "key", F.size("place").cast("long").alias("n_corners")), "brief")
+    drop_staged(rows)
+    good = brief.where("image_id IS NOT NULL AND key IS NOT NULL")
     same = good.join(firsts, "key").where("image_id <> node").select(F.col("image_id").alias("src"), F.col("node").alias("dst"))
     labels = links(single)
     classes = connected_components(same.unionByName(labels.select(F.col("node").alias("src"), F.col("class").alias("dst"))))
-    n = F.size("place").cast("long").alias("n_corners")
-    known = good.select("image_id", n).join(classes.withColumnRenamed("node", "image_id"), "image_id", "left")
+    known = good.select("image_id", "n_corners").join(classes.withColumnRenamed("node", "image_id"), "image_id", "left")
     known = known.select("image_id", "n_corners", F.coalesce("component", "image_id").alias("component_id"))
-    alone = rows.where("image_id IS NULL OR key IS NULL").select("image_id", n, F.col("image_id").alias("component_id"))
+    alone = brief.where("image_id IS NULL OR key IS NULL").select("image_id", "n_corners", F.col("image_id").alias("component_id"))
     return known.unionByName(alone).withColumn("kept", F.coalesce(F.col("image_id") == F.col("component_id"), F.lit(False)))
 
 

@@ -448,6 +448,22 @@ def test_image_full_buckets(spark):
     assert {x["node"]: x["class"] for x in images.links(single).collect()} == {i: i // 2 * 2 for i in range(14)}
 
 
+def test_image_votes_move_once(spark):
+    """Votes are those of plain loops, with one shuffle of the pairs of corners."""
+    r = np.random.default_rng(9)
+    at = lambda: int(r.integers(0, 3)) << 36 | 65535 << 20 | int(r.integers(0, 3)) << 12 | int(r.integers(0, 12)) * 30
+    rows = [(int(r.integers(0, 6)), int(r.integers(6, 12)), at(), at() + (65532 << 36)) for _ in range(900)]
+    seen = {}
+    for src, dst, p, q in rows:
+        turn = int(((q & 4095) - (p & 4095)) % 360 * images.TURN_BINS / 360 + 0.5) % images.TURN_BINS
+        zoom = round(2 * (np.log2(images.SCALES[q >> 12 & 255]) - np.log2(images.SCALES[p >> 12 & 255])))
+        seen.setdefault((src, dst), {}).setdefault((turn, zoom), set()).add(q)
+    want = {k: max(map(len, v.values())) for k, v in seen.items()}
+    votes = images._voted(spark.createDataFrame(rows, "src long, dst long, p long, q long"))
+    assert {(x["src"], x["dst"]): x["n"] for x in votes.collect()} == {k: n for k, n in want.items() if n >= images.VOTES}
+    assert votes._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1].count("Exchange hashpartitioning") == 1
+
+
 def test_long_disguises():
     counts = np.zeros((28, 28, 28), np.int64)
     for w in ["you", "are", "an", "idiot", "stupid"] * 50:
