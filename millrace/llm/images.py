@@ -10,8 +10,9 @@ and the pair links if INLIERS corners agree on one.
 Images with equal pixels are one class from the start and have one row in the tables. Large groups are gathered
 first, in rounds that cost a row an entry: each entry votes with its bucket's centre, and each class is verified against the
 mate it has most votes with. Then every pair of entries of different classes in a bucket votes, however full the bucket is, so that nothing
-that shares VOTES tags goes unverified. Full buckets of different classes make that work quadratic; it is a join on tag and class, which no
-task meets whole.
+that shares VOTES tags goes unverified. Most of these pairs are of unlike images with one vote, so they never become rows: images are dealt
+out in blocks, a task has two of them, and only pairs of images with VOTES votes leave it. Comparing remains quadratic in full buckets of
+different classes; memory is bounded by two blocks, and an entry goes only to blocks that have its tag.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -32,6 +34,8 @@ SCALES, RADIUS, TESTS, BLOCK = (1.0, 0.75, 0.5), 16, 128, 4096
 DISTANCE, INLIERS, SHIFT_BIN, TURN_BINS = 16, 6, 12.0, 12
 #: Votes that make a pair of images a candidate, and pairs of different classes an entry, above which gathering goes on longer.
 VOTES, PAIRS = 2, 2
+#: Blocks of images at least, entries that a block has on average at most, and pairs of entries that vote at a time.
+BLOCKS, ENTRIES, MEETINGS = 8, 1 << 20, 1 << 20
 
 
 @lru_cache(1)
@@ -227,11 +231,77 @@ def _many(entries: DataFrame) -> bool:
     return sums.agg(F.sum(n * n - F.col("squares")) / 2 > PAIRS * F.sum("n")).first()[0] or False
 
 
-def _mates(entries: DataFrame) -> DataFrame:
-    """(src, dst, p, q): all pairs of entries (tag, class, node, place) of one tag and different classes. Entries meet the other classes of their tag first, so members of one class never meet."""
-    classes = entries.groupBy("tag", "class").agg(F.count(F.lit(1)).alias("n")).select("tag", F.col("class").alias("other"))
-    first = entries.join(classes, "tag").where(F.col("class") < F.col("other")).select("tag", "other", F.col("node").alias("src"), F.col("place").alias("p"))
-    return first.join(entries.select("tag", F.col("class").alias("other"), F.col("node").alias("dst"), F.col("place").alias("q")), ["tag", "other"]).select("src", "dst", "p", "q")
+class _Block:
+    """Images of a block (node, class as a number) and their entries, image by image: number of the image, tag and place."""
+
+    def __init__(self, rows: pa.Table, classes: np.ndarray) -> None:
+        tags, places = rows["tags"].combine_chunks(), rows["places"].combine_chunks()
+        self.node = rows["node"].combine_chunks()
+        self.image = np.repeat(np.arange(len(rows)), tags.value_lengths().to_numpy())
+        self.tag, self.place, self.cls = tags.flatten().to_numpy(), places.flatten().to_numpy(), classes[self.image]
+
+
+def _voting(a: _Block, b: _Block, classes: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Numbers of images of a and b, the first of the smaller class, with VOTES votes for one turn and zoom: those that _voted finds."""
+    bins = 5 * TURN_BINS
+    tags, known = np.unique(b.tag, return_inverse=True)
+    keys = known * classes + b.cls
+    order = np.argsort(keys)
+    keys = keys[order]
+    # A corner of b has a number, as its bands vote once; numbers rise with the image.
+    sorted_ = np.lexsort((b.place, b.image))
+    fresh = np.diff(b.image[sorted_], prepend=-1).astype(bool) | np.diff(b.place[sorted_], prepend=-1).astype(bool)
+    corner, of = np.empty(len(sorted_), np.int64), b.image[sorted_][fresh]
+    corner[sorted_] = np.cumsum(fresh) - 1
+    # The mates of an entry are those of its tag behind its own class.
+    at = np.searchsorted(tags, a.tag)
+    mine = np.flatnonzero(tags[np.minimum(at, len(tags) - 1)] == a.tag) if len(tags) else np.empty(0, np.int64)
+    low, high = np.searchsorted(keys, at[mine] * classes + a.cls[mine], "right"), np.searchsorted(keys, (at[mine] + 1) * classes)
+    mine, low, n = mine[high > low], low[high > low], (high - low)[high > low]
+    ends, k, open_ = np.cumsum(n), 0, np.empty(0, np.int64)
+    octave = np.log2(np.array(SCALES))
+    while k < len(mine):
+        before = ends[k] - n[k]
+        stop = max(k + 1, int(np.searchsorted(ends, before + MEETINGS, "right")))
+        i = np.repeat(mine[k:stop], n[k:stop])
+        j = order[np.arange(len(i)) + np.repeat(low[k:stop] - (ends[k:stop] - n[k:stop] - before), n[k:stop])]
+        p, q = a.place[i], b.place[j]
+        turn = np.floor((_bits(q, 0, 12) - _bits(p, 0, 12)) % 360 * TURN_BINS / 360 + 0.5).astype(np.int64) % TURN_BINS
+        zoom = np.rint(2 * (octave[_bits(q, 12, 8)] - octave[_bits(p, 12, 8)])).astype(np.int64) + 2
+        votes = np.unique(np.concatenate([open_, (a.image[i] * len(of) + corner[j]) * bins + zoom * TURN_BINS + turn]))
+        # The last image may have more pairs to come.
+        last = len(votes) if stop == len(mine) else int(np.searchsorted(votes, a.image[mine[stop]] * len(of) * bins))
+        votes, open_, k = votes[:last], votes[last:], stop
+        src, rest = np.divmod(votes, len(of) * bins)
+        kinds, counts = np.unique((src * len(b.node) + of[rest // bins]) * bins + rest % bins, return_counts=True)
+        yield np.divmod(np.unique(kinds[counts >= VOTES] // bins), len(b.node))
+
+
+def _candidates(entries: DataFrame) -> DataFrame:
+    """(src, dst): pairs of images with VOTES votes for one turn and zoom among all pairs of entries (tag, class, node, place) of one tag and different classes; src has the smaller class.
+
+    Each pair of blocks is a group. An image is in as many groups as there are blocks, with those of its entries whose tag the other block has.
+    """
+    blocks = max(BLOCKS, -(-entries.count() // ENTRIES))
+    dealt = entries.select("tag", "class", "node", "place", F.pmod(F.xxhash64("node"), F.lit(blocks)).cast("int").alias("block"))
+    met = dealt.groupBy("tag").agg(F.expr("bit_or(shiftleft(1L, block % 63))").alias("within"), F.min("class").alias("a"), F.max("class").alias("b")).where("a < b")
+    images = dealt.join(met.select("tag", "within"), "tag").groupBy("node", "class", "block").agg(F.collect_list(F.struct("tag", "place", "within")).alias("has"))
+    sent = images.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("has", F.expr("filter(has, x -> shiftright(x.within, other % 63) & 1 = 1)"))
+    i, j = F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")
+    sent = sent.where(F.size("has") > 0).select(i, j, "block", "node", "class", F.col("has.tag").alias("tags"), F.col("has.place").alias("places"))
+
+    def cell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = pa.Table.from_batches(list(batches))
+        names, classes = np.unique(rows["class"].to_pandas().to_numpy(), return_inverse=True)
+        i, j = rows["i"][0].as_py(), rows["j"][0].as_py()
+        block = rows["block"].to_numpy()
+        one, two = (_Block(rows.filter(pa.array(block == x)), classes[block == x]) for x in (i, j))
+        for a, b in [(one, two), (two, one)][: 1 if i == j else 2]:
+            for src, dst in _voting(a, b, len(names)):
+                yield pa.RecordBatch.from_arrays([a.node.take(pa.array(src)), b.node.take(pa.array(dst))], ["src", "dst"])
+
+    kind = entries.schema["node"].dataType
+    return sent.groupBy("i", "j").applyInArrow(cell, T.StructType([T.StructField("src", kind), T.StructField("dst", kind)]))
 
 
 def links(single: DataFrame) -> DataFrame:
@@ -261,8 +331,7 @@ def links(single: DataFrame) -> DataFrame:
             break
     classes = stage(_labelled(entries, labels), "classes")
     drop_staged(entries)
-    pairs = _mates(classes)
-    candidates = _voted(pairs).withColumns({"a": F.least("src", "dst"), "b": F.greatest("src", "dst")}).select(F.col("a").alias("src"), F.col("b").alias("dst"))
+    candidates = _candidates(classes).select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"))
     known = tested.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"))
     found = stage(_verified(stage(candidates.join(known, ["src", "dst"], "left_anti"), "candidates"), single), "verified").where("linked")
     return _joined(labels, _class_links(found, labels))

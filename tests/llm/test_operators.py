@@ -448,6 +448,74 @@ def test_image_full_buckets(spark):
     assert {x["node"]: x["class"] for x in images.links(single).collect()} == {i: i // 2 * 2 for i in range(14)}
 
 
+def test_image_candidates_in_blocks(spark, monkeypatch):
+    """Pairs of images with two votes are those of plain loops, over classes, however images are dealt out and however few pairs vote at a time."""
+    r = np.random.default_rng(10)
+    at = lambda: int(r.integers(0, 4)) << 36 | 65535 << 20 | int(r.integers(0, 3)) << 12 | int(r.integers(0, 24)) * 15
+    tags = [int(x) for x in r.integers(-(2**63), 2**63 - 1, 40)]
+    rows = sorted({(tags[min(int(r.integers(0, 40)), int(r.integers(0, 40)))], f"n{k % 30 // 2 if k % 3 else k % 30}", f"n{k % 30}", at()) for k in range(360)})
+    low = {}
+    for _, c, n, _ in rows:  # one class an image
+        low[n] = min(c, low.get(n, c))
+    rows = [(t, low[n], n, p, None) for t, _, n, p in rows]
+    seen = {}
+    for t, c, src, p, _ in rows:
+        for u, d, dst, q, _ in rows:
+            if t == u and c < d:
+                turn = int(((q & 4095) - (p & 4095)) % 360 * images.TURN_BINS / 360 + 0.5) % images.TURN_BINS
+                zoom = round(2 * (np.log2(images.SCALES[q >> 12 & 255]) - np.log2(images.SCALES[p >> 12 & 255])))
+                seen.setdefault((src, dst), {}).setdefault((turn, zoom), set()).add(q)
+    want = {k for k, v in seen.items() if max(map(len, v.values())) >= images.VOTES}
+    assert 0 < len(want) < len(seen)
+    entries = spark.createDataFrame(rows, "tag long, class string, node string, place long, block int").cache()
+    for blocks, least, meetings in ((8, 1 << 20, 1 << 20), (1, 150, 7), (70, 1 << 20, 1)):
+        monkeypatch.setattr(images, "BLOCKS", blocks)
+        monkeypatch.setattr(images, "ENTRIES", least)
+        monkeypatch.setattr(images, "MEETINGS", meetings)
+        got = [tuple(x) for x in images._candidates(entries).collect()]
+        assert len(got) == len(set(got)) and set(got) == want, (blocks, meetings)
+    assert images._candidates(entries.where("false")).collect() == []
+
+
+def test_image_common_corner(spark, monkeypatch):
+    """A corner that all of many unlike images have makes no rows with the square of their number, and copies among them still link."""
+    r = np.random.default_rng(11)
+    look = lambda n: r.integers(-(2**62), 2**62, (n, 2))
+    common_, points = look(1), []
+    for k in range(160):
+        x, y = r.integers(0, 400, (2, 9)) * 4
+        looks = np.concatenate([common_, look(8)])
+        points.append([x << 36 | y << 20, looks[:, 0], looks[:, 1]])
+        if k % 40 == 0:
+            points.append([points[-1][0] + (40 << 36), looks[:, 0], looks[:, 1]])
+    want = {i: i for i in range(len(points))} | {41 * k + 1: 41 * k for k in range(4)}
+    made = []
+
+    def rows_made(node):
+        n = node.metrics().get("numOutputRows")
+        if n.isDefined():
+            made.append(n.get().value())
+        name = node.getClass().getSimpleName()
+        if name == "AdaptiveSparkPlanExec":
+            rows_made(node.executedPlan())
+        elif name.endswith("QueryStageExec"):
+            rows_made(node.plan())
+        for i in range(node.children().size()):
+            rows_made(node.children().apply(i))
+
+    def staged(df, tag="stage"):
+        if tag == "candidates":
+            df.collect()
+            rows_made(df._jdf.queryExecution().executedPlan())
+        return common.stage(df, tag)
+
+    monkeypatch.setattr(images, "stage", staged)
+    single = spark.createDataFrame([(i, *[v.tolist() for v in p]) for i, p in enumerate(points)], "node long, place array<long>, d0 array<long>, d1 array<long>")
+    got = {i: i for i in want} | {x["node"]: x["class"] for x in images.links(single).collect()}
+    assert got == want
+    assert len(points) <= max(made) <= 24 * len(points), made
+
+
 def test_image_votes_move_once(spark):
     """Votes are those of plain loops, with one shuffle of the pairs of corners."""
     r = np.random.default_rng(9)
